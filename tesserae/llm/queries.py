@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import fingerprints, ngram_join, packing, pii, quality, suffix_dedup, toxicity, warc
+from tesserae.llm import bpe, fingerprints, ngram_join, packing, pii, quality, suffix_dedup, token_binary, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.write_binary(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit_tables(docs, table(spark, sf_dir, "labels")))
@@ -80,5 +88,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_ngram_join, op7_toxicity, op8_warc, op9_fingerprints, op10_suffix_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_ngram_join, op5_bpe, op6_token_binary, op7_toxicity, op8_warc, op9_fingerprints, op10_suffix_dedup, pipeline)}
 ORACLE_SQL = {"op8_warc": OP8_SQL}
