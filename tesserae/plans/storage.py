@@ -38,6 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of finished plans once the driver has collected them
     return spark.read.schema(df.schema).parquet(path)
 
 
