@@ -6,12 +6,14 @@ words, and each class is sorted and scanned by itself. What reaches that step is
 1. Winnowing picks, of each run of min_words words, the k-gram that hashes lowest; equal runs pick alike. Runs that hold no
    k-gram picked twice in the corpus can't repeat.
 2. Of the rest, a class whose suffixes all follow the same word has no maximal repeat (it is part of a longer one).
-3. The hashes of 2, 4, 8, ... times min_words words tell how much of a suffix can be common, and only that is sent.
+3. The hashes of 2, 4, 8, ... times min_words words tell how much of a suffix can be common, and only that is sent,
+   without the words that its class has in common.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -108,21 +110,27 @@ def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The words after the first min_words of each given suffix, a blank after every word, as far as they can be common."""
     for batch in batches:
         ids = np.asarray(batch.column(0))
-        for lo, hi, data, off in pieces(batch.column(2), 1 << 18):
-            h, _, _, woff = words(data, off)
-            big = h.astype(">u8")
+        for lo, hi, data, off in pieces(batch.column(2), 1 << 20):
+            _, s, e, woff = words(data, off)
+            size = e - s + 1
+            begin = np.concatenate([[0], np.cumsum(size)])
+            plain = np.full(int(begin[-1]), 32, np.uint8)
+            plain[np.arange(len(plain) - len(s)) + np.repeat(np.arange(len(s)), size - 1)] = data[np.arange(len(plain) - len(s)) + np.repeat(s - (begin[:-1] - np.arange(len(s))), size - 1)]
+            raw = plain.tobytes()
             wanted = batch.column(3).slice(lo, hi - lo)
             row = np.repeat(np.arange(hi - lo), np.diff(np.asarray(wanted.offsets)))
             flat = wanted.flatten()
             cls, pos, left, level = (np.asarray(flat.field(n)) for n in ("class", "pos", "left", "level"))
             at = pos + woff[row]
-            end = np.minimum(at + (min_words << level.astype(np.int64)), woff[row + 1])
+            end = begin[np.minimum(at + (min_words << level.astype(np.int64)), woff[row + 1])]
+            at = begin[at + min_words]
             doc = batch.column(1).slice(lo, hi - lo).take(pa.array(row))
             for a in range(0, len(at), 4096):
                 b = slice(a, a + 4096)
-                text = pa.array([big[x:y].tobytes() for x, y in zip(at[b], end[b])], pa.binary())
+                text = pa.array([raw[x:y] for x, y in zip(at[b].tolist(), end[b].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(cls[b]), text, pa.array(ids[lo:hi][row[b]]), doc.slice(a, 4096), pa.array(pos[b]), pa.array(left[b])], ["class", "suffix", "row_id", "doc_id", "pos", "left"])
 
 
@@ -155,12 +163,12 @@ def intervals(lcp: list[int], left: list[int]) -> list[tuple[int, int, int]]:
 
 
 def common(a: bytes, b: bytes) -> int:
-    """Words that two suffixes share from their start."""
-    n = min(len(a), len(b)) // 8
-    x, y = np.frombuffer(a, np.uint64, n), np.frombuffer(b, np.uint64, n)
-    other = x != y
-    at = int(other.argmax()) if n else 0
-    return at if n and other[at] else n
+    """Words that two suffixes share from their start; every word ends with a blank."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return a.count(b" ", 0, n)
+    other = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return a.count(b" ", 0, int(other.argmax()))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -168,16 +176,15 @@ def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
     now, last = None, b""
     lcp: list[int] = []
     left: list[int] = []
-    head: list[bytes] = []
     place: list[list] = [[], [], []]
 
     def closed() -> Iterator[pa.RecordBatch]:
         found = intervals(lcp, left) if len(left) > 1 else []
         rows, size = [[], [], [], [], [], []], 0
         for length, a, z in found:
-            if length < min_words:
-                continue
-            rid = int(mix(np.array([(now & 0xFFFFFFFFFFFFFFFF) ^ (length * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)], U) + np.frombuffer(head[a][8 * (length - 1) : 8 * length], U))[0].view(np.int64))
+            # the place of its first suffix and its length say which words a repeat has
+            named = blake2b(b"".join(x.to_bytes(8, "little", signed=True) for x in (length, place[0][a], place[2][a])), digest_size=8)
+            rid = int.from_bytes(named.digest(), "little", signed=True)
             m = z - a + 1
             for column, values in zip(rows, ([rid] * m, [length] * m, [m] * m, place[0][a : z + 1], place[1][a : z + 1], place[2][a : z + 1])):
                 column.extend(values)
@@ -197,13 +204,11 @@ def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
                 if now is not None:
                     yield from closed()
                 now, last = c, b""
-                lcp, left, head, place = [], [], [], [[], [], []]
-            same = common(last, suffix[i])
+                lcp, left, place = [], [], [[], [], []]
+            same = min_words + common(last, suffix[i])
             lcp.append(same)
             left.append(lefts[i])
-            # An interval's first suffix spells its repeat; equal suffixes share one object.
-            last = last if last == suffix[i] else suffix[i]
-            head.append(last)
+            last = suffix[i]
             for column, value in zip(place, (row[i], doc[i], pos[i])):
                 column.append(value)
     if now is not None:
