@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -38,7 +39,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of finished plans once the driver has collected them
+    # Spark deletes a finished plan's shuffle files when the driver has collected it, which its last events still hold for a moment.
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
