@@ -178,34 +178,26 @@ def compile_lexicon(words: list[bytes], ranks: dict[bytes, int]) -> bytes:
                 todo.pop()
 
     count(1)
-    used = sorted({b for e in edges for b in e})
-    symbol = np.zeros(256, np.int64)
-    symbol[used] = np.arange(1, len(used) + 1)
-    table = np.zeros((len(edges), len(used) + 1), np.int64)
+    step, target, ahead = [], [], []
     for s, e in enumerate(edges):
-        ahead = int(final[s])
+        before = int(final[s])
         for b in sorted(e):
-            table[s, symbol[b]] = e[b] | ahead << 32
-            ahead += size[e[b]]
+            step.append(s << 8 | b)
+            target.append(e[b])
+            ahead.append(before)
+            before += size[e[b]]
+    step_slots = 1 << max(8, int(np.ceil(np.log2(2 * max(1, len(step))))))
+    step_keys, step_to, step_add = _hashed(np.array(step, np.int64), step_slots, np.array(target, np.int32), np.array(ahead, np.int32))
     ids = [merge_word(w, ranks) for w in words]
     offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-    slots = 1 << max(8, int(np.ceil(np.log2(8 * max(1, len(ranks)))))) 
-    keys, values = np.full(slots, -1, np.int64), np.zeros(slots, np.int32)
+    slots = 1 << max(8, int(np.ceil(np.log2(8 * max(1, len(ranks))))))
     pairs = {}
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
                 pairs[a << 32 | b] = rank
-    pk, pv = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs))
-    slot = _slot(pk, slots)
-    while len(pk):
-        open_ = keys[slot] == -1
-        first = np.zeros(len(pk), bool)
-        first[np.unique(slot, return_index=True)[1]] = True
-        put = open_ & first
-        keys[slot[put]], values[slot[put]] = pk[put], pv[put]
-        pk, pv, slot = pk[~put], pv[~put], (slot[~put] + 1) & (slots - 1)
+    keys, values = _hashed(np.fromiter(pairs, np.int64, len(pairs)), slots, np.fromiter(pairs.values(), np.int32, len(pairs)))
     byte_id = np.full(256, -1, np.int32)
     for b in range(256):
         byte_id[b] = ranks.get(bytes([b]), -1)
@@ -214,7 +206,7 @@ def compile_lexicon(words: list[bytes], ranks: dict[bytes, int]) -> bytes:
     for t in by_rank:
         spell[ranks[t] + 1] = len(t)
     arrays = {
-        "table": table, "final": np.array(final), "symbol": symbol, "offsets": offsets, "ids": np.array([x for i in ids for x in i], np.int32), "keys": keys, "values": values, "byte_id": byte_id,
+        "step_keys": step_keys, "step_to": step_to, "step_add": step_add, "final": np.array(final), "offsets": offsets, "ids": np.array([x for i in ids for x in i], np.int32), "keys": keys, "values": values, "byte_id": byte_id,
         "spell": np.cumsum(spell), "bytes": np.frombuffer(b"".join(by_rank), np.uint8), "longest": np.array([max(map(len, words), default=0)]),
     }
     head, body, at = {}, [], 0
@@ -232,6 +224,39 @@ def _slot(key: np.ndarray, slots: int) -> np.ndarray:
     return (mix(key.astype(U)) & U(slots - 1)).astype(np.int64)
 
 
+def _hashed(keys: np.ndarray, slots: int, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A hash table with linear probing: keys, -1 where free, and their columns."""
+    out = [np.full(slots, -1, np.int64), *(np.zeros(slots, c.dtype) for c in columns)]
+    slot = _slot(keys, slots)
+    left = np.arange(len(keys))
+    while len(left):
+        first = np.zeros(len(left), bool)
+        first[np.unique(slot, return_index=True)[1]] = True
+        put = first & (out[0][slot] == -1)
+        for table, values in zip(out, (keys, *columns)):
+            table[slot[put]] = values[left[put]]
+        left, slot = left[~put], (slot[~put] + 1) & (slots - 1)
+    return tuple(out)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Slot of each key, -1 where it isn't in the table."""
+    slots = len(table)
+    slot = _slot(keys, slots)
+    found = table[slot]
+    out = np.where(found == keys, slot, -1)
+    left = np.flatnonzero((found != keys) & (found != -1))
+    slot = slot[left]
+    while len(left):
+        slot = (slot + 1) & (slots - 1)
+        found = table[slot]
+        hit = found == keys[left]
+        out[left[hit]] = slot[hit]
+        go = ~hit & (found != -1)
+        left, slot = left[go], slot[go]
+    return out
+
+
 @dataclass
 class Lexicon:
     arrays: dict[str, np.ndarray]
@@ -258,18 +283,8 @@ def load(path: str) -> Lexicon:
 
 def pair_ranks(lex: Lexicon, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rank of what each pair merges to; a number above all ranks where it can't."""
-    key = a.astype(np.int64) << 32 | b
-    slots = len(lex.keys)
-    slot = _slot(key, slots)
-    out = np.full(len(key), 1 << 30, np.int64)
-    left = np.arange(len(key))
-    while len(left):
-        found = lex.keys[slot]
-        hit = found == key
-        out[left[hit]] = lex.values[slot[hit]]
-        go = ~hit & (found != -1)
-        left, key, slot = left[go], key[go], (slot[go] + 1) & (slots - 1)
-    return out
+    slot = _find(lex.keys, a.astype(np.int64) << 32 | b)
+    return np.where(slot >= 0, lex.values[slot], 1 << 30).astype(np.int64)
 
 
 def merge_many(lex: Lexicon, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,13 +350,13 @@ def encode(lex: Lexicon, data: np.ndarray, off: np.ndarray, ranks=None) -> tuple
     ss, sl = s[order], size[order]
     longest = int(lex.longest[0])
     state, index = np.ones(len(s), np.int64), np.zeros(len(s), np.int64)
-    flat, width = lex.table.reshape(-1), lex.table.shape[1]
     m = np.searchsorted(-sl, -np.arange(longest), "left")
     for k in range(min(longest, int(sl[0]))):
         n = m[k]
-        x = flat[state[:n] * width + lex.symbol[data[ss[:n] + k]]]
-        state[:n] = x & 0xFFFFFFFF
-        index[:n] += x >> 32
+        live = np.flatnonzero(state[:n])
+        slot = _find(lex.step_keys, state[live] << 8 | data[ss[live] + k])
+        state[live] = np.where(slot >= 0, lex.step_to[slot], 0)
+        index[live] += lex.step_add[slot]
     state[sl > longest] = 0
     known = lex.final[state]
     pick = order[known]
