@@ -6,7 +6,7 @@ words, and each class is sorted and scanned by itself. What reaches that step is
 1. Winnowing picks, of each run of min_words words, the k-gram that hashes lowest; equal runs pick alike. Runs that hold no
    k-gram picked twice in the corpus can't repeat.
 2. Of the rest, a class whose suffixes all follow the same word has no maximal repeat (it is part of a longer one).
-3. The hashes of 2, 4, 8, ... times min_words words tell how much of a suffix can be common, and only that is sent,
+3. The hashes of min_words times 1.5, 1.5 ** 2, 1.5 ** 3, ... words tell how much of a suffix can be common, and only that is sent,
    without the words that its class has in common.
 """
 
@@ -89,8 +89,12 @@ def _starts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["class", "row_id", "pos", "left"])
 
 
+def rungs(min_words: int, levels: np.ndarray) -> np.ndarray:
+    return np.ceil(min_words * 1.5 ** levels).astype(np.int64)
+
+
 def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of min_words * 2**level words from each given position, level from 1 on, as far as the row goes."""
+    """Hashes of rungs(level) words from each given position, level from 1 on, as far as the row goes."""
     for batch in batches:
         ids = np.asarray(batch.column(0))
         for lo, hi, data, off in pieces(batch.column(1)):
@@ -98,15 +102,16 @@ def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             pos = batch.column(2).slice(lo, hi - lo)
             row = np.repeat(np.arange(hi - lo), np.diff(np.asarray(pos.offsets)))
             at = np.asarray(pos.flatten()).astype(np.int64) + woff[row]
-            level, n = 1, 2 * min_words
+            level = 1
             while True:
+                n = int(rungs(min_words, np.array(level)))
                 keep = at + n <= woff[row + 1]
                 at, row = at[keep], row[keep]
                 if not len(at):
                     break
                 columns = [ngrams(h, n)[at].view(np.int64), np.full(len(at), level, np.int32), ids[lo:hi][row], (at - woff[row]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "level", "row_id", "pos"])
-                level, n = level + 1, 2 * n
+                level += 1
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -125,7 +130,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
             flat = wanted.flatten()
             cls, pos, left, level = (np.asarray(flat.field(n)) for n in ("class", "pos", "left", "level"))
             at = pos + woff[row]
-            end = begin[np.minimum(at + (min_words << level.astype(np.int64)), woff[row + 1])]
+            end = begin[np.minimum(at + rungs(min_words, level), woff[row + 1])]
             at = begin[at + min_words]
             doc = batch.column(1).slice(lo, hi - lo).take(pa.array(row))
             for a in range(0, len(at), 4096):
@@ -227,7 +232,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     grams = source.select("row_id", "text").mapInArrow(lambda it: _picked(it, min_words), "gram long, row_id long, pos int")
     twice = grams.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).filter("n > 1")
     seeds = twice.groupBy("row_id").agg(F.collect_set("pos").alias("seeds"))
-    some = written(source.join(seeds, "row_id"), "repeating")
+    some = written(source.join(seeds, "row_id").dropDuplicates(["row_id"]), "repeating")
     starts = some.select("row_id", "text", "seeds").mapInArrow(lambda it: _starts(it, min_words), "class long, row_id long, pos int, left long")
     by_class = Window.partitionBy("class")
     before = F.lag("pos").over(by_class.orderBy("row_id", "pos"))
@@ -236,7 +241,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     apart = starts.withColumn("near", F.coalesce((before_row == F.col("row_id")) & (F.col("pos") - before < min_words), F.lit(False))).filter("not near")
     split = apart.select("*", F.min("left").over(by_class).alias("low"), F.max("left").over(by_class).alias("high")).filter("low <> high")
     kept = written(split.select("class", "row_id", "pos", "left"), "starts")
-    texts = some.select("row_id", "doc_id", "text").dropDuplicates(["row_id"])
+    texts = some.select("row_id", "doc_id", "text")
     asked = kept.groupBy("row_id").agg(F.collect_list("pos").alias("pos"))
     steps = texts.select("row_id", "text").join(asked, "row_id").select("row_id", "text", "pos").mapInArrow(lambda it: _ladder(it, min_words), "hash long, level int, row_id long, pos int")
     shared = steps.withColumn("n", F.count("*").over(Window.partitionBy("hash", "level"))).filter("n > 1").groupBy("row_id", "pos").agg(F.max("level").alias("level"))
