@@ -6,14 +6,13 @@ words, and each class is sorted and scanned by itself. What reaches that step is
 1. Winnowing picks, of each run of min_words words, the k-gram that hashes lowest; equal runs pick alike. Runs that hold no
    k-gram picked twice in the corpus can't repeat.
 2. Of the rest, a class whose suffixes all follow the same word has no maximal repeat (it is part of a longer one).
-3. The hashes of min_words times 1.5, 1.5 ** 2, 1.5 ** 3, ... words tell how much of a suffix can be common, and only that is sent,
-   without the words that its class has in common.
+3. The hashes of min_words times 1.25, 1.25 ** 2, 1.25 ** 3, ... words tell how much of a suffix is common at least and at most. What a
+   group has in common is sent once, and of each suffix only what lies between.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.shared import drop, with_row_id, written
-from tesserae.llm.text import U, mix, ngrams, pieces, words
+from tesserae.llm.text import U, doubled, mix, ngrams, ngrams_at, pieces, words
 
 MIN_WORDS = 50
-OUT = ["repeat_id", "n_words", "n_occurrences", "row_id", "doc_id", "start_word"]
-SCHEMA = "repeat_id long, n_words int, n_occurrences long, row_id long, doc_id long, start_word int"
+OUT = ["passage", "kind", "n_words", "first", "last", "row_id", "doc_id", "start_word", "cut_words"]
+SCHEMA = "passage long, kind string, n_words int, first long, last long, row_id long, doc_id long, start_word int, cut_words int"
 
 
 def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -90,7 +89,7 @@ def _starts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 
 
 def rungs(min_words: int, levels: np.ndarray) -> np.ndarray:
-    return np.ceil(min_words * 1.5 ** levels).astype(np.int64)
+    return np.ceil(min_words * 1.25 ** np.asarray(levels)).astype(np.int64)
 
 
 def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -99,23 +98,25 @@ def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
         ids = np.asarray(batch.column(0))
         for lo, hi, data, off in pieces(batch.column(1)):
             h, _, _, woff = words(data, off)
+            parts = doubled(h, int(np.diff(woff).max(initial=1)))
             pos = batch.column(2).slice(lo, hi - lo)
             row = np.repeat(np.arange(hi - lo), np.diff(np.asarray(pos.offsets)))
             at = np.asarray(pos.flatten()).astype(np.int64) + woff[row]
             level = 1
             while True:
-                n = int(rungs(min_words, np.array(level)))
+                n = int(rungs(min_words, level))
                 keep = at + n <= woff[row + 1]
                 at, row = at[keep], row[keep]
                 if not len(at):
                     break
-                columns = [ngrams(h, n)[at].view(np.int64), np.full(len(at), level, np.int32), ids[lo:hi][row], (at - woff[row]).astype(np.int32)]
+                columns = [ngrams_at(parts, at, n).view(np.int64), np.full(len(at), level, np.int32), ids[lo:hi][row], (at - woff[row]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hash", "level", "row_id", "pos"])
                 level += 1
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """The words after the first min_words of each given suffix, a blank after every word, as far as they can be common."""
+    """Of each given suffix, the words after those that its group has in common, as far as others can have them too; of the
+    group's first suffix also the common ones. The first min_words are the class's and not sent. A blank ends every word."""
     for batch in batches:
         ids = np.asarray(batch.column(0))
         for lo, hi, data, off in pieces(batch.column(2), 1 << 20):
@@ -128,15 +129,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
             wanted = batch.column(3).slice(lo, hi - lo)
             row = np.repeat(np.arange(hi - lo), np.diff(np.asarray(wanted.offsets)))
             flat = wanted.flatten()
-            cls, pos, left, level = (np.asarray(flat.field(n)) for n in ("class", "pos", "left", "level"))
+            cls, pos, left, level, group = (np.asarray(flat.field(n)) for n in ("class", "pos", "left", "level", "hash"))
+            lead = np.asarray(flat.field("lead").cast(pa.int8())) > 0
             at = pos + woff[row]
-            end = begin[np.minimum(at + rungs(min_words, level), woff[row + 1])]
+            mid = begin[at + rungs(min_words, level)]
+            end = begin[np.minimum(at + rungs(min_words, level + 1), woff[row + 1])]
             at = begin[at + min_words]
             doc = batch.column(1).slice(lo, hi - lo).take(pa.array(row))
             for a in range(0, len(at), 4096):
                 b = slice(a, a + 4096)
-                text = pa.array([raw[x:y] for x, y in zip(at[b].tolist(), end[b].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cls[b]), text, pa.array(ids[lo:hi][row[b]]), doc.slice(a, 4096), pa.array(pos[b]), pa.array(left[b])], ["class", "suffix", "row_id", "doc_id", "pos", "left"])
+                head = pa.array([raw[x:y] if k else None for x, y, k in zip(at[b].tolist(), mid[b].tolist(), lead[b].tolist())], pa.binary())
+                tail = pa.array([raw[x:y] for x, y in zip(mid[b].tolist(), end[b].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cls[b]), pa.array(group[b]), head, tail, pa.array(ids[lo:hi][row[b]]), doc.slice(a, 4096), pa.array(pos[b]), pa.array(left[b])], ["class", "hash", "head", "tail", "row_id", "doc_id", "pos", "left"])
 
 
 MANY = object()
@@ -176,55 +180,76 @@ def common(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, int(other.argmax()))
 
 
+def longest_and_cut(found: list[tuple[int, int, int]], order: list) -> tuple[list[int], list[int]]:
+    """Of each suffix, the length of its longest repeat, and of the longest one in which it isn't the first by `order`.
+
+    found: intervals(), inner ones before outer ones. Of an interval only its first suffix is left open for outer ones.
+    """
+    n = len(order)
+    longest, cut = [0] * n, [0] * n
+    leader: dict[int, tuple[int, int]] = {}  # start of a closed interval to its end and first suffix
+    for length, a, z in found:
+        best, i, open_ = None, a, []
+        while i <= z:
+            if i in leader and leader[i][0] <= z:
+                end, one = leader[i]
+                open_.append(one)
+                i = end + 1
+            else:
+                longest[i] = length
+                open_.append(i)
+                i += 1
+        best = min(open_, key=lambda k: order[k])
+        for k in open_:
+            if k != best:
+                cut[k] = length
+        leader[a] = (z, best)
+    return longest, cut
+
+
 def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Repeats of a partition that is sorted by class and suffix. What is kept of a class is its suffixes' places."""
-    now, last = None, b""
-    lcp: list[int] = []
-    left: list[int] = []
-    place: list[list] = [[], [], []]
+    """Sorts the suffixes of each class, which come together, and reads its repeats off the sorted array."""
+    now: int | None = None
+    rows: list[list] = [[] for _ in range(7)]  # hash, head, tail, row_id, doc_id, pos, left
 
     def closed() -> Iterator[pa.RecordBatch]:
-        found = intervals(lcp, left) if len(left) > 1 else []
-        rows, size = [[], [], [], [], [], []], 0
-        for length, a, z in found:
-            # the place of its first suffix and its length say which words a repeat has
-            named = blake2b(b"".join(x.to_bytes(8, "little", signed=True) for x in (length, place[0][a], place[2][a])), digest_size=8)
-            rid = int.from_bytes(named.digest(), "little", signed=True)
-            m = z - a + 1
-            for column, values in zip(rows, ([rid] * m, [length] * m, [m] * m, place[0][a : z + 1], place[1][a : z + 1], place[2][a : z + 1])):
-                column.extend(values)
-            size += m
-            if size >= 50_000:
-                yield _out(rows)
-                rows, size = [[], [], [], [], [], []], 0
-        if size:
-            yield _out(rows)
-
+        group, head, tail, row, doc, pos, left = rows
+        heads = {g: h for g, h in zip(group, head) if h is not None}
+        full = [heads.get(g, b"") + t for g, t in zip(group, tail)]
+        at = sorted(range(len(full)), key=lambda i: (full[i], row[i], pos[i]))
+        lcp = [0] + [min_words + common(full[x], full[y]) for x, y in zip(at, at[1:])]
+        found = intervals(lcp, [left[i] for i in at])
+        row, doc, pos = ([c[i] for i in at] for c in (row, doc, pos))
+        place = [(d is None, d or 0, r, p) for d, r, p in zip(doc, row, pos)]
+        longest, cut = longest_and_cut(found, place)
+        n, m = len(at), len(found)
+        first = [a for _, a, _ in found]
+        columns = [
+            [now] * (n + m), ["occurrence"] * n + ["repeat"] * m, longest + [x for x, _, _ in found], [*range(n), *first], [*range(n), *(z for _, _, z in found)],
+            row + [row[a] for a in first], doc + [doc[a] for a in first], pos + [pos[a] for a in first], cut + [0] * m,
+        ]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], OUT)
+
+    done: list[pa.RecordBatch] = []
     for batch in batches:
-        cls = batch.column(0).to_pylist()
-        suffix = batch.column(1).to_pylist()
-        row, doc, pos, lefts = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-        for i, c in enumerate(cls):
-            if c != now:
-                if now is not None:
-                    yield from closed()
-                now, last = c, b""
-                lcp, left, place = [], [], [[], [], []]
-            same = min_words + common(last, suffix[i])
-            lcp.append(same)
-            left.append(lefts[i])
-            last = suffix[i]
-            for column, value in zip(place, (row[i], doc[i], pos[i])):
-                column.append(value)
+        cls = np.asarray(batch.column(0))
+        begin = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else []
+        columns = [batch.column(i).to_pylist() for i in range(1, 8)]
+        for a, z in zip(begin, [*begin[1:], len(cls)]):
+            if now is not None and cls[a] != now:
+                done += closed()
+                rows = [[] for _ in range(7)]
+            now = int(cls[a])
+            for column, values in zip(rows, columns):
+                column += values[a:z]
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+            done = []
     if now is not None:
         yield from closed()
 
 
-def _out(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], OUT)
-
-
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """repeats() with the row_id of shared.with_row_id()."""
     spark = docs.sparkSession
@@ -244,15 +269,23 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     texts = some.select("row_id", "doc_id", "text")
     asked = kept.groupBy("row_id").agg(F.collect_list("pos").alias("pos"))
     steps = texts.select("row_id", "text").join(asked, "row_id").select("row_id", "text", "pos").mapInArrow(lambda it: _ladder(it, min_words), "hash long, level int, row_id long, pos int")
-    shared = steps.withColumn("n", F.count("*").over(Window.partitionBy("hash", "level"))).filter("n > 1").groupBy("row_id", "pos").agg(F.max("level").alias("level"))
-    levelled = kept.join(shared, ["row_id", "pos"], "left").groupBy("row_id").agg(F.collect_list(F.struct("class", "pos", "left", (F.coalesce("level", F.lit(0)) + 1).alias("level"))).alias("wanted"))
-    suffixes = texts.join(levelled, "row_id").select("row_id", "doc_id", "text", "wanted").mapInArrow(lambda it: _suffixes(it, min_words), "class long, suffix binary, row_id long, doc_id long, pos int, left long")
+    both = steps.withColumn("n", F.count("*").over(Window.partitionBy("hash", "level"))).filter("n > 1").groupBy("row_id", "pos").agg(F.max(F.struct("level", "hash")).alias("top"))
+    levelled = kept.join(both, ["row_id", "pos"], "left").select("class", "row_id", "pos", "left", F.coalesce("top.level", F.lit(0)).alias("level"), F.coalesce("top.hash", F.lit(0)).alias("hash"))
+    group = Window.partitionBy("class", "level", "hash").orderBy("row_id", "pos")
+    led = levelled.withColumn("lead", (F.col("level") > 0) & (F.row_number().over(group) == 1))
+    wanted = written(led, "levelled").groupBy("row_id").agg(F.collect_list(F.struct("class", "pos", "left", "level", "hash", "lead")).alias("wanted"))
+    suffixes = texts.join(wanted, "row_id").select("row_id", "doc_id", "text", "wanted").mapInArrow(lambda it: _suffixes(it, min_words), "class long, hash long, head binary, tail binary, row_id long, doc_id long, pos int, left long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return suffixes.repartition(parts, "class").sortWithinPartitions("class", "suffix", "row_id", "pos").mapInArrow(lambda it: _scan(it, min_words), SCHEMA)
+    return suffixes.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(lambda it: _scan(it, min_words), SCHEMA)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every maximal repeat of at least min_words words, with all its occurrences: repeat_id, n_words, n_occurrences, doc_id, start_word.
+    """Every maximal repeat of at least min_words words, with all its occurrences, in space that follows their number.
+
+    Repeats that begin with the same min_words words make a passage; its occurrences are numbered in the order of what
+    follows them, so that each repeat's are a range. A row of kind 'occurrence' is one of them: doc_id, start_word, its
+    number (first = last), and n_words, the longest repeat that begins there. A row of kind 'repeat' is one repeat: n_words,
+    the numbers first to last of its occurrences in the passage, and doc_id and start_word of the first of these.
 
     A repeat is maximal if its occurrences don't all follow the same word and aren't all followed by the same word; a
     text's start and end count as words of their own. Words are runs without ASCII white space, compared by 64-bit hash.
@@ -262,7 +295,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Null, empty and shorter texts have no repeat. Equal rows count as one document; rows of one doc_id with different
     texts, and of null doc_id, are documents of their own. Other columns are ignored.
     """
-    return occurrences(docs, min_words).drop("row_id")
+    return occurrences(docs, min_words).drop("row_id", "cut_words")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -291,12 +324,8 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     column; a text of which nothing is left goes with its row; rows without repeats, null texts among them, stay as they
     are, and so do all other columns.
     """
-    # A window would sort every occurrence of a repeat in one task; the first one alone is an aggregate.
-    found = written(occurrences(docs, min_words).select("repeat_id", "n_words", "row_id", "doc_id", "start_word"), "occurrences")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id", "start_word")
-    first = found.groupBy("repeat_id", "n_words").agg(F.min(place).alias("first"))
-    later = found.join(first, ["repeat_id", "n_words"]).filter((F.col("row_id") != F.col("first.row_id")) | (F.col("start_word") != F.col("first.start_word")))
-    spans = later.groupBy("row_id").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
+    found = occurrences(docs, min_words).filter("kind = 'occurrence' and cut_words > 0")
+    spans = found.groupBy("row_id").agg(F.collect_list(F.struct("start_word", F.col("cut_words").alias("n_words"))).alias("spans"))
     columns = docs.columns
     tagged = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
     joined = tagged.join(spans.withColumnRenamed("row_id", "__row"), "__row", "left")

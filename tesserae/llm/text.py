@@ -102,30 +102,39 @@ def words(data: np.ndarray, off: np.ndarray, fold: bool = False) -> tuple[np.nda
     return mix(np.add.reduceat(value, at)), s, e, np.searchsorted(s, off)
 
 
-def ngrams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position; positions too near the end are left out. Runs over row ends: the caller picks."""
-    if len(h) < n:
-        return np.zeros(0, U)
-    out, done, part, width = None, 0, h, 1
-    while True:
-        if n & width:
-            out = part if out is None else _join(out, part, done)
-            done += width
-        if done == n:
-            return out[: len(h) - n + 1]
-        part = _join(part, part, width)
+def doubled(h: np.ndarray, n: int) -> list[np.ndarray]:
+    """Hashes of the 1, 2, 4, ... words from each position, as far as ngrams_at() of n needs them."""
+    parts, width = [h], 1
+    while 2 * width <= n:
+        parts.append(_join(parts[-1][: max(len(parts[-1]) - width, 0)], parts[-1][width:]))
         width *= 2
+    return parts
 
 
-def _join(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
-    """Hash of what a hashes at i, followed by what b hashes at i + shift."""
-    m = min(len(a), len(b) - shift)
-    x = a[:m] * U(0xD6E8FEB86659FD93)
-    x += b[shift : shift + m]
-    x ^= x >> U(32)
-    x *= U(0xFF51AFD7ED558CCD)
-    x ^= x >> U(29)
-    return x
+def ngrams_at(parts: list[np.ndarray], at: np.ndarray | slice, n: int) -> np.ndarray:
+    """Hash of the n words from each of the positions, from doubled(); equal words, equal hash, wherever they are."""
+    out, done = None, 0
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            where = slice(at.start + done, at.stop + done) if isinstance(at, slice) else at + done
+            out = parts[k][where] if out is None else _join(out, parts[k][where])
+            done += 1 << k
+    return out
+
+
+def ngrams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each position that has them. Runs over row ends: the caller picks."""
+    return ngrams_at(doubled(h, n), slice(0, len(h) - n + 1), n) if len(h) >= n else np.zeros(0, U)
+
+
+def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of two stretches one after the other."""
+    out = x * U(0xD6E8FEB86659FD93)
+    out += y
+    out ^= out >> U(32)
+    out *= U(0xFF51AFD7ED558CCD)
+    out ^= out >> U(29)
+    return out
 
 
 def within(woff: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
