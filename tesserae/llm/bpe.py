@@ -20,7 +20,7 @@ from tesserae.llm.shared import put_file
 from tesserae.llm.text import U, mix, pieces, powers
 
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
-LEXICON, LONG = 65536, 256
+LEXICON, LONG, PIECE = 65536, 256, 1 << 22
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _LETTER, _NUMBER, _BLANK, _OTHER = range(4)
 
@@ -284,20 +284,20 @@ def load(path: str) -> Lexicon:
 def pair_ranks(lex: Lexicon, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rank of what each pair merges to; a number above all ranks where it can't."""
     slot = _find(lex.keys, a.astype(np.int64) << 32 | b)
-    return np.where(slot >= 0, lex.values[slot], 1 << 30).astype(np.int64)
+    return np.where(slot >= 0, lex.values[slot], np.int32(1 << 30))
 
 
 def merge_many(lex: Lexicon, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many words (bytes one after another, none empty) and their number by word: one merge a word and round, all words at once."""
     total = len(size)
-    ids, word = lex.byte_id[flat].astype(np.int64), np.repeat(np.arange(total), size)
-    rank = np.full(len(ids), 1 << 30, np.int64)  # of the pair that starts here
+    ids, word = lex.byte_id[flat], np.repeat(np.arange(total, dtype=np.int32), size)
+    rank = np.full(len(ids), 1 << 30, np.int32)  # of the pair that starts here
     inner = np.flatnonzero(word[1:] == word[:-1])
     rank[inner] = pair_ranks(lex, ids[inner], ids[inner + 1])
     done_ids, done_word = [], []
     while len(ids):
         begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        low = np.minimum.reduceat((rank << 32) | np.arange(len(ids)), begin)
+        low = np.minimum.reduceat((rank.astype(np.int64) << 32) | np.arange(len(ids)), begin)
         going = low >> 32 < 1 << 30
         if not going.all():
             end = np.append(begin[1:], len(ids))
@@ -323,9 +323,9 @@ def merge_many(lex: Lexicon, flat: np.ndarray, size: np.ndarray) -> tuple[np.nda
             rank[p[~same]] = 1 << 30
             p = p[same]
             rank[p] = pair_ranks(lex, ids[p], ids[p + 1])
-    ids, word = np.concatenate([*done_ids, np.zeros(0, np.int64)]), np.concatenate([*done_word, np.zeros(0, np.int64)])
+    ids, word = np.concatenate([*done_ids, np.zeros(0, np.int32)]), np.concatenate([*done_word, np.zeros(0, np.int32)])
     order = np.argsort(word, kind="stable")
-    return ids[order].astype(np.int32), np.bincount(word, minlength=total)
+    return ids[order], np.bincount(word, minlength=total)
 
 
 def ranks_of(lex: Lexicon) -> dict[bytes, int]:
@@ -333,61 +333,58 @@ def ranks_of(lex: Lexicon) -> dict[bytes, int]:
     return {raw[ends[r] : ends[r + 1]]: r for r in range(len(ends) - 1) if ends[r + 1] > ends[r]}
 
 
-_ranks_of = lru_cache(maxsize=1)(lambda path: ranks_of(load(path)))
-
-
 def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) + np.repeat(start - (np.cumsum(count) - count), count)
 
 
-def encode(lex: Lexicon, data: np.ndarray, off: np.ndarray, ranks=None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows one after another, and their number by row."""
-    s = pretokens(data, off)
-    if not len(s):
-        return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
-    size = np.diff(np.append(s, len(data)))
+def _encode_words(lex: Lexicon, data: np.ndarray, s: np.ndarray, size: np.ndarray, ranks=None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each word (first byte, bytes), where its ids begin in the pool and how many there are; and the pool, in parts."""
     order = np.argsort(-size, kind="stable")
     ss, sl = s[order], size[order]
     longest = int(lex.longest[0])
     state, index = np.ones(len(s), np.int64), np.zeros(len(s), np.int64)
     m = np.searchsorted(-sl, -np.arange(longest), "left")
     for k in range(min(longest, int(sl[0]))):
-        n = m[k]
-        live = np.flatnonzero(state[:n])
+        live = np.flatnonzero(state[: m[k]])
         slot = _find(lex.step_keys, state[live] << 8 | data[ss[live] + k])
         state[live] = np.where(slot >= 0, lex.step_to[slot], 0)
         index[live] += lex.step_add[slot]
     state[sl > longest] = 0
     known = lex.final[state]
-    pick = order[known]
     base, count = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    pick = order[known]
     base[pick] = lex.offsets[index[known]]
     count[pick] = lex.offsets[index[known] + 1] - base[pick]
-    pool = [lex.ids]
+    pool, more = [lex.ids], len(lex.ids)
     rest = np.sort(order[~known])
-    if len(rest):
-        at, n = s[rest], size[rest]
-        begin = np.cumsum(n) - n
-        where = _ragged(at, n)
-        value = (data[where].astype(U) + U(1)) * powers(int(n.max()))[np.arange(len(where)) - np.repeat(begin, n)]
-        _, first, inverse = np.unique(mix(np.add.reduceat(value, begin)) ^ n.astype(U), return_index=True, return_inverse=True)
-        un = n[first]
-        ids, ucount = np.zeros(0, np.int32), np.zeros(len(first), np.int64)
-        short = un <= LONG
-        got, gotn = merge_many(lex, data[_ragged(at[first[short]], un[short])], un[short])
-        ucount[short] = gotn
-        parts, ubase = [got], np.zeros(len(first), np.int64)
-        ubase[short] = np.cumsum(gotn) - gotn
-        more = len(got)
-        for u in np.flatnonzero(~short):
-            ranks = ranks or ranks_of(lex)
-            ids = merge_word(data[at[first[u]] : at[first[u]] + un[u]].tobytes(), ranks)
-            parts.append(np.array(ids, np.int32))
-            ubase[u], ucount[u] = more, len(ids)
-            more += len(ids)
-        base[rest] = len(lex.ids) + ubase[inverse]
-        count[rest] = ucount[inverse]
-        pool += parts
+    short = rest[size[rest] <= LONG]
+    if len(short):
+        got, n = merge_many(lex, data[_ragged(s[short], size[short])], size[short])
+        base[short], count[short] = more + np.cumsum(n) - n, n
+        pool.append(got)
+        more += len(got)
+    for u in rest[size[rest] > LONG]:
+        ranks = ranks or ranks_of(lex)
+        ids = merge_word(data[s[u] : s[u] + size[u]].tobytes(), ranks)
+        pool.append(np.array(ids, np.int32))
+        base[u], count[u] = more, len(ids)
+        more += len(ids)
+    return base, count, pool
+
+
+def encode(lex: Lexicon, data: np.ndarray, off: np.ndarray, ranks=None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after another, and their number by row."""
+    s = pretokens(data, off)
+    if not len(s):
+        return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
+    size = np.diff(np.append(s, len(data)))
+    rel = np.arange(len(data)) - np.repeat(s, size)
+    value = data.astype(U)
+    value += U(1)
+    value *= powers(int(size.max()))[rel]
+    _, first, inverse = np.unique(mix(np.add.reduceat(value, s)) ^ size.astype(U), return_index=True, return_inverse=True)
+    ubase, ucount, pool = _encode_words(lex, data, s[first], size[first], ranks)
+    base, count = ubase[inverse], ucount[inverse]
     out = np.concatenate(pool)[_ragged(base, count)]
     row = np.searchsorted(s, off)
     total = np.concatenate([[0], np.cumsum(count)])
@@ -446,7 +443,7 @@ def encode_documents(docs: DataFrame, lexicon: str | None = None, **options) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = load(SparkFiles.get(name))
         for batch in batches:
-            for lo, hi, data, off in pieces(batch.column(1)):
+            for lo, hi, data, off in pieces(batch.column(1), PIECE):
                 ids, count = encode(lex, data, off)
                 back, boff = decode(lex, ids, count)
                 same = np.diff(boff) == np.diff(off)

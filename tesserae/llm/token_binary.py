@@ -11,7 +11,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.bpe import RANKS, TOKENIZERS, compile_lexicon, encode, load, load_ranks
+from tesserae.llm.bpe import PIECE, RANKS, TOKENIZERS, compile_lexicon, encode, load, load_ranks
 from tesserae.llm.shared import put_file, written
 from tesserae.llm.text import U, buffers, pieces
 
@@ -139,7 +139,7 @@ def token_table(docs: DataFrame, tokenizers: str = TOKENIZERS, ranks: str = RANK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = load(SparkFiles.get(name))
         for batch in batches:
-            for lo, hi, data, off in pieces(batch.column(1)):
+            for lo, hi, data, off in pieces(batch.column(1), PIECE):
                 ids, count = encode(lex, data, off)
                 raw = ids.astype(kind)
                 ends = np.concatenate([[0], np.cumsum(count)]) * raw.itemsize
