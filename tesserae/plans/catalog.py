@@ -1,4 +1,794 @@
-"""The driver's queries over the library, and the SQL that says the same."""
+"""The driver's queries over the library, and the SQL that says the same.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The corpus is the table documents, each document one chunk; the queries are the rows of benchmark; a document is relevant to
+a benchmark passage that it contains. Where text and vectors must meet, documents.doc_id is paired with embeddings.vec_id.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import text as T
+from tesserae.functions import vectors as V
+from tesserae.operators import chunking, dense, evaluate, expand, filters, fusion, graph, lexical, rerank, sparse
+from tesserae.operators.lexical import rounded
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def chunks(spark, d) -> DataFrame:
+    return documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
+
+
+def asked(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+
+
+def vector_queries(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def index(spark, d) -> lexical.Index:
+    return lexical.build(chunks(spark, d))
+
+
+def top(spark, d, k: int) -> DataFrame:
+    return lexical.search(index(spark, d), asked(spark, d), k)
+
+
+def judgements(spark, d) -> DataFrame:
+    return asked(spark, d).join(chunks(spark, d).withColumnRenamed("text", "body"), F.contains("body", "text")).select("query_id", "doc_id", F.lit(1).alias("grade"))
+
+
+def paired_queries(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").join(vectors(spark, d), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "embedding")
+
+
+def paired_vectors(spark, d) -> DataFrame:
+    return vectors(spark, d).join(documents(spark, d).select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
+
+
+def dense_hits(spark, d, k: int) -> DataFrame:
+    return dense.search(paired_vectors(spark, d), paired_queries(spark, d), k).withColumnRenamed("vec_id", "chunk_id")
+
+
+def out(df: DataFrame, *doubles: str, ranks: tuple[str, ...] = ("rank",)) -> DataFrame:
+    """Doubles to 6 places, ranks as int."""
+    return df.select([rounded(c).alias(c) if c in doubles else F.col(c).cast("int").alias(c) if c in ranks else F.col(c) for c in df.columns])
+
+
+def _tok(col: str) -> str:
+    return f"list_transform(list_filter(regexp_extract_all(replace(coalesce({col}, ''), '''', ''), '[A-Za-z0-9]+'), lambda x: strlen(x) BETWEEN 2 AND 40), lambda x: lower(x))"
+
+
+def _sent(col: str, more: int) -> str:
+    return rf"list_filter(list_transform(regexp_extract_all({col}, '[^.!?\n]*[.!?\n]|[^.!?\n]+$'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: strlen(s) > {more})"
+
+
+INDEX = f"""
+tf AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL),
+dl AS (SELECT d.doc_id AS chunk_id, coalesce(s.dl, 0) AS dl FROM documents d LEFT JOIN (SELECT chunk_id, sum(tf) AS dl FROM tf GROUP BY 1) s ON s.chunk_id = d.doc_id),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+ts AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), st),
+po AS (SELECT term, chunk_id, tf, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN dl USING (chunk_id), st),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, sum(qtf * idf * w) AS score FROM q JOIN ts USING (term) JOIN po USING (term) GROUP BY ALL),
+bm AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM sc)
+"""
+DENSE = """
+dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM (
+  SELECT item_id AS query_id, v.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)))
+"""
+LISTS = f"{INDEX}, {DENSE}, hits AS (SELECT query_id, 'bm25' AS list_id, chunk_id, score, rank FROM bm WHERE rank <= 60 UNION ALL SELECT query_id, 'dense', chunk_id, score, rank FROM dn WHERE rank <= 60)"
+BOUNDS = """bo AS (SELECT h.*, lo, hi FROM hits h JOIN (
+  SELECT query_id, list_id, min(score) AS lo, max(score) FILTER (place = CASE WHEN n < 8 THEN 1 ELSE least(greatest(floor(0.0099999 * n), 1), n - 1) + 1 END) AS hi
+  FROM (SELECT *, count(*) OVER w0 AS n, row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, chunk_id) AS place FROM hits WINDOW w0 AS (PARTITION BY query_id, list_id)) GROUP BY ALL) USING (query_id, list_id))"""
+FUSED = "SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id))::INT AS rank FROM fu"
+QRELS = "qr AS (SELECT item_id AS query_id, doc_id, 1 AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+RUN = f"{INDEX}, {QRELS}, run AS (SELECT query_id, chunk_id AS doc_id, rank FROM bm WHERE rank <= 100)"
+
+
+def _scale(lo: str, hi: str) -> str:
+    return f"CASE WHEN {hi} - {lo} > 1e-9 THEN greatest(0, least(1, (score - {lo}) / ({hi} - {lo}))) ELSE 1 END"
+
+
+# --- text ---
+
+
+@query(f"SELECT doc_id, term, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest({_tok('text')}) AS term FROM documents) GROUP BY ALL")
+def tok_counts(spark, d):
+    return lexical.term_rows(documents(spark, d), "doc_id", False, False).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(f"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest({_tok('text')}) AS term FROM documents) WHERE term NOT IN ({_STOP}) GROUP BY 1")
+def stopword_filter(spark, d):
+    return lexical.term_rows(documents(spark, d), "doc_id", True, False).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query()
+def stem_counts(spark, d):
+    return lexical.term_rows(documents(spark, d), "doc_id", True, True).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, (pos - 1)::INT AS pos, s[pos] AS text FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {_sent('text', 2)} AS s FROM documents))")
+def proposition_chunks(spark, d):
+    return chunking.propositions(documents(spark, d))
+
+
+@query(f"SELECT doc_id, len(s)::INT AS n, coalesce(list_max(list_transform(s, lambda x: strlen(x))), 0)::INT AS longest FROM (SELECT doc_id, {_sent('text', 8)} AS s FROM documents)")
+def sentence_split(spark, d):
+    s = T.sentences(F.col("text"), 8)
+    return documents(spark, d).select("doc_id", F.size(s).alias("n"), F.coalesce(F.array_max(F.transform(s, F.octet_length)), F.lit(0)).alias("longest"))
+
+
+@query(r"""SELECT doc_id, pos::INT AS pos, text FROM (SELECT doc_id, pos, regexp_replace(array_to_string(l[pos * 40 + 1 : pos * 40 + 40], chr(10)), '[\n ]+$', '') AS text
+FROM (SELECT doc_id, l, unnest(range(0, ((len(l) - 1) // 40) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE text <> ''""")
+def fixed_windows_simple(spark, d):
+    return chunking.plain_windows(documents(spark, d))
+
+
+@query()
+def fixed_chunks(spark, d):
+    return chunking.fixed(documents(spark, d))
+
+
+@query()
+def semantic_chunks_lexical(spark, d):
+    return chunking.semantic(documents(spark, d))
+
+
+@query()
+def semantic_chunks_embedding(spark, d):
+    return chunking.semantic(documents(spark, d), lexical=False, dim=64)
+
+
+@query()
+def source_chunks(spark, d):
+    pages = table(spark, d, "pages")
+    return chunking.source(pages.select(F.col("page_id").alias("doc_id"), F.lit(".html").alias("ext"), F.col("html").alias("text")))
+
+
+@query(f"""WITH c AS (SELECT doc_id, pos, s[pos] AS text, s FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {_sent('text', 2)} AS s FROM documents))),
+s AS (SELECT doc_id, s, z[s] AS sentence, {_tok('z[s]')} AS st FROM (SELECT doc_id, z, unnest(range(1, len(z) + 1)) AS s FROM (SELECT doc_id, {_sent('text', 8)} AS z FROM documents))),
+o AS (SELECT c.doc_id, c.pos, s.s, sentence, len(list_filter(st, lambda t: list_contains(ct, t))) AS shared
+  FROM (SELECT doc_id, pos, text, list_distinct({_tok('text')}) AS ct FROM c) c JOIN s ON s.doc_id = c.doc_id AND NOT contains(c.text, sentence)),
+b AS (SELECT doc_id, pos, arg_max(sentence, struct_pack(a := shared, b := -s)) AS best FROM o WHERE shared > 0 GROUP BY 1, 2),
+t AS (SELECT doc_id, regexp_replace(regexp_extract(text, '^([^\\n]*)', 1), '^[# ]+', '') AS title FROM documents)
+SELECT c.doc_id, (c.pos - 1)::INT AS pos, concat_ws(' — ', CASE WHEN title <> '' THEN title END, best) AS context FROM c JOIN t USING (doc_id) LEFT JOIN b USING (doc_id, pos)""")
+def contextual_extractive(spark, d):
+    docs = documents(spark, d)
+    return chunking.situate(docs, chunking.propositions(docs)).select("doc_id", "pos", "context")
+
+
+@query(r"""SELECT n_nationkey::BIGINT AS row, concat_ws(chr(10), 'n_nationkey: ' || n_nationkey::VARCHAR, CASE WHEN n_name <> '' THEN 'n_name: ' || n_name END, 'n_regionkey: ' || n_regionkey::VARCHAR) AS text FROM nation""")
+def csv_row_documents(spark, d):
+    from tesserae.sources.rows import row_text
+
+    nation = table(spark, d, "nation")
+    return nation.select(F.col("n_nationkey").cast("long").alias("row"), row_text(nation.columns).alias("text"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', ''), '(\.[^./]+)$', 1)) AS ext,
+CASE WHEN lower(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', ''), '(\.[^./]+)$', 1)) IN ('.md', '.markdown', '.html', '.htm', '.rst') THEN 'markup' ELSE 'unknown' END AS language FROM pages""")
+def lang_detect(spark, d):
+    ext = T.extension(F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"\?.*$", ""))
+    return table(spark, d, "pages").select("page_id", ext.alias("ext"), T.language(ext).alias("language"))
+
+
+_CANON = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '#.*$', ''), '\?.*$', ''), '^.*/', ''), '\.[^.]*$', ''), '[^A-Za-z0-9]', '', 'g'))"
+
+
+@query(f"SELECT page_id, {_CANON.format('url')} AS key FROM pages")
+def canon_key(spark, d):
+    return table(spark, d, "pages").select("page_id", T.canonical_key(F.col("url")).alias("key"))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '<(script|style|head|noscript)\b.*?</(script|style|head|noscript)>', '', 'gis') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|blockquote|pre)\b[^>]*>', chr(10), 'gi') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM b)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM c""")
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query()
+def html_scanner(spark, d):
+    from tesserae.sources.markup import html_to_text
+
+    return table(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT text_id, stride_no::INT AS stride_no, array_to_string(w[stride_no * 64 + 1 : stride_no * 64 + 64], ' ') AS text FROM (SELECT text_id, w, unnest(range(0, ((len(w) - 1) // 64) + 1)) AS stride_no FROM (SELECT doc_id AS text_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0)")
+def ws_strides(spark, d):
+    return expand.strides(documents(spark, d).withColumnRenamed("doc_id", "text_id"))
+
+
+# --- lexical ---
+
+
+@query(f"WITH {INDEX} SELECT term, df::BIGINT AS df, round(idf, 6) + 0.0 AS idf, n::BIGINT AS n, round(avgdl, 6) + 0.0 AS avgdl FROM ts, st")
+def bm25_stats(spark, d):
+    x = index(spark, d)
+    return out(x.term_stats.crossJoin(F.broadcast(x.stats)), "idf", "avgdl")
+
+
+@query(f"WITH {INDEX} SELECT term, chunk_id, tf::BIGINT AS tf, round(w, 6) + 0.0 AS w FROM po")
+def bm25_postings_weight(spark, d):
+    return out(index(spark, d).postings, "w")
+
+
+@query(f"WITH {INDEX} SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM bm WHERE rank <= 10")
+def bm25_top10(spark, d):
+    return out(top(spark, d, 10), "score")
+
+
+@query()
+def bm25_stemmed_top10(spark, d):
+    x = lexical.build(chunks(spark, d), stopwords=True, stem=True)
+    return out(lexical.search(x, asked(spark, d), 10), "score")
+
+
+@query(f"WITH {INDEX}, {QRELS} SELECT query_id, doc_id AS chunk_id, round(coalesce(score, 0), 6) + 0.0 AS score FROM qr LEFT JOIN sc ON sc.query_id = qr.query_id AND chunk_id = doc_id".replace("SELECT query_id, doc_id AS", "SELECT qr.query_id, doc_id AS"))
+def bm25_score_doc(spark, d):
+    pairs = judgements(spark, d).withColumnRenamed("doc_id", "chunk_id")
+    return out(lexical.score_pairs(index(spark, d), asked(spark, d), pairs), "score")
+
+
+@query(f"""WITH {INDEX} SELECT query_id, chunk_id, term, tf::BIGINT AS tf, round(idf, 6) + 0.0 AS idf, round(idf * w, 6) + 0.0 AS contribution,
+(row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(idf * w, 6) DESC, term))::INT AS place FROM bm JOIN q USING (query_id) JOIN ts USING (term) JOIN po USING (term, chunk_id) WHERE rank <= 10""")
+def bm25_explain(spark, d):
+    x = index(spark, d)
+    return out(lexical.explain(x, asked(spark, d), lexical.search(x, asked(spark, d), 10)), "idf", "contribution", ranks=("place",))
+
+
+@query(f"""WITH {INDEX} SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank
+FROM sc WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) WHERE rank <= 10""")
+def bm25_tombstones(spark, d):
+    deleted = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
+    return out(lexical.search(index(spark, d), asked(spark, d), 10, deleted), "score")
+
+
+@query(f"""WITH {INDEX} SELECT query_id, chunk_id, count(*)::BIGINT AS covered, any_value(terms)::BIGINT AS terms FROM bm JOIN q USING (query_id) JOIN po USING (term, chunk_id)
+JOIN (SELECT query_id, count(*) AS terms FROM q GROUP BY 1) USING (query_id) WHERE rank <= 20 GROUP BY ALL""")
+def term_coverage(spark, d):
+    x = index(spark, d)
+    return lexical.coverage(x, asked(spark, d), lexical.search(x, asked(spark, d), 20))
+
+
+PRF = f"""WITH {INDEX}, m AS (SELECT query_id, term, sum(tf) AS n FROM bm JOIN tf USING (chunk_id) WHERE rank <= 5 AND (query_id, term) NOT IN (SELECT (query_id, term) FROM q) GROUP BY ALL)
+SELECT query_id, term, n::BIGINT AS n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS place FROM m) WHERE place <= 8"""
+
+
+@query(PRF)
+def prf_terms(spark, d):
+    return out(expand.feedback_terms(index(spark, d), asked(spark, d)), ranks=("place",))
+
+
+# --- vectors ---
+
+_ALL = "SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v"
+_TOP = "SELECT query_id, vec_id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s) WHERE rank <= 10"
+
+
+@query(f"WITH s AS ({_ALL} WHERE q.vec_id <> v.vec_id) {_TOP}")
+def dense_top10(spark, d):
+    return out(dense.search(vectors(spark, d), vector_queries(spark, d), 10, exclude_self=True), "score")
+
+
+@query(f"WITH s AS ({_ALL} WHERE v.label IN (SELECT min(label) FROM embeddings)) {_TOP}")
+def dense_filtered(spark, d):
+    v = vectors(spark, d)
+    return out(dense.search(v.join(F.broadcast(v.agg(F.min("label").alias("label"))), "label", "left_semi"), vector_queries(spark, d), 10), "score")
+
+
+@query(f"WITH s AS ({_ALL}) {_TOP}")
+def dense_batch(spark, d):
+    return out(dense.search_batches(vectors(spark, d), vector_queries(spark, d), 10), "score")
+
+
+def _phase(cheap: str, pool: int) -> str:
+    return f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cheap, 6) DESC, vec_id) AS place FROM (SELECT q.vec_id AS query_id, v.vec_id, {cheap} AS cheap, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+FROM (SELECT *, {_SQ.format('embedding')} AS sq, {_SG.format('embedding')} AS sg FROM embeddings) q, (SELECT *, {_SQ.format('embedding')} AS sq, {_SG.format('embedding')} AS sg FROM embeddings) v)), s AS (SELECT query_id, vec_id, score FROM p WHERE place <= {pool}) {_TOP}"""
+
+
+_SQ = "list_transform({0}::DOUBLE[], lambda x: round(greatest(-127, least(127, x * 127))))"
+_SG = "list_transform({0}::DOUBLE[], lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END)"
+
+
+@query(_phase("list_dot_product(q.sq, v.sq)", 40))
+def sq8_two_phase(spark, d):
+    return out(dense.sq8_search(vectors(spark, d), vector_queries(spark, d)), "score")
+
+
+@query(_phase("list_dot_product(q.sg, v.sg)", 100))
+def sign_hamming_two_phase(spark, d):
+    return out(dense.sign_search(vectors(spark, d), vector_queries(spark, d), 64), "score")
+
+
+@query(_phase("list_dot_product(q.embedding[1:16]::DOUBLE[], v.embedding[1:16]::DOUBLE[])", 100))
+def matryoshka_two_phase(spark, d):
+    return out(dense.prefix_search(vectors(spark, d), vector_queries(spark, d)), "score")
+
+
+@query(f"WITH s AS ({_ALL.replace('embeddings v', '(SELECT CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE vec_id - 1 END AS vec_id, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) v')}) {_TOP}")
+def vector_store_upsert(spark, d):
+    v = vectors(spark, d)
+    odd = v.filter("vec_id % 2 = 1").withColumn("vec_id", F.col("vec_id") - 1)
+    store = dense.VectorStore(spark, 64).add(v).add(odd).remove(v.filter("vec_id % 2 = 1"))
+    return out(store.search(vector_queries(spark, d), 10), "score")
+
+
+@query()
+def pq_adc(spark, d):
+    v = vectors(spark, d)
+    book = dense.pq_train(v).persist()
+    return out(dense.pq_search(dense.pq_encode(v, book), book, vector_queries(spark, d), 10), "score")
+
+
+@query()
+def ivf_top10(spark, d):
+    v = vectors(spark, d)
+    centres = dense.ivf_train(v, 16)
+    return out(dense.ivf_search(dense.ivf_assign(v, centres), centres, vector_queries(spark, d), 8, 10), "score")
+
+
+# --- filters ---
+
+_META = "(SELECT doc_id, lang, source FROM documents)"
+
+
+def _meta(spark, d) -> DataFrame:
+    return documents(spark, d).select("doc_id", F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("n_chars"), F.col("n_chars").cast("string")).alias("meta"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND (source IN ('src1', 'src2', 'src3') OR contains(source, '9'))")
+def filter_tree_eq_in(spark, d):
+    tree = {"and": [{"field": "lang", "value": "en"}, {"or": [{"field": "source", "op": "in", "value": ["src1", "src2", "src3"]}, {"field": "source", "op": "contains", "value": "9"}]}]}
+    return _meta(spark, d).filter(filters.compile_filter(tree, ["lang", "source"])).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars >= 1000 AND NOT n_chars > 2500 AND source > 'src15'")
+def filter_tree_numeric(spark, d):
+    tree = {"and": [{"field": "n_chars", "op": "gte", "value": 1000}, {"not": {"field": "n_chars", "op": "gt", "value": 2500}}, {"field": "source", "op": "gt", "value": "src15"}]}
+    return _meta(spark, d).filter(filters.compile_filter(tree, ["n_chars", "source"])).select("doc_id")
+
+
+@query("SELECT event_id FROM events WHERE coalesce(json_extract_string(props, '$.k'), '') <> '7'")
+def filter_exists_ne(spark, d):
+    events = table(spark, d, "events").withColumn("meta", F.from_json("props", "map<string,string>"))
+    tree = {"and": [{"field": "k", "op": "ne", "value": 7}, {"or": [{"field": "k", "op": "exists"}, {"field": "k", "op": "nin", "value": ["1"]}]}]}
+    return events.filter(filters.compile_filter(tree, ["k"])).select("event_id")
+
+
+@query(f"""WITH {INDEX} SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, rank::INT AS rank, used::BIGINT AS used FROM (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM (
+SELECT query_id, chunk_id, score, rank, strlen(text) // 4 AS cost FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 20)) WHERE rank = 1 OR used <= 2000""")
+def token_budget(spark, d):
+    return out(filters.budget(top(spark, d, 20), chunks(spark, d), 20, tokens=2000), "score")
+
+
+# --- fusion ---
+
+
+def lists(spark, d, k: int = 60) -> DataFrame:
+    return fusion.as_list(top(spark, d, k), "bm25").unionByName(fusion.as_list(dense_hits(spark, d, k), "dense"))
+
+
+@query(f"WITH {LISTS}, fu AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM hits GROUP BY ALL) {FUSED}")
+def rrf(spark, d):
+    return out(fusion.rrf(lists(spark, d)), "score")
+
+
+@query(f"WITH {LISTS}, fu AS (SELECT query_id, chunk_id, sum(CASE WHEN list_id = 'dense' THEN 2.0 ELSE 0.5 END / (60 + rank)) AS score FROM hits GROUP BY ALL) {FUSED}")
+def rrf_weighted(spark, d):
+    return out(fusion.rrf(lists(spark, d), {"dense": 2.0, "bm25": 0.5}), "score")
+
+
+@query(f"WITH {LISTS}, {BOUNDS}, fu AS (SELECT query_id, chunk_id, sum({_scale('lo', 'hi')}) AS score FROM bo GROUP BY ALL) {FUSED}")
+def rsf(spark, d):
+    return out(fusion.rsf(lists(spark, d)), "score")
+
+
+_CONVEX = "sum(CASE WHEN list_id = 'dense' THEN {a} * " + _scale("-1.0", "hi") + " ELSE (1 - {a}) * " + _scale("0.0", "hi") + " END)"
+
+
+@query(f"WITH {LISTS}, {BOUNDS}, fu AS (SELECT query_id, chunk_id, {_CONVEX.format(a='0.8')} AS score FROM bo GROUP BY ALL) {FUSED}")
+def convex(spark, d):
+    return out(fusion.convex(lists(spark, d)), "score")
+
+
+@query(f"""WITH {LISTS}, {BOUNDS}, cf AS (SELECT query_id, list_id, CASE WHEN count(*) < 2 OR max(score) - min(score) <= 1e-9 THEN 0.5 ELSE (max(score) - avg(score)) / (max(score) - min(score)) END AS c FROM hits GROUP BY ALL),
+al AS (SELECT query_id, greatest(0, least(1, 0.8 + 0.35 * (coalesce(max(c) FILTER (list_id = 'dense'), 0.5) - coalesce(max(c) FILTER (list_id = 'bm25'), 0.5)))) AS a FROM cf GROUP BY 1),
+fu AS (SELECT query_id, chunk_id, {_CONVEX.format(a='a')} AS score FROM bo JOIN al USING (query_id) GROUP BY ALL) {FUSED}""")
+def convex_adaptive(spark, d):
+    return out(fusion.convex(lists(spark, d), adaptive=True), "score")
+
+
+FEATURE = """fr AS (SELECT query_id, chunk_id, 0.9 * CASE WHEN hi - lo > 1e-9 THEN (score - lo) / (hi - lo) ELSE 1 END + 0.1 * covered / terms AS score FROM (
+  SELECT query_id, chunk_id, score, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {0})
+  JOIN (SELECT h.query_id, h.chunk_id, count(po.term) AS covered FROM {0} h JOIN q ON q.query_id = h.query_id LEFT JOIN po ON po.chunk_id = h.chunk_id AND po.term = q.term GROUP BY ALL) USING (query_id, chunk_id)
+  JOIN (SELECT query_id, count(*) AS terms FROM q GROUP BY 1) USING (query_id))"""
+
+
+@query(f"WITH {INDEX}, h20 AS (SELECT * FROM bm WHERE rank <= 20), {FEATURE.format('h20')}, fu AS (FROM fr) {FUSED}")
+def feature_rerank(spark, d):
+    x = index(spark, d)
+    return out(rerank.feature_rerank(lexical.search(x, asked(spark, d), 20), x, asked(spark, d)), "score")
+
+
+@query(f"WITH {LISTS}, {BOUNDS}, cv AS (SELECT query_id, chunk_id, {_CONVEX.format(a='0.8')} AS score FROM bo GROUP BY ALL), {FEATURE.format('cv')}, fu AS (FROM fr) SELECT * FROM ({FUSED}) WHERE rank <= 10")
+def hybrid_standard(spark, d):
+    x = index(spark, d)
+    fused = fusion.convex(lists(spark, d))
+    return out(rerank.feature_rerank(fused, x, asked(spark, d)), "score").filter("rank <= 10")
+
+
+# --- reranking ---
+
+_OVERLAP = f"len(list_intersect(list_distinct({_tok('b.text')}), list_distinct({_tok('d.text')}))) / greatest(1, len(list_distinct({_tok('b.text')})))"
+
+
+@query(f"""WITH {INDEX}, h AS (SELECT query_id, chunk_id, score, rank, {_OVERLAP} AS ce FROM bm JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id WHERE rank <= 20),
+m AS (SELECT query_id, chunk_id, rank, 0.5 * (CASE WHEN max(ce) OVER w - min(ce) OVER w > 1e-9 THEN (ce - min(ce) OVER w) / (max(ce) OVER w - min(ce) OVER w) ELSE 1 END)
+  + 0.5 * (CASE WHEN max(score) OVER w - min(score) OVER w > 1e-9 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END) AS score FROM h WINDOW w AS (PARTITION BY query_id))
+SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank))::INT AS rank FROM m""")
+def cross_encoder_blend(spark, d):
+    return out(rerank.cross_encode(top(spark, d, 20), chunks(spark, d), asked(spark, d), rerank.overlap_scorer), "score")
+
+
+@query("""WITH p AS (SELECT vec_id AS query_id, list_transform(range(0, 4), lambda k: embedding[k * 16 + 1 : k * 16 + 16]::DOUBLE[]) AS m FROM embeddings),
+s AS (SELECT a.query_id, b.query_id AS chunk_id, list_sum(list_transform(a.m, lambda x: greatest(0, list_max(list_transform(b.m, lambda y: list_dot_product(x, y)))))) AS score FROM p a, p b WHERE b.query_id < a.query_id + 3 AND b.query_id > a.query_id - 3)
+SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score FROM s""")
+def colbert_maxsim(spark, d):
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, F.lit(16)))
+    m = vectors(spark, d).select("vec_id", parts.alias("m"))
+    pairs = m.select(F.explode(F.sequence(F.col("vec_id") - 2, F.col("vec_id") + 2)).alias("chunk_id"), F.col("vec_id").alias("query_id"), F.col("m").alias("q_tokens")).join(m.select(F.col("vec_id").alias("chunk_id"), F.col("m").alias("d_tokens")), "chunk_id")
+    return out(rerank.maxsim(pairs).select("query_id", "chunk_id", "score"), "score")
+
+
+@query()
+def late_interaction(spark, d):
+    from tesserae.functions.hashing import token_embedding
+
+    return out(rerank.late_rerank(top(spark, d, 10), chunks(spark, d), asked(spark, d), token_embedding), "score")
+
+
+@query()
+def mmr(spark, d):
+    return out(rerank.mmr(top(spark, d, 20), chunks(spark, d), 0.5, 10), "score")
+
+
+@query()
+def dartboard(spark, d):
+    return out(rerank.dartboard(top(spark, d, 20), chunks(spark, d), k=10), "score")
+
+
+@query()
+def dedup(spark, d):
+    return out(rerank.fold_duplicates(top(spark, d, 20), chunks(spark, d)), "score")
+
+
+@query(f"""WITH {INDEX}, g AS (SELECT query_id, chunk_id, score, rank, lag(score) OVER (PARTITION BY query_id ORDER BY rank) - score AS gap, count(*) OVER (PARTITION BY query_id) AS n FROM bm WHERE rank <= 20),
+m AS (SELECT *, avg(CASE WHEN gap > 0 THEN gap END) OVER (PARTITION BY query_id) AS mean FROM g),
+c AS (SELECT *, min(CASE WHEN rank > 3 AND n >= 3 AND gap >= 2 * mean THEN rank END) OVER (PARTITION BY query_id) AS cut FROM m)
+SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM c WHERE cut IS NULL OR rank < cut""")
+def autocut(spark, d):
+    return out(rerank.autocut(top(spark, d, 20)), "score")
+
+
+@query()
+def parent_stitch(spark, d):
+    parts = chunking.numbered(chunking.fixed(documents(spark, d), max_lines=10))
+    hits = lexical.search(lexical.build(parts), asked(spark, d), 30)
+    return out(rerank.stitch(hits, parts), "score")
+
+
+@query()
+def cascade(spark, d):
+    from tesserae.functions.hashing import token_embedding
+
+    final, _ = rerank.cascade(top(spark, d, 60), chunks(spark, d), asked(spark, d), token_embedding, rerank.overlap_scorer, {"retrieve": 60, "late_in": 40, "late_out": 25})
+    return out(final, "score")
+
+
+@query(f"""WITH {INDEX}, h20 AS (SELECT * FROM bm WHERE rank <= 20), g AS (SELECT query_id, chunk_id, greatest(0, least(1, 0.75 * (CASE WHEN hi - lo > 1e-9 THEN (score - lo) / (hi - lo) ELSE 1 END) + 0.25 * covered / terms)) AS relevance FROM (
+  SELECT query_id, chunk_id, score, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM h20)
+  JOIN (SELECT h.query_id, h.chunk_id, count(*) AS covered FROM h20 h JOIN q ON q.query_id = h.query_id JOIN po ON po.chunk_id = h.chunk_id AND po.term = q.term GROUP BY ALL) USING (query_id, chunk_id)
+  JOIN (SELECT query_id, count(*) AS terms FROM q GROUP BY 1) USING (query_id)),
+a AS (SELECT *, max(relevance) OVER (PARTITION BY query_id) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 6) DESC, chunk_id) AS place FROM g)
+SELECT query_id, chunk_id, round(relevance, 6) + 0.0 AS relevance, round(confidence, 6) + 0.0 AS confidence, CASE WHEN confidence >= 0.6 THEN 'correct' ELSE 'ambiguous' END AS action, 'corpus' AS source
+FROM a WHERE relevance > 0.3 AND place <= 3 AND confidence > 0.3""")
+def crag_action(spark, d):
+    x = index(spark, d)
+    return out(rerank.correct(lexical.search(x, asked(spark, d), 20), x, asked(spark, d)), "relevance", "confidence")
+
+
+@query(f"""WITH a AS (SELECT item_id, s, z[s] AS sentence FROM (SELECT item_id, z, unnest(range(1, len(z) + 1)) AS s FROM (SELECT item_id, {_sent('text', 6)} AS z FROM benchmark))),
+bag AS (SELECT DISTINCT item_id, unnest({_tok('d.text')}) AS term FROM benchmark b JOIN documents d ON doc_id = item_id),
+t AS (SELECT item_id, s, unnest({_tok('sentence')}) AS term FROM a), h AS (SELECT t.item_id, s, avg(CASE WHEN bag.term IS NULL THEN 0 ELSE 1 END) AS share FROM t LEFT JOIN bag ON bag.item_id = t.item_id AND bag.term = t.term GROUP BY ALL)
+SELECT b.item_id AS query_id, round(coalesce(avg(CASE WHEN a.s IS NULL THEN NULL WHEN share >= 0.5 THEN 1.0 ELSE 0.0 END), 0), 6) + 0.0 AS support FROM benchmark b LEFT JOIN a ON a.item_id = b.item_id LEFT JOIN h ON h.item_id = a.item_id AND h.s = a.s GROUP BY 1""")
+def support_score(spark, d):
+    known = asked(spark, d).select("query_id").join(documents(spark, d), F.col("query_id") == F.col("doc_id")).select("query_id", "text")
+    return out(rerank.support(asked(spark, d), known), "support")
+
+
+@query(f"WITH {INDEX}, h AS (SELECT * FROM bm WHERE rank <= 10) SELECT query_id, chunk_id, round(exp((score - m) / 2.0) / sum(exp((score - m) / 2.0)) OVER (PARTITION BY query_id), 6) + 0.0 AS weight FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM h)")
+def ensemble_weights(spark, d):
+    return out(rerank.ensemble_weights(top(spark, d, 10), 2.0).select("query_id", "chunk_id", "weight"), "weight")
+
+
+@query("""WITH w AS (SELECT label AS query_id, vec_id, exp(vec_id / -1000.0) / sum(exp(vec_id / -1000.0)) OVER (PARTITION BY label) AS weight, embedding FROM embeddings)
+SELECT query_id, (slot - 1)::INT AS slot, round(sum(weight * embedding[slot]::DOUBLE), 6) + 0.0 AS p FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS slot FROM w) GROUP BY ALL""")
+def replug_combine(spark, d):
+    v = vectors(spark, d).select(F.col("label").alias("query_id"), "vec_id", (F.col("vec_id") / -1000.0).alias("score"), "embedding")
+    mixed = rerank.mix_distributions(rerank.ensemble_weights(v).select("query_id", "weight", V.doubles(F.col("embedding")).alias("dist")))
+    return out(mixed, "p")
+
+
+@query(f"""WITH {INDEX} SELECT b.item_id AS query_id, 'Answer the question using only the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(string_agg('[' || rank || '] ' || d.text, chr(10) ORDER BY rank), '') || chr(10) || chr(10) || 'Question: ' || any_value(b.text) || chr(10) || 'Answer:' AS prompt
+FROM benchmark b LEFT JOIN bm ON bm.query_id = item_id AND rank <= 3 LEFT JOIN documents d ON doc_id = chunk_id GROUP BY 1""")
+def prompt_assembly(spark, d):
+    return rerank.prompt(top(spark, d, 3), chunks(spark, d), asked(spark, d))
+
+
+# --- sparse and expanded queries ---
+
+SPARSE = """im AS (SELECT term, chunk_id, ln(1 + tf) * idf AS w FROM po JOIN ts USING (term)),
+sm AS (SELECT chunk_id FROM po GROUP BY 1 HAVING count(*) <= 64), fw AS (SELECT chunk_id, term FROM po WHERE chunk_id IN (FROM sm)),
+pr AS (SELECT a.term, b.term AS other, count(*) AS together FROM fw a JOIN fw b ON a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY ALL),
+wd AS (SELECT pr.term, other, together / sqrt(t.df * o.df + 1) AS weight FROM pr JOIN ts t ON t.term = pr.term JOIN ts o ON o.term = other),
+nb AS (SELECT term, other, weight FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(weight, 9) DESC, other) AS place FROM (SELECT term, other, weight FROM wd UNION ALL SELECT other, term, weight FROM wd)) WHERE place <= 3),
+own AS (SELECT query_id, term, ln(1 + qtf) * idf AS w FROM q JOIN ts USING (term)),
+en AS (SELECT query_id, term, max(w) AS qw FROM (FROM own UNION ALL SELECT query_id, other, 0.35 * w * weight FROM own JOIN nb USING (term)) GROUP BY ALL)"""
+
+
+@query(f"WITH {INDEX}, {SPARSE} SELECT query_id, term, round(qw, 6) + 0.0 AS w FROM en")
+def splade_expand(spark, d):
+    return out(sparse.encode(sparse.build(index(spark, d)), asked(spark, d)), "w")
+
+
+@query(f"WITH {INDEX}, {SPARSE}, fu AS (SELECT query_id, chunk_id, sum(qw * w) AS score FROM en JOIN im USING (term) GROUP BY ALL) SELECT * FROM ({FUSED}) WHERE rank <= 10")
+def splade_top10(spark, d):
+    return out(sparse.search(sparse.build(index(spark, d)), asked(spark, d)), "score")
+
+
+def _variants(expr: str, name: str) -> str:
+    """Retrieval of query texts in {name} (variant_id, query_id, list_id, text) and their fusion."""
+    base = INDEX[: INDEX.index("\nq AS")].rstrip().rstrip(",")
+    return f"""WITH {base}, va AS ({expr}), vq AS (SELECT query_id, list_id, term, count(*) AS qtf FROM (SELECT query_id, list_id, unnest({_tok('text')}) AS term FROM va) GROUP BY ALL),
+vs AS (SELECT query_id, list_id, chunk_id, sum(qtf * idf * w) AS score FROM vq JOIN ts USING (term) JOIN po USING (term) GROUP BY ALL),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM vs),
+fu AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS score FROM vr WHERE rank <= 60 GROUP BY ALL) SELECT * FROM ({FUSED}) WHERE rank <= 10"""
+
+
+_FIRST = _sent("text", 2)
+
+
+@query(_variants(f"SELECT item_id AS query_id, 0 AS list_id, text FROM benchmark UNION ALL SELECT item_id, i, s[i] FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {_FIRST} AS s FROM benchmark))", "va"))
+def multi_query_rrf(spark, d):
+    x = index(spark, d)
+    return out(expand.multi_query(asked(spark, d), lambda t: T.sentences(t, 2), lambda q, k: lexical.search(x, q, k)), "score")
+
+
+@query(_variants(f"SELECT item_id AS query_id, 0 AS list_id, text FROM benchmark UNION ALL SELECT item_id, 1, s[1] FROM (SELECT item_id, {_FIRST} AS s FROM benchmark) WHERE len(s) > 0", "va"))
+def hyde_rrf(spark, d):
+    x = index(spark, d)
+    return out(expand.hyde(asked(spark, d), lambda t: T.sentences(t, 2), lambda q, k: lexical.search(x, q, k)), "score")
+
+
+@query()
+def retro_neighbours(spark, d):
+    talk = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    x = index(spark, d)
+    return expand.chunk_neighbours(talk.withColumnRenamed("conv_id", "text_id"), chunks(spark, d), lambda q, k: lexical.search(x, q, k))
+
+
+@query()
+def ralm_plan(spark, d):
+    x = index(spark, d)
+    return expand.retrieval_plan(asked(spark, d).withColumnRenamed("query_id", "text_id"), lambda q, k: lexical.search(x, q, k), 16, 32)
+
+
+# --- graph ---
+
+_HREF = "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)"
+
+
+@query(f"""WITH nm AS (SELECT key, min(page_id) AS "to" FROM (SELECT page_id, {_CANON.format('url')} AS key FROM pages) WHERE key <> '' GROUP BY 1),
+sd AS (SELECT page_id, {_CANON.format('t')} AS key FROM (SELECT page_id, unnest({_HREF}) AS t FROM pages))
+SELECT least(page_id, "to") AS a, greatest(page_id, "to") AS b, count(*) * 2.0::DOUBLE AS weight, 'link' AS kind FROM sd JOIN nm USING (key) WHERE page_id <> "to" GROUP BY ALL""")
+def link_edges(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), F.lit("").alias("title"), F.col("html").alias("text"))
+    return graph.link_edges(pages, F.regexp_extract_all("text", F.lit('href="([^"]*)"'), F.lit(1)))
+
+
+def _doc_terms(spark, d) -> DataFrame:
+    return documents(spark, d).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+
+
+SIM = f"""te AS (SELECT doc_id, unnest(list_distinct({_tok('text')})) AS term FROM documents), sz AS (SELECT doc_id, count(*) AS n FROM te GROUP BY 1), us AS (SELECT term FROM te GROUP BY 1 HAVING count(*) <= 50),
+sp AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS shared FROM te x JOIN te y USING (term) WHERE term IN (FROM us) AND x.doc_id < y.doc_id GROUP BY ALL),
+pa AS (SELECT x, y, shared / (a.n + b.n - shared) AS sim FROM sp JOIN sz a ON a.doc_id = x JOIN sz b ON b.doc_id = y WHERE shared / (a.n + b.n - shared) >= 0.15),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(sim, 9) DESC, y) AS place FROM (SELECT x, y, sim FROM pa UNION ALL SELECT y, x, sim FROM pa)) WHERE place <= 8),
+ed AS (SELECT least(x, y) AS a, greatest(x, y) AS b, sum(sim) AS weight, 'similarity' AS kind FROM pk GROUP BY 1, 2)"""
+
+
+def _edges(spark, d) -> DataFrame:
+    return graph.similarity_edges(_doc_terms(spark, d), max_df=50)
+
+
+@query(f"WITH {SIM} SELECT a, b, round(weight, 6) + 0.0 AS weight, kind FROM ed")
+def sim_edges(spark, d):
+    return out(_edges(spark, d), "weight")
+
+
+@query()
+def label_communities(spark, d):
+    labels = graph.label_propagation(documents(spark, d).select("doc_id"), _edges(spark, d))
+    return graph.communities(labels)
+
+
+def _sources(spark, d) -> DataFrame:
+    """Documents by source, as communities whose numbers SQL can give."""
+    return graph.communities(documents(spark, d).select("doc_id", F.col("source").alias("label")))
+
+
+SRC = "me AS (SELECT doc_id, dense_rank() OVER (ORDER BY first) - 1 AS community_id FROM documents JOIN (SELECT source, min(doc_id) AS first FROM documents GROUP BY 1) USING (source))"
+
+
+@query(f"""WITH {SIM}, {SRC}, ad AS (SELECT a AS u, b AS v FROM ed UNION ALL SELECT b, a FROM ed), dc AS (SELECT x.community_id, avg((x.community_id = y.community_id)::INT) AS density FROM ad JOIN me x ON x.doc_id = u JOIN me y ON y.doc_id = v GROUP BY 1)
+SELECT me.community_id::INT AS community_id, count(*)::BIGINT AS docs, round(coalesce(any_value(density), 0), 6) + 0.0 AS density FROM me LEFT JOIN dc USING (community_id) GROUP BY 1""")
+def community_density(spark, d):
+    return out(graph.density(_sources(spark, d), _edges(spark, d)), "density", ranks=("community_id",))
+
+
+REPORT = f"""df AS (SELECT community_id, term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_tok('text')})) AS term FROM documents) JOIN me USING (doc_id) GROUP BY ALL),
+sn AS (SELECT doc_id, s, z[s] AS sentence FROM (SELECT doc_id, z, unnest(range(1, len(z) + 1)) AS s FROM (SELECT doc_id, {_sent('text', 12)} AS z FROM documents))),
+sr AS (SELECT community_id, doc_id, s, sentence, sum(df) / sqrt(greatest(strlen(sentence), 1)) AS score FROM (SELECT doc_id, s, sentence, unnest({_tok('sentence')}) AS term FROM sn) JOIN me USING (doc_id) JOIN df USING (community_id, term) GROUP BY ALL),
+sy AS (SELECT community_id, string_agg(sentence, ' ' ORDER BY place) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY round(score, 6) DESC, doc_id, s) AS place FROM sr) WHERE place <= 3 GROUP BY 1)"""
+
+
+@query(f"WITH {SRC}, {REPORT} SELECT community_id::INT AS community_id, summary FROM sy")
+def community_report(spark, d):
+    return out(graph.reports(_sources(spark, d), documents(spark, d)), ranks=("community_id",))
+
+
+@query()
+def pagerank(spark, d):
+    seeds = judgements(spark, d).select("query_id", "doc_id", F.lit(1.0).alias("mass"))
+    return out(graph.pagerank(documents(spark, d).select("doc_id"), _edges(spark, d), seeds), "rank", ranks=())
+
+
+@query()
+def graph_local(spark, d):
+    hits = top(spark, d, 30)
+    return out(graph.local_search(hits, chunks(spark, d), documents(spark, d).select("doc_id"), _edges(spark, d), 10), "score")
+
+
+@query()
+def graph_global(spark, d):
+    members, docs = _sources(spark, d), documents(spark, d)
+    summaries = graph.density(members, _edges(spark, d)).join(graph.reports(members, docs), "community_id").join(graph.leads(members, docs, chunks(spark, d)), "community_id")
+    return out(graph.global_search(index(spark, d), asked(spark, d), summaries), "score")
+
+
+@query()
+def raptor_scan(spark, d):
+    from tesserae.operators import tree
+
+    short = chunks(spark, d)
+    nodes = tree.build(short)
+    return out(tree.search_terms(nodes, asked(spark, d), 10), "score")
+
+
+# --- metrics ---
+
+
+@query(f"""WITH {RUN}, dc AS (SELECT query_id, sum((2 ** grade - 1) / log2(rank + 1)) AS dcg FROM run JOIN qr USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1),
+ic AS (SELECT query_id, sum((2 ** grade - 1) / log2(place + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS place FROM qr) WHERE place <= 10 GROUP BY 1)
+SELECT query_id, round(coalesce(dcg, 0) / idcg, 6) + 0.0 AS ndcg FROM ic LEFT JOIN dc USING (query_id)""")
+def ndcg(spark, d):
+    return out(evaluate.ndcg(_run(spark, d), judgements(spark, d)), "ndcg")
+
+
+def _run(spark, d) -> DataFrame:
+    return top(spark, d, 100).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+
+
+@query(f"""WITH {RUN}, f AS (SELECT query_id, count(*) AS found FROM run JOIN qr USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1), r AS (SELECT query_id, count(*) AS relevant FROM qr GROUP BY 1)
+SELECT query_id, round(coalesce(found, 0) / relevant, 6) + 0.0 AS recall, round(coalesce(found, 0) / 10, 6) + 0.0 AS precision FROM r LEFT JOIN f USING (query_id)""")
+def recall_precision(spark, d):
+    return out(evaluate.recall_precision(_run(spark, d), judgements(spark, d)), "recall", "precision")
+
+
+@query(f"""WITH {RUN}, n AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM run JOIN qr USING (query_id, doc_id)), r AS (SELECT query_id, count(*) AS relevant FROM qr GROUP BY 1)
+SELECT query_id, round(coalesce(sum(nth / rank), 0) / any_value(relevant), 6) + 0.0 AS ap, round(coalesce(1 / min(rank), 0), 6) + 0.0 AS rr FROM r LEFT JOIN n USING (query_id) GROUP BY 1""")
+def map_mrr(spark, d):
+    return out(evaluate.average_precision(_run(spark, d), judgements(spark, d)), "ap", "rr")
+
+
+@query()
+def eval_report(spark, d):
+    m = evaluate.evaluate(_run(spark, d).persist(), judgements(spark, d).persist())
+    return out(m, *[c for c in m.columns if c != "queries"])
+
+
+@query()
+def ann_recall(spark, d):
+    v, q = vectors(spark, d), vector_queries(spark, d)
+    centres = dense.ivf_train(v, 16)
+    found = dense.ivf_search(dense.ivf_assign(v, centres), centres, q, 8, 10)
+    return out(evaluate.recall_against(found, dense.search(v, q, 10)), "recall")
+
+
+# --- store ---
+
+
+@query("""SELECT user_id, event_id, event_type, round(value, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND event_type <> 'error'""")
+def upsert_latest(spark, d):
+    from tesserae.streaming.store import latest
+
+    log = table(spark, d, "events").withColumn("op", F.when(F.col("event_type") == "error", "remove").otherwise("add"))
+    return out(latest(log, "user_id", "event_id").filter("op <> 'remove'").select("user_id", "event_id", "event_type", "value"), "value")
+
+
+@query("""SELECT count(*)::BIGINT AS documents, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))::BIGINT AS live, sum(n_chars)::BIGINT AS chars FROM documents""")
+def corpus_counters(spark, d):
+    from tesserae.streaming.store import counters
+
+    return counters(documents(spark, d), table(spark, d, "labels").filter("toxic = 1").select("doc_id"))
+
+
+@query()
+def hash_embeddings(spark, d):
+    from tesserae.functions.hashing import hash_embedding
+
+    return documents(spark, d).select("doc_id", hash_embedding(F.col("text"), 64).alias("embedding"))
+
+
+@query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS first, list_sum(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END))::INT AS positive FROM embeddings")
+def vector_functions(spark, d):
+    e = F.col("embedding")
+    return vectors(spark, d).select("vec_id", rounded(V.norm(e)).alias("norm"), rounded(V.normalized(e)[0]).alias("first"), F.aggregate(V.signs(e), F.lit(0), lambda s, x: s + x).alias("positive"))
+
+
+def last_turns(df: DataFrame) -> DataFrame:
+    return df.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+
+
+@query("SELECT conv_id, turn, strlen(text)::INT AS bytes, lead(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn)::INT AS next_bytes FROM conversations")
+def continuation(spark, d):
+    return last_turns(table(spark, d, "conversations")).select("conv_id", "turn", F.octet_length("text").alias("bytes"), F.octet_length("next").alias("next_bytes"))
