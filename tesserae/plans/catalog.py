@@ -344,7 +344,11 @@ def matryoshka_two_phase(spark, d):
     return out(dense.prefix_search(vectors(spark, d), vector_queries(spark, d)), "score")
 
 
-@query(f"WITH s AS ({_ALL.replace('embeddings v', '(SELECT CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE vec_id - 1 END AS vec_id, arg_max(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) v')}) {_TOP}")
+_UNIT = "(SELECT {0} AS vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS embedding FROM embeddings)"
+
+
+@query(f"""WITH u AS {_UNIT.format('vec_id')}, s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding, v.embedding) AS score FROM u q,
+(SELECT vec_id - vec_id % 2 AS vec_id, arg_max(embedding, vec_id) AS embedding FROM u GROUP BY 1) v) {_TOP}""")
 def vector_store_upsert(spark, d):
     v = vectors(spark, d)
     odd = v.filter("vec_id % 2 = 1").withColumn("vec_id", F.col("vec_id") - 1)
