@@ -15,12 +15,15 @@ from tesserae.operators import lexical
 from tesserae.operators.lexical import Index, ranked
 
 HITS = "query_id long, chunk_id long, score double, rank int"
-PER_QUERY = Window.partitionBy("query_id")
+
+def per_query():
+    return Window.partitionBy("query_id")
+
 
 
 def scaled(column: str = "score") -> Column:
     """Between the query's least and largest; 1 where they are equal."""
-    lo, hi = F.min(column).over(PER_QUERY), F.max(column).over(PER_QUERY)
+    lo, hi = F.min(column).over(per_query()), F.max(column).over(per_query())
     return F.when(hi - lo > 1e-9, (F.col(column) - lo) / (hi - lo)).otherwise(1.0)
 
 
@@ -43,7 +46,7 @@ def cross_encode(hits: DataFrame, passages: DataFrame, queries: DataFrame, score
     block = hits.filter(F.col("rank") <= top_n).join(passages.select("chunk_id", F.col("text").alias("passage")), "chunk_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     both = block.withColumn("ce", scorer(F.col("query"), F.col("passage")).cast("double")).withColumn("a", scaled("ce")).withColumn("b", scaled("score"))
     mixed = both.select("query_id", "chunk_id", (blend * F.col("a") + (1 - blend) * F.col("b")).alias("score"), F.col("rank").alias("old"))
-    head = mixed.withColumn("rank", F.row_number().over(PER_QUERY.orderBy(F.round("score", 6).desc(), "old"))).select("query_id", "chunk_id", "score", "rank")
+    head = mixed.withColumn("rank", F.row_number().over(per_query().orderBy(F.round("score", 6).desc(), "old"))).select("query_id", "chunk_id", "score", "rank")
     tail = hits.filter(F.col("rank") > top_n).select("query_id", "chunk_id", "score", "rank")
     return head.unionByName(tail)
 
@@ -165,11 +168,11 @@ def autocut(hits: DataFrame, min_keep: int = 3, factor: float = 2.0) -> DataFram
 
     Lists of fewer than 3 hits, of no more than min_keep, or without any fall stay whole.
     """
-    order = PER_QUERY.orderBy("rank")
-    gaps = hits.withColumn("gap", F.lag("score").over(order) - F.col("score")).withColumn("n", F.count("*").over(PER_QUERY))
-    mean = F.avg(F.when(F.col("gap") > 0, F.col("gap"))).over(PER_QUERY)
+    order = per_query().orderBy("rank")
+    gaps = hits.withColumn("gap", F.lag("score").over(order) - F.col("score")).withColumn("n", F.count("*").over(per_query()))
+    mean = F.avg(F.when(F.col("gap") > 0, F.col("gap"))).over(per_query())
     over = (F.col("rank") > min_keep) & (F.col("n") >= 3) & (F.col("gap") >= factor * F.col("mean"))
-    cut = F.min(F.when(over, F.col("rank"))).over(PER_QUERY)
+    cut = F.min(F.when(over, F.col("rank"))).over(per_query())
     return gaps.withColumn("mean", mean).withColumn("cut", cut).filter(F.col("cut").isNull() | (F.col("rank") < F.col("cut"))).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -229,7 +232,7 @@ def correct(hits: DataFrame, index: Index, queries: DataFrame, upper: float = 0.
     sure = queries.select("query_id").join(graded.groupBy("query_id").agg(F.max("relevance").alias("confidence")), "query_id", "left").select("query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     action = F.when(F.col("confidence") >= upper, "correct").when(F.col("confidence") <= lower, "incorrect").otherwise("ambiguous")
     acted = sure.withColumn("action", action)
-    order = PER_QUERY.orderBy(F.round("relevance", 6).desc(), "chunk_id")
+    order = per_query().orderBy(F.round("relevance", 6).desc(), "chunk_id")
     own = graded.filter(F.col("relevance") > lower).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep).drop("place").join(acted, "query_id").filter("action <> 'incorrect'").withColumn("source", F.lit("corpus"))
     if external is None:
         return own.select("query_id", "chunk_id", "relevance", "confidence", "action", "source")
@@ -252,8 +255,8 @@ def support(answers: DataFrame, knowledge: DataFrame) -> DataFrame:
 
 def ensemble_weights(hits: DataFrame, temperature: float = 1.0) -> DataFrame:
     """hits with weight: softmax of score / temperature within each query."""
-    e = F.exp((F.col("score") - F.max("score").over(PER_QUERY)) / F.lit(float(temperature)))
-    return hits.withColumn("e", e).withColumn("weight", F.col("e") / F.sum("e").over(PER_QUERY)).drop("e")
+    e = F.exp((F.col("score") - F.max("score").over(per_query())) / F.lit(float(temperature)))
+    return hits.withColumn("e", e).withColumn("weight", F.col("e") / F.sum("e").over(per_query())).drop("e")
 
 
 def mix_distributions(weighted: DataFrame) -> DataFrame:
