@@ -7,12 +7,14 @@ words, and each class is sorted and scanned by itself. What reaches that step is
    k-gram picked twice in the corpus can't repeat.
 2. Of the rest, a class whose suffixes all follow the same word has no maximal repeat (it is part of a longer one).
 3. The hashes of min_words times 1.25, 1.25 ** 2, 1.25 ** 3, ... words tell how much of a suffix is common at least and at most. What a
-   group has in common is sent once, and of each suffix only what lies between.
+   group has in common is sent once, and of each suffix only what lies between. Starts of one class that lie closer than
+   min_words in one text (a passage running over itself) are a run; its words are sent once for all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from tesserae.llm.text import U, doubled, mix, ngrams, ngrams_at, pieces, words
 
 MIN_WORDS = 50
 OUT = ["passage", "kind", "n_words", "first", "last", "row_id", "doc_id", "start_word", "cut_words"]
+SUFFIX = ["class", "hash", "head", "tail", "row_id", "doc_id", "pos", "left", "run", "skip", "size"]
 SCHEMA = "passage long, kind string, n_words int, first long, last long, row_id long, doc_id long, start_word int, cut_words int"
 
 
@@ -93,7 +96,11 @@ def rungs(min_words: int, levels: np.ndarray) -> np.ndarray:
 
 
 def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of rungs(level) words from each given position, level from 1 on, as far as the row goes."""
+    """Hashes of rungs(level) words from each given position, level from 1 on, as far as the row goes.
+
+    A start with another of its class d < min_words words on shares min_words + d words or more only with starts that have one d
+    words on too, and as much less d of what follows. So only the last start of a run is followed beyond 2 * min_words - 2 words.
+    """
     for batch in batches:
         ids = np.asarray(batch.column(0))
         for lo, hi, data, off in pieces(batch.column(1)):
@@ -102,11 +109,16 @@ def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             pos = batch.column(2).slice(lo, hi - lo)
             row = np.repeat(np.arange(hi - lo), np.diff(np.asarray(pos.offsets)))
             at = np.asarray(pos.flatten()).astype(np.int64) + woff[row]
+            own = ngrams_at(parts, at, min_words) if len(at) else np.zeros(0, U)
+            order = np.lexsort((at, own))
+            near = (own[order][1:] == own[order][:-1]) & (row[order][1:] == row[order][:-1]) & (np.diff(at[order]) < min_words)
+            last = np.ones(len(at), bool)
+            last[order[:-1][near]] = False
             level = 1
             while True:
                 n = int(rungs(min_words, level))
-                keep = at + n <= woff[row + 1]
-                at, row = at[keep], row[keep]
+                keep = (at + n <= woff[row + 1]) & (last | (rungs(min_words, level - 1) < 2 * min_words - 2))
+                at, row, last = at[keep], row[keep], last[keep]
                 if not len(at):
                     break
                 columns = [ngrams_at(parts, at, n).view(np.int64), np.full(len(at), level, np.int32), ids[lo:hi][row], (at - woff[row]).astype(np.int32)]
@@ -116,7 +128,10 @@ def _ladder(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Of each given suffix, the words after those that its group has in common, as far as others can have them too; of the
-    group's first suffix also the common ones. The first min_words are the class's and not sent. A blank ends every word."""
+    group's first suffix also the common ones. The first min_words are the class's and not sent. A blank ends every word.
+
+    The suffixes of a run are one stretch, the tail of the first (pos = run); skip and size say where in it each one is.
+    """
     for batch in batches:
         ids = np.asarray(batch.column(0))
         for lo, hi, data, off in pieces(batch.column(2), 1 << 20):
@@ -135,12 +150,38 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
             mid = begin[at + rungs(min_words, level)]
             end = begin[np.minimum(at + rungs(min_words, level + 1), woff[row + 1])]
             at = begin[at + min_words]
+            run, skip = np.full(len(pos), -1, np.int32), np.zeros(len(pos), np.int64)
+            first, last = mid.copy(), end.copy()
+            order = np.lexsort((pos, cls, row))
+            near = (row[order][1:] == row[order][:-1]) & (cls[order][1:] == cls[order][:-1]) & (np.diff(pos[order]) < min_words)
+            opens = np.flatnonzero(np.concatenate([[True], ~near]))
+            count = np.diff(np.append(opens, len(order)))
+            for a, n in zip(opens[count > 1], count[count > 1]):
+                those = order[a : a + n]
+                run[those], skip[those] = pos[those[0]], at[those] - at[those[0]]
+                first[those] = last[those] = at[those]
+                end[those] = end[those].max()
+                last[those[0]] = end[those[0]]
+            size = end - at
             doc = batch.column(1).slice(lo, hi - lo).take(pa.array(row))
             for a in range(0, len(at), 4096):
                 b = slice(a, a + 4096)
                 head = pa.array([raw[x:y] if k else None for x, y, k in zip(at[b].tolist(), mid[b].tolist(), lead[b].tolist())], pa.binary())
-                tail = pa.array([raw[x:y] for x, y in zip(mid[b].tolist(), end[b].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cls[b]), pa.array(group[b]), head, tail, pa.array(ids[lo:hi][row[b]]), doc.slice(a, 4096), pa.array(pos[b]), pa.array(left[b])], ["class", "hash", "head", "tail", "row_id", "doc_id", "pos", "left"])
+                tail = pa.array([raw[x:y] for x, y in zip(first[b].tolist(), last[b].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cls[b]), pa.array(group[b]), head, tail, pa.array(ids[lo:hi][row[b]]), doc.slice(a, 4096), pa.array(pos[b]), pa.array(left[b]), pa.array(run[b]), pa.array(skip[b]), pa.array(size[b])], SUFFIX)
+
+
+def arranged(buffer: list[bytes], begin: list[int], size: list[int]) -> tuple[list[int], list[int]]:
+    """The suffixes buffer[begin : begin + size] in order, equal ones as they are given, and the words that each has in common with
+    the one before. Suffixes of one buffer are cut out only while they are compared."""
+    of = lambda i: buffer[i][begin[i] : begin[i] + size[i]]
+
+    def compared(i: int, j: int) -> int:
+        a, b = of(i), of(j)
+        return (a > b) - (a < b)
+
+    at = sorted(range(len(buffer)), key=cmp_to_key(compared) if any(begin) else of)
+    return at, [0] + [common(of(x), of(y)) for x, y in zip(at, at[1:])]
 
 
 MANY = object()
@@ -210,14 +251,16 @@ def longest_and_cut(found: list[tuple[int, int, int]], order: list) -> tuple[lis
 def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Sorts the suffixes of each class, which come together, and reads its repeats off the sorted array."""
     now: int | None = None
-    rows: list[list] = [[] for _ in range(7)]  # hash, head, tail, row_id, doc_id, pos, left
+    rows: list[list] = [[] for _ in SUFFIX[1:]]
 
     def closed() -> Iterator[pa.RecordBatch]:
-        group, head, tail, row, doc, pos, left = rows
+        ordered = sorted(range(len(rows[0])), key=lambda i: (rows[3][i], rows[5][i]))
+        group, head, tail, row, doc, pos, left, run, skip, size = ([c[i] for i in ordered] for c in rows)
         heads = {g: h for g, h in zip(group, head) if h is not None}
-        full = [heads.get(g, b"") + t for g, t in zip(group, tail)]
-        at = sorted(range(len(full)), key=lambda i: (full[i], row[i], pos[i]))
-        lcp = [0] + [min_words + common(full[x], full[y]) for x, y in zip(at, at[1:])]
+        stretches = {(r, u): t for r, u, p, t in zip(row, run, pos, tail) if u == p}
+        full = [stretches[r, u] if u >= 0 else heads.get(g, b"") + t for g, t, r, u in zip(group, tail, row, run)]
+        at, shared = arranged(full, skip, size)
+        lcp = [min_words + n for n in shared]
         found = intervals(lcp, [left[i] for i in at])
         row, doc, pos = ([c[i] for i in at] for c in (row, doc, pos))
         place = [(d is None, d or 0, r, p) for d, r, p in zip(doc, row, pos)]
@@ -235,11 +278,11 @@ def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
     for batch in batches:
         cls = np.asarray(batch.column(0))
         begin = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else []
-        columns = [batch.column(i).to_pylist() for i in range(1, 8)]
+        columns = [batch.column(i).to_pylist() for i in range(1, len(SUFFIX))]
         for a, z in zip(begin, [*begin[1:], len(cls)]):
             if now is not None and cls[a] != now:
                 done += closed()
-                rows = [[] for _ in range(7)]
+                rows = [[] for _ in SUFFIX[1:]]
             now = int(cls[a])
             for column, values in zip(rows, columns):
                 column += values[a:z]
@@ -260,11 +303,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     some = written(source.join(seeds, "row_id").dropDuplicates(["row_id"]), "repeating")
     starts = some.select("row_id", "text", "seeds").mapInArrow(lambda it: _starts(it, min_words), "class long, row_id long, pos int, left long")
     by_class = Window.partitionBy("class")
-    before = F.lag("pos").over(by_class.orderBy("row_id", "pos"))
-    before_row = F.lag("row_id").over(by_class.orderBy("row_id", "pos"))
-    # equal rows arrive with equal places, 0 words apart, and are dropped with the overlaps
-    apart = starts.withColumn("near", F.coalesce((before_row == F.col("row_id")) & (F.col("pos") - before < min_words), F.lit(False))).filter("not near")
-    split = apart.select("*", F.min("left").over(by_class).alias("low"), F.max("left").over(by_class).alias("high")).filter("low <> high")
+    split = starts.select("*", F.min("left").over(by_class).alias("low"), F.max("left").over(by_class).alias("high")).filter("low <> high")
     kept = written(split.select("class", "row_id", "pos", "left"), "starts")
     texts = some.select("row_id", "doc_id", "text")
     asked = kept.groupBy("row_id").agg(F.collect_list("pos").alias("pos"))
@@ -274,7 +313,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     group = Window.partitionBy("class", "level", "hash").orderBy("row_id", "pos")
     led = levelled.withColumn("lead", (F.col("level") > 0) & (F.row_number().over(group) == 1))
     wanted = written(led, "levelled").groupBy("row_id").agg(F.collect_list(F.struct("class", "pos", "left", "level", "hash", "lead")).alias("wanted"))
-    suffixes = texts.join(wanted, "row_id").select("row_id", "doc_id", "text", "wanted").mapInArrow(lambda it: _suffixes(it, min_words), "class long, hash long, head binary, tail binary, row_id long, doc_id long, pos int, left long")
+    suffixes = texts.join(wanted, "row_id").select("row_id", "doc_id", "text", "wanted").mapInArrow(lambda it: _suffixes(it, min_words), "class long, hash long, head binary, tail binary, row_id long, doc_id long, pos int, left long, run int, skip long, size long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return suffixes.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(lambda it: _scan(it, min_words), SCHEMA)
 
@@ -289,8 +328,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A repeat is maximal if its occurrences don't all follow the same word and aren't all followed by the same word; a
     text's start and end count as words of their own. Words are runs without ASCII white space, compared by 64-bit hash.
-    An occurrence that starts within min_words words after another start of the same min_words words in its text isn't
-    listed: it is the same passage running over itself, as in a text of one word again and again.
+    Occurrences may overlap: a line that a text has again and again is a repeat at every start but the last ones.
 
     Null, empty and shorter texts have no repeat. Equal rows count as one document; rows of one doc_id with different
     texts, and of null doc_id, are documents of their own. Other columns are ignored.

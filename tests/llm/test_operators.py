@@ -326,6 +326,37 @@ def test_repeats_equal_brute_force(spark):
     assert suffix_dedup.repeats(none(spark), 6).count() == 0
 
 
+def found_repeats(spark, texts, least):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = suffix_dedup.repeats(docs, least).collect()
+    spots = {(r.passage, r["first"]): (r.doc_id, r.start_word) for r in rows if r.kind == "occurrence"}
+    out = {}
+    for r in (r for r in rows if r.kind == "repeat"):
+        at = sorted(spots[r.passage, k] for k in range(r["first"], r["last"] + 1))
+        d, a = at[0]
+        out[tuple(texts[d].split()[a : a + r.n_words])] = at
+    return out
+
+
+def test_repeats_of_line_runs_equal_brute_force(spark):
+    """Lines shorter than least, unequally often before a shared passage, at the ends, in other phases, and one word alone."""
+    line, passage = "a b c d", " ".join(f"p{k}" for k in range(30))
+    runs = lambda k, n: f"{k} " + f"{line} " * n
+    texts = [runs("u", 4) + passage, runs("x", 3) + passage, (runs("y", 9)).strip(), "c d " + f"{line} " * 6 + "z", "w " * 25, "v " + "w " * 14 + passage]
+    assert found_repeats(spark, texts, 6) == brute_repeats(texts, 6)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a b", "a b c", "q", passage[:40]], p=[0.5, 0.3, 0.1, 0.1]) for _ in range(30)) for _ in range(6)]
+    assert found_repeats(spark, texts, 6) == brute_repeats(texts, 6)
+
+
+def test_remove_cuts_what_follows_line_runs(spark):
+    line, passage = " ".join(f"l{k}" for k in range(20)), " ".join(f"p{k}" for k in range(1000))
+    docs = spark.createDataFrame([(1, f"u {' '.join([line] * 4)} {passage}"), (2, f"x {' '.join([line] * 3)} {passage}"), (3, " ".join(f"m{k}" for k in range(20)) + " " + " ".join(["o"] * 4000))], "doc_id long, text string")
+    left = {r.doc_id: r.text.split() for r in suffix_dedup.remove(docs).collect()}
+    assert sum(passage in " ".join(t) for t in left.values()) == 1
+    assert left[1].count("l0") <= 3 and left[2] == ["x"] and len(left[3]) <= 21 + 50
+
+
 def test_intervals_test_left_extension():
     assert suffix_dedup.intervals([0, 5, 3], [1, 2, 2]) == [(5, 0, 1), (3, 0, 2)]
     assert suffix_dedup.intervals([0, 5, 3], [1, 1, 2]) == [(3, 0, 2)]
