@@ -109,21 +109,15 @@ def text_sets(texts, n: int) -> list[np.ndarray]:
     return out
 
 
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile_size: int = TILE_SIZE) -> DataFrame:
-    """(left_id, right_id, jaccard) of documents whose n-gram sets have a Jaccard index of at least threshold.
+def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile_size: int = TILE_SIZE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (left, right, jaccard) of classes, and the members (class, doc_id) of each class, the ones of one member too.
 
-    n-grams are of words without regard to case and punctuation; a text of fewer words has one, of all its words. Texts
-    with equal sets form a class that its smallest doc_id stands for: each other document of the class gives one row
-    (smallest, other, 1.0), and the pairs between classes are given for those that stand for them. So groups of copies
-    cost their number, not its square, and every pair at the threshold follows from the rows. left_id < right_id.
+    Texts with equal n-gram sets form a class, and one of them stands for it in the comparison.
 
     Candidates are the members of connected groups of equal sketch keys (bands of `rows` minimal hashes each; at the
     default, a pair at the threshold is found with probability 0.87, at 0.6 with 0.988, and more by way of others of its
     group). A group is cut into tiles of like set sizes; tiles are compared when their sizes allow the threshold.
     All pairs of compared tiles are answered exactly.
-
-    Null, empty or wordless texts and null doc_ids pair with nothing. Equal rows count once. Rows of one doc_id and
-    different texts are documents of their own that never pair with themselves. Other columns are ignored.
     """
     source = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter("doc_id is not null and text is not null")
     sketched = written(
@@ -132,13 +126,7 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int
     )
     classes = sketched.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     classes = written(classes.select("c1", "c2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.row_id").alias("row_id"), "members", "size", "keys"), "classes")
-    copies = (
-        sketched.select("doc_id", "c1", "c2")
-        .join(classes.filter("members > 1").select("c1", "c2", F.col("doc_id").alias("rep_id")), ["c1", "c2"])
-        .filter("doc_id <> rep_id")
-        .select(F.col("rep_id").alias("left_id"), F.col("doc_id").alias("right_id"), F.lit(1.0).alias("jaccard"))
-        .distinct()
-    )
+    belongs = sketched.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", F.col("row_id").alias("class")), ["c1", "c2"]).select("class", "doc_id").distinct()
     keyed = classes.select("row_id", F.explode("keys").alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("row_id").alias("b"), F.max("row_id").alias("top")).filter("b <> top")
     edges = keyed.join(firsts, "key").filter("row_id <> b").select(F.col("row_id").alias("a"), "b")
@@ -152,24 +140,45 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int
     compared = lower.join(upper, "root").filter((F.col("tile_a") <= F.col("tile_b")) & (F.col("least_b") * threshold <= F.col("most_a")))
     sides = compared.select("root", "tile_a", "tile_b", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("tile"))
     placed = tiled.join(sides, ["root", "tile"]).select("row_id", "root", "tile_a", "tile_b", "tile")
-    payload = source.join(placed, "row_id").select("root", "tile_a", "tile_b", "tile", "doc_id", "row_id", "text")
+    payload = source.join(placed, "row_id").select("root", "tile_a", "tile_b", "tile", "row_id", "text")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("row_id").sort_values("row_id", kind="stable")
         sets = text_sets(pdf["text"], n)
-        ids, tile = pdf["doc_id"].to_numpy(np.int64), pdf["tile"].to_numpy(np.int64)
+        ids, tile = pdf["row_id"].to_numpy(np.int64), pdf["tile"].to_numpy(np.int64)
         a, b = int(pdf["tile_a"].iloc[0]), int(pdf["tile_b"].iloc[0])
         left = np.flatnonzero(tile == a)
         found = tile_pairs(sets, left, left if a == b else np.flatnonzero(tile == b), threshold)
-        found = [(min(ids[i], ids[j]), max(ids[i], ids[j]), v) for i, j, v in found if ids[i] != ids[j]]
-        return pd.DataFrame({"left_id": pd.Series([f[0] for f in found], dtype="int64"), "right_id": pd.Series([f[1] for f in found], dtype="int64"), "jaccard": pd.Series([f[2] for f in found], dtype="float64")})
+        return pd.DataFrame({"left": pd.Series([ids[i] for i, _, _ in found], dtype="int64"), "right": pd.Series([ids[j] for _, j, _ in found], dtype="int64"), "jaccard": pd.Series([v for _, _, v in found], dtype="float64")})
+
+    return payload.groupBy("root", "tile_a", "tile_b").applyInPandas(compare, "left long, right long, jaccard double"), belongs
+
 
-    near = payload.groupBy("root", "tile_a", "tile_b").applyInPandas(compare, "left_id long, right_id long, jaccard double")
-    return near.unionByName(copies)
+def pairs(docs: DataFrame, **options) -> DataFrame:
+    """(left_id, right_id, jaccard) of all documents whose n-gram sets have a Jaccard index of at least threshold, left_id < right_id.
+
+    n-grams are of words without regard to case and punctuation; a text of fewer words has one, of all its words. Texts
+    with equal sets are compared once, and every pair of them and of their near neighbours is given: rows of a group of
+    copies grow with the square of its size. options: those of class_pairs(), which says what candidates are.
+
+    Null, empty or wordless texts and null doc_ids pair with nothing. Equal rows count once. Rows of one doc_id and
+    different texts are documents of their own that never pair with themselves. Other columns are ignored.
+    """
+    near, members = class_pairs(docs, **options)
+    members = written(members, "class_members")
+    left, right = (members.select(F.col("class").alias(side), F.col("doc_id").alias(f"{side}_doc")) for side in ("left", "right"))
+    ends = [F.least("left_doc", "right_doc").alias("left_id"), F.greatest("left_doc", "right_doc").alias("right_id")]
+    between = near.join(left, "left").join(right, "right").filter("left_doc <> right_doc").select(*ends, "jaccard")
+    inside = left.join(right, F.col("left") == F.col("right")).filter("left_doc < right_doc").select(*ends, F.lit(1.0).alias("jaccard"))
+    return between.unionByName(inside)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with only the smallest doc_id of each connected group of pairs(); rows of no group, null doc_ids among them, all stay, as do all columns. Rows that are equal in doc_id stay or go together."""
-    edges = pairs(docs, **options).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    near, members = class_pairs(docs, **options)
+    members = written(members, "class_members")
+    reps = members.groupBy("class").agg(F.min("doc_id").alias("rep"))
+    between = near.join(reps.withColumnRenamed("class", "left").withColumnRenamed("rep", "a"), "left").join(reps.withColumnRenamed("class", "right").withColumnRenamed("rep", "b"), "right")
+    edges = between.select("a", "b").union(members.join(reps, "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).filter("a <> b")
     gone = components(edges).select(F.col("a").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -132,6 +132,20 @@ def test_ngram_join_recall(spark):
     assert ngram_join.pairs(none(spark)).count() == 0
 
 
+def test_ngram_join_gives_all_pairs_of_copies(spark):
+    """Against unfiltered brute force: copies of copies, and copies of near neighbours."""
+    texts = near_texts()
+    texts += [t for t in texts[:24] for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_join.pairs(docs, tile_size=400).collect()
+    got = {(r.left_id, r.right_id): r.jaccard for r in rows}
+    grams = [sets_of(t) for t in texts]
+    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in combinations(enumerate(grams), 2) if len(a & b) >= 0.5 * len(a | b)}
+    assert len(got) == len(rows) and got.keys() <= want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert len(got) >= 0.9 * len(want)
+    assert {k for k, v in want.items() if v == 1} <= got.keys()
+
+
 # --- BPE ---
 
 
