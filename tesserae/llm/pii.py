@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -11,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,19 @@ SCHEMA = "doc_id long, text string, entities array<struct<type:string,start:int,
 _TRIGGER = np.zeros(256, bool)
 for _c in b"0123456789@=":
     _TRIGGER[_c] = True
-_TRIGGERS = re.compile("[0-9@=]")
+_MARKS = re.compile("[0-9@=:_-]")
 _TOKEN = re.compile(r"[^\W_]+|\S")
 _OPENS, _CLOSES = set('+("\''), set(')"\'')
 _CONTINUES = set('(+-="\':') | set("0123456789")
 _KEY = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|key|credential)"
+_PREFIX = r"(?:sk|pk|ghp|gho|xox[bp])"
+#: Of a text without a digit, @ or =, what makes it worth a look; in the regular expressions of Python, Arrow and Java alike.
+_WORDED = rf"(?i:{_KEY}) ?:|{_PREFIX}[-_]"
+_KEY_ENDS = re.compile(rf"(?i:{_KEY}) ?$")
+_PREFIX_ENDS = re.compile(rf"{_PREFIX}$")
+#: An unbroken stretch counts as one segment, however long; so does its assignment to a key.
+_LONG = re.compile(r"[\w.+/~-]{64,}={0,2}")
+_LONG_KEY = re.compile(rf"(?<![^\W_])(?i:{_KEY}) ?[=:] ?([\"']?)$")
 
 
 def _luhn(digits: str) -> bool:
@@ -96,13 +106,35 @@ def features(text: str, a: int, b: int) -> np.ndarray:
     return x
 
 
+def triggers(text: str, lo: int, hi: int) -> list[int]:
+    """Places of digits, @ and =, of the colon after a key word, and of the dash after a key's prefix."""
+    out = []
+    for m in _MARKS.finditer(text, lo, hi):
+        k, c = m.start(), m.group()
+        if c == ":" and not _KEY_ENDS.search(text[max(0, k - 16) : k]) or c in "_-" and not _PREFIX_ENDS.search(text[max(0, k - 4) : k]):
+            continue
+        out.append(k)
+    return out
+
+
+def long_spans(text: str, lo: int, hi: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """Of each long unbroken stretch, where it is with a key word before it, and by itself."""
+    out = []
+    for m in _LONG.finditer(text, lo, hi):
+        a, b = m.span()
+        key = _LONG_KEY.search(text[max(lo, a - 24) : a])
+        begin, end = (a - len(key.group()), b + (key.group(1) != "" and text[b : b + 1] == key.group(1))) if key else (a, b)
+        out.append(((begin, end), (a, b)))
+    return out
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text that hold every span of MOST_CHARS with a trigger (digit, @ or =); there is no candidate elsewhere."""
+    """Stretches of text that hold every span of MOST_CHARS with a trigger, and every long one; there is no candidate elsewhere."""
     out: list[list[int]] = []
-    for m in _TRIGGERS.finditer(text):
-        a, b = m.start() - MOST_CHARS, m.end() + MOST_CHARS
+    around = [(k - MOST_CHARS, k + 1 + MOST_CHARS) for k in triggers(text, 0, len(text))]
+    for a, b in sorted(around + [s for whole, bare in long_spans(text, 0, len(text)) for s in (whole, bare)]):
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(max(0, a), min(len(text), b)) for a, b in out]
@@ -112,10 +144,12 @@ def candidates(text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, i
     """Number of tokens of text[lo:hi], and the spans that may be entities: first token, token after the last, start, end.
 
     A span has a trigger, at most MOST_TOKENS tokens and MOST_CHARS characters, no white space but single blanks, and goes
-    on after a blank only with what numbers, codes and assignments go on with.
+    on after a blank only with what numbers, codes and assignments go on with. Beyond these bounds, a long unbroken stretch
+    and its assignment to a key are spans.
     """
     tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-    hot = [bool(_TRIGGERS.search(text, a, b)) for a, b in tokens]
+    marks = triggers(text, lo, hi)
+    hot = [bisect_left(marks, a) < bisect_left(marks, b) for a, b in tokens]
     upcoming = [0] * (len(tokens) + 1)
     upcoming[len(tokens)] = 1 << 30
     for i in range(len(tokens) - 1, -1, -1):
@@ -136,6 +170,11 @@ def candidates(text: str, lo: int, hi: int) -> tuple[int, list[tuple[int, int, i
                     break
             if upcoming[i] <= j and (text[e - 1].isalnum() or text[e - 1] in _CLOSES):
                 found.append((i, j + 1, a, e))
+    starts, ends = [a for a, _ in tokens], [e for _, e in tokens]
+    for a, e in {span for both in long_spans(text, lo, hi) for span in both}:
+        i, j = bisect_left(starts, a), bisect_left(ends, e)
+        if i < len(tokens) and j < len(tokens) and starts[i] == a and ends[j] == e and (e - a > MOST_CHARS or j - i >= MOST_TOKENS) and upcoming[i] <= j:
+            found.append((i, j + 1, a, e))
     return len(tokens), found
 
 
@@ -305,6 +344,7 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
             data, off = buffers(batch.column(1))
             col = batch.column(1)
             hit = np.unique(np.searchsorted(off, np.flatnonzero(_TRIGGER[data]), "right") - 1)
+            hit = np.union1d(hit, np.flatnonzero(pc.match_substring_regex(col, _WORDED).fill_null(False).to_numpy(zero_copy_only=False)))
             entities: list[list[dict]] = [[]] * len(col)
             changed, at = [], 0
             for i in hit.tolist():
@@ -329,7 +369,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redacted(t, find(model, t)))
 
-    hot = F.col("text").rlike("[0-9@=]")
+    hot = F.col("text").rlike(f"[0-9@=]|{_WORDED}")
     columns, kinds = docs.columns, dict(docs.dtypes)
     done = docs.withColumn("__text", F.when(hot, clean("text")).otherwise(F.col("text")))
     size = F.length("__text")

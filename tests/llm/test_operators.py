@@ -70,6 +70,19 @@ def test_pii(spark):
     assert pii.detect(none(spark)).count() == 0
 
 
+def test_pii_takes_secrets_without_digits_and_long_ones(spark):
+    rng = np.random.default_rng(6)
+    of = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, hexa, url = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "abcdefghijkLMNOPQRST0123456789-_"
+    secrets = ["swordfish", "correcthorse", of(low, 24), of(low, 24), of(hexa, 256), f"eyJ{of(url, 60)}x.{of(url, 200)}x.{of(url, 60)}x"]
+    texts = [f"my password: {secrets[0]} is old", f"the secret: {secrets[1]} they said", f"use sk-{secrets[2]} here", f"use ghp_{secrets[3]} here", f"see token={secrets[4]} there", f"see token={secrets[5]} there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (pii.detect(docs).collect(), pii.redact(docs).collect()):
+        assert [r.doc_id for r in rows if secrets[r.doc_id] in r.text or "[SECRET]" not in r.text] == []
+    clean = spark.createDataFrame([(1, "Note: the monkey: a well-known animal - so they said."), (2, f"http://{of(low, 200)}")], "doc_id long, text string")
+    assert all(not r.entities for r in pii.detect(clean).collect())
+
+
 # --- quality ---
 
 
