@@ -93,10 +93,10 @@ def prefix_search(vectors: DataFrame, queries: DataFrame, width: int = 16, pool:
     return two_phase(vectors, queries, V.dot(F.slice("q", 1, width), F.slice("embedding", 1, width)), pool, k)
 
 
-def pq_train(vectors: DataFrame, m: int = 8, ksub: int = 16, sample: int = 20_000, rounds: int = 12, seed: int = 1) -> DataFrame:
-    """Codebook (sub, code, centroid): k-means++ of each of m slices, on the `sample` vectors whose ids hash lowest."""
+def pq_train(vectors: DataFrame, m: int = 8, ksub: int = 256, rounds: int = 25, seed: int = 1) -> DataFrame:
+    """Codebook (sub, code, centroid): k-means++ of each of m slices, on all vectors."""
     width = F.size("embedding") / m
-    rows = vectors.filter(F.size("embedding") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    rows = vectors.filter(F.size("embedding") > 0)
     slices = rows.select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.struct(j.alias("sub"), F.slice("embedding", (j * width + 1).cast("int"), width.cast("int")).alias("part")))).alias("s")).select("vec_id", "s.*")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,11 +111,13 @@ def pq_train(vectors: DataFrame, m: int = 8, ksub: int = 16, sample: int = 20_00
             far = np.minimum(far, ((x - x[pick]) ** 2).sum(1))
         c = np.stack(centre)
         for _ in range(rounds):
-            d = ((x[:, None] - c[None]) ** 2).sum(2)
-            near = d.argmin(1)
+            near, gap = np.empty(len(x), np.int64), np.empty(len(x))
+            for a in range(0, len(x), 8192):
+                d = ((x[a : a + 8192, None] - c[None]) ** 2).sum(2)
+                near[a : a + 8192], gap[a : a + 8192] = d.argmin(1), d.min(1)
             for j in range(k):
                 mine = x[near == j]
-                c[j] = mine.mean(0) if len(mine) else x[d.min(1).argmax()]
+                c[j] = mine.mean(0) if len(mine) else x[gap.argmax()]
         return pd.DataFrame({"sub": [int(pdf["sub"].iloc[0])] * k, "code": range(k), "centroid": c.tolist()})
 
     return slices.groupBy("sub").applyInPandas(train, "sub int, code int, centroid array<double>")
@@ -148,15 +150,21 @@ def pq_search(codes: DataFrame, codebook: DataFrame, queries: DataFrame, k: int
     return ranked(found, k, item="vec_id").select("query_id", "vec_id", "score", "rank")
 
 
+def rescored(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Top k of found (query_id, vec_id) by exact scores."""
+    pairs = found.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    return ranked(pairs.select("query_id", "vec_id", V.dot("q", "embedding").alias("score")), k, item="vec_id").select("query_id", "vec_id", "score", "rank")
+
+
 PRESETS = {"fast": 2, "balanced": 8, "accurate": 24}
 
 
-def ivf_train(vectors: DataFrame, cells: int = 32, sample: int = 50_000, seed: int = 1) -> DataFrame:
-    """Cell centres (cell, centre), by k-means on a bounded sample."""
+def ivf_train(vectors: DataFrame, cells: int = 32, seed: int = 1) -> DataFrame:
+    """Cell centres (cell, centre), by k-means on all vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select(array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(rows)
     data = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return vectors.sparkSession.createDataFrame(data, "cell int, centre array<double>")

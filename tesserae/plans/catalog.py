@@ -360,14 +360,15 @@ def vector_store_upsert(spark, d):
 def pq_adc(spark, d):
     v = vectors(spark, d)
     book = dense.pq_train(v).persist()
-    return out(dense.pq_search(dense.pq_encode(v, book), book, vector_queries(spark, d), 10), "score")
+    q = vector_queries(spark, d)
+    return out(dense.rescored(dense.pq_search(dense.pq_encode(v, book), book, q, 100), v, q, 10), "score")
 
 
 @query()
 def ivf_top10(spark, d):
     v = vectors(spark, d)
     centres = dense.ivf_train(v, 16)
-    return out(dense.ivf_search(dense.ivf_assign(v, centres), centres, vector_queries(spark, d), 8, 10), "score")
+    return out(dense.ivf_search(dense.ivf_assign(v, centres), centres, vector_queries(spark, d), 12, 10), "score")
 
 
 # --- filters ---

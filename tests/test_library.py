@@ -107,3 +107,14 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_approximate_vector_queries_find_the_true_top_ten(spark):
+    from tesserae.operators import dense
+    from tesserae.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    exact = {(r.query_id, r.vec_id) for r in dense.search(catalog.vectors(spark, d), catalog.vector_queries(spark, d), 10).collect()}
+    for name in ("pq_adc", "ivf_top10"):
+        found = {(r.query_id, r.vec_id) for r in catalog.QUERIES[name](spark, d).collect()}
+        assert len(found & exact) >= 0.9 * len(exact), (name, len(found & exact) / len(exact))
