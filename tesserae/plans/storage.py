@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import io
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -13,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: a lost executor costs a read, not the work that led here."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    # Spark deletes a finished plan's shuffle files when the driver has collected it, which its last events still hold for a moment.
-    time.sleep(0.3)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the shuffles of this plan are of no use once its result is in the shared folder
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
