@@ -1,4 +1,12 @@
-"""Jaccard join of word n-gram sets: near-duplicate pairs and their groups."""
+"""Jaccard join of word n-gram sets: near-duplicate documents, their links and their groups, exactly.
+
+Texts of equal sets form a class, and one of them stands for it. Classes are compared in size-banded tiles, whose bitmaps
+bound every overlap from above before sorted arrays are intersected. Two steps say which tiles meet, and lose no pair:
+
+1. Minimal-hash keys join classes that look alike into blocks; all of a block is compared. This only saves work.
+2. Pairs across blocks come from a prefix filter: in one order of all n-grams, rare ones first, two sets that reach the
+   threshold share several of each one's first n-grams. Blocks that share enough of them are compared, too.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +15,40 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
-from tesserae.llm.shared import with_row_id, written
+from tesserae.llm.shared import drop, fresh, with_row_id, written
 from tesserae.llm.text import U, mix, pieces, shingles, words
 
-N, THRESHOLD, BANDS, ROWS = 3, 0.5, 32, 4
+N, THRESHOLD, BANDS, ROWS = 3, 0.5, 8, 4
 TILE_SIZE = 1 << 19
+#: Counters of the sketch that orders n-grams, in pieces of PIECE. Any order gives the same result; a fixed size bounds what is broadcast.
+COUNTERS, PIECE = 1 << 20, 1 << 14
+FLUSH = 1 << 22
+BUCKET = 1 << 20
+SKETCH = "row_id long, doc_id long, size long, c1 long, c2 long, keys array<long>, piece int, counts binary"
+POSTING = "bucket long, grams binary, owners binary, reaches binary, blocks binary, leasts binary"
+
+
+def text_sets(texts, n: int) -> list[np.ndarray]:
+    """The sorted n-gram hashes of each text, without repeats."""
+    out = []
+    for _, _, data, off in pieces(pa.array(texts, pa.string())):
+        h, _, _, woff = words(data, off, fold=True)
+        x, count = shingles(h, woff, n)
+        end = np.cumsum(count)
+        out += [np.unique(x[e - c : e]) for e, c in zip(end, count)]
+    return out
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Size, hashes and keys of each set; at the end, how many n-grams of the task fell on each counter."""
     seed = mix(np.arange(1, bands * rows + 1, dtype=U)) | U(1)
+    total = np.zeros(COUNTERS, np.int32)
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["row_id", "doc_id", "size", "c1", "c2", "keys", "piece", "counts"]
     for batch in batches:
         ids = np.asarray(batch.column(0))
         docs = batch.column(1)
@@ -35,6 +64,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
             size = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets)
             start = np.cumsum(size) - size
+            total += np.bincount(_counter(flat), minlength=COUNTERS).astype(np.int32)
             c1 = np.add.reduceat(mix(flat), start)
             c2 = np.add.reduceat(mix(flat ^ U(0x5851F42D4C957F2D)), start)
             keys = np.empty((len(full), bands), U)
@@ -46,10 +76,140 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
                     key = mix(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(g, start))
                 keys[:, b] = key
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo:hi][full]), docs.slice(lo, hi - lo).take(pa.array(full)), pa.array(size), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), lists],
-                ["row_id", "doc_id", "size", "c1", "c2", "keys"],
-            )
+            given = [pa.array(ids[lo:hi][full]), docs.slice(lo, hi - lo).take(pa.array(full)), pa.array(size), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays([*given, *(pa.nulls(len(full), k) for k in kinds[6:])], names)
+    if total.any():
+        parts = total.reshape(-1, PIECE)
+        given = [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), k) for k in kinds[:6]), *given], names)
+
+
+def _counter(grams: np.ndarray) -> np.ndarray:
+    return (grams >> U(20)).astype(np.int64) & (COUNTERS - 1)
+
+
+def _levels(sketched: DataFrame) -> np.ndarray:
+    """Of each counter, four times the logarithm of its count, in one byte."""
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(PIECE, np.int64)
+        for raw in pdf["counts"]:
+            counts += np.frombuffer(raw, np.int32)
+        level = np.minimum(np.log2(1 + counts) * 4, 255).astype(np.uint8)
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1].to_numpy(), "levels": [level.tobytes()]})
+
+    out = np.zeros(COUNTERS, np.uint8)
+    counts = sketched.filter("piece is not null").select("piece", "counts")
+    for row in counts.groupBy("piece").applyInPandas(total, "piece int, levels binary").collect():
+        out[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.levels, np.uint8)
+    return out
+
+
+def extra(size):
+    """By how many n-grams a prefix is longer than needed for one common n-gram; so many more must be common."""
+    return size // 32
+
+
+def prefixes(sets: list[np.ndarray], levels: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set's first n-grams in the common order: hash, set, and the largest size of a partner that it can lead to.
+
+    Sets x and y reach threshold t if they share at least a = t / (1 + t) * (|x| + |y|) members, and t * |x| <= a. The first
+    1 + e of these are within the first |x| - t * |x| + 1 + e of x, and the one at place p leaves |x| - p + e >= a.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    more = extra(size)
+    long = np.minimum(size, size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1 + more)
+    out = []
+    for s, k in zip(sets, long):
+        key = (levels[_counter(s)].astype(U) << U(56)) | (s >> U(8))
+        out.append(np.sort(np.partition(key, k - 1)[:k] if k < len(key) else key))
+    owner = np.repeat(np.arange(len(sets)), long)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(long) - long, long)
+    reach = np.floor((size[owner] - place + more[owner]) * ((1 + threshold) / threshold) + 1e-6).astype(np.int64) - size[owner]
+    return (np.concatenate(out) if out else np.zeros(0, U)), owner, reach
+
+
+def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, levels: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The prefixes' n-grams dealt to buckets, each n-gram of a block once for each run of texts: its hash, the block, the block's
+    least size and its largest reach."""
+    held: list[tuple] = []
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        gram, block, least, reach = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        mixed = mix(gram)
+        bucket, low = (mixed >> U(32)) % U(buckets), mixed.astype(np.uint32)
+        order = np.lexsort((block, low, bucket))
+        bucket, low, block, least, reach = bucket[order], low[order], block[order], least[order], reach[order]
+        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])]))
+        reach = np.minimum(np.maximum.reduceat(reach, new), np.iinfo(np.uint32).max)
+        bucket, low, block, least = bucket[new], low[new], block[new], least[new]
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        rows: list[list] = [[] for _ in range(6)]
+        for a, z in zip(edge[:-1], edge[1:]):
+            blocks, first, owner = np.unique(block[a:z], return_index=True, return_inverse=True)
+            parts = (low[a:z], owner.astype(np.uint32), reach[a:z].astype(np.uint32), blocks, np.minimum(least[a:z][first], np.iinfo(np.uint32).max).astype(np.uint32))
+            for column, value in zip(rows, (int(bucket[a]), *(p.tobytes() for p in parts))):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], [c.split()[0] for c in POSTING.split(", ")])
+
+    for batch in batches:
+        block, least = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+        for lo, hi, data, off in pieces(batch.column(0)):
+            h, _, _, woff = words(data, off, fold=True)
+            x, count = shingles(h, woff, n)
+            end = np.cumsum(count)
+            sets = [np.unique(x[e - c : e]) for e, c in zip(end, count)]
+            gram, owner, reach = prefixes(sets, levels, threshold)
+            held.append((gram, block[lo:hi][owner], least[lo:hi][owner], reach))
+            if sum(len(h[0]) for h in held) >= FLUSH:
+                yield from flushed()
+    if held:
+        yield from flushed()
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a bucket's postings, the pairs of blocks a < b that share n-grams at places that let them reach the threshold, with the number of these n-grams."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for batch in batches:
+        for grams, owners, reaches, blocks, leasts in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+            owner = np.frombuffer(owners, np.uint32)
+            for column, value in zip(parts, (np.frombuffer(grams, np.uint32), np.frombuffer(blocks, np.int64)[owner], np.frombuffer(leasts, np.uint32)[owner], np.frombuffer(reaches, np.uint32))):
+                column.append(value)
+    if not parts[0]:
+        return
+    gram, block, least, reach = (np.concatenate(c) for c in parts)
+    parts.clear()
+    # Most n-grams come once and go before the sort by block.
+    order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    same = g[1:] == g[:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    gram, block, least, reach = gram[order], block[order], least[order].astype(np.int64), reach[order].astype(np.int64)
+    order = np.lexsort((block, gram))
+    gram, block, least, reach = gram[order], block[order], least[order], reach[order]
+    if not len(gram):
+        return
+    new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])]))
+    reach = np.maximum.reduceat(reach, new)
+    gram, block, least = gram[new], block[new], least[new]
+    later = np.searchsorted(gram, gram, "right") - np.arange(len(gram)) - 1
+    some = np.flatnonzero(later)
+    begin, found = 0, []
+    ends = np.cumsum(later[some])
+    while begin < len(some):  # in runs of about FLUSH pairs
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + FLUSH, "right")))
+        count = later[some[begin:stop]]
+        i = np.repeat(some[begin:stop], count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        ok = (least[i] <= reach[j]) & (least[j] <= reach[i])
+        i, j = i[ok], j[ok]
+        pair = np.stack([block[i], block[j], 1 + np.minimum(extra(least[i]), extra(least[j]))], axis=1)
+        found.append(np.unique(pair, axis=0, return_counts=True))
+        begin = stop
+    pair, count = np.concatenate([p for p, _ in found]) if found else np.zeros((0, 3), np.int64), np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
+    if len(pair):
+        yield pa.RecordBatch.from_arrays([*(pa.array(pair[:, k]) for k in range(3)), pa.array(count.astype(np.int64))], ["ca", "cb", "needed", "shared"])
 
 
 def bitmaps(flat: np.ndarray, size: np.ndarray, words64: int) -> np.ndarray:
@@ -60,25 +220,24 @@ def bitmaps(flat: np.ndarray, size: np.ndarray, words64: int) -> np.ndarray:
     return out
 
 
-def tile_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs (i, j, jaccard) of i in left and j in right, i != j, each pair once, with jaccard >= threshold.
+def tile_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, jaccards): of each i in left the members of right, i aside, with a Jaccard index of at least threshold. If left
+    is right, each pair comes once.
 
     sets: sorted, without repeats. A bit set in one map but not in the other stands for at least one member that the
-    other lacks, which bounds the overlap from above; the pairs that the bound leaves are intersected exactly.
+    other lacks, which bounds the overlap from above; the pairs that the bound leaves are intersected, sorted array by
+    sorted array.
     """
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, U)
-    _, local = np.unique(flat, return_inverse=True)
     off = np.concatenate([[0], np.cumsum(size)])
     width = int(min(256, max(4, 1 << int(np.ceil(np.log2(max(1, size.max()) / 32 + 1))))))
     maps = bitmaps(flat, size, width)
     ones = np.bitwise_count(maps).sum(1).astype(np.int64)
-    mark = np.zeros(int(local.max()) + 1, np.int64)
     same = left is right
     by_size = right[np.argsort(size[right], kind="stable")]
     sorted_sizes = size[by_size]
-    out = []
-    for k, i in enumerate(left):
+    for i in left:
         lo, hi = np.searchsorted(sorted_sizes, [np.ceil(size[i] * threshold - 1e-9), np.floor(size[i] / threshold + 1e-9) + 1])
         js = by_size[lo:hi]
         js = js[js > i] if same else js[js != i]
@@ -89,96 +248,168 @@ def tile_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thre
         js = js[most >= (size[i] + size[js] - most) * threshold - 1e-9]
         if not len(js):
             continue
-        mark[local[off[i] : off[i + 1]]] = 1
         begin = np.concatenate([[0], np.cumsum(size[js])])
-        at = np.arange(begin[-1]) + np.repeat(off[js] - begin[:-1], size[js])
-        overlap = np.add.reduceat(mark[local[at]], begin[:-1])
-        mark[local[off[i] : off[i + 1]]] = 0
+        other = flat[np.arange(begin[-1]) + np.repeat(off[js] - begin[:-1], size[js])]
+        mine = sets[i]
+        at = np.searchsorted(mine, other)
+        at[at == len(mine)] = 0
+        overlap = np.add.reduceat(mine[at] == other, begin[:-1], dtype=np.int64)
         jaccard = overlap / (size[i] + size[js] - overlap)
-        out += [(int(i), int(j), float(v)) for j, v in zip(js, jaccard) if v >= threshold - 1e-12]
-    return out
+        near = jaccard >= threshold - 1e-12
+        if near.any():
+            yield int(i), js[near], jaccard[near]
 
 
-def text_sets(texts, n: int) -> list[np.ndarray]:
-    out = []
-    for _, _, data, off in pieces(pa.array(texts, pa.string())):
-        h, _, _, woff = words(data, off, fold=True)
-        x, count = shingles(h, woff, n)
-        end = np.cumsum(count)
-        out += [np.unique(x[e - c : e]) for e, c in zip(end, count)]
-    return out
-
-
-def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile_size: int = TILE_SIZE) -> tuple[DataFrame, DataFrame]:
-    """Pairs (left, right, jaccard) of classes, and the members (class, doc_id) of each class, the ones of one member too.
+def _band(size: Column) -> Column:
+    """Four bands of sizes to an octave."""
+    return F.floor(F.log2(size) * 4 + 1e-9).cast("int")
 
-    Texts with equal n-gram sets form a class, and one of them stands for it in the comparison.
 
-    Candidates are the members of connected groups of equal sketch keys (bands of `rows` minimal hashes each; at the
-    default, a pair at the threshold is found with probability 0.87, at 0.6 with 0.988, and more by way of others of its
-    group). A group is cut into tiles of like set sizes; tiles are compared when their sizes allow the threshold.
-    All pairs of compared tiles are answered exactly.
-    """
+def _in_tiles(docs: DataFrame, n: int, threshold: float, bands: int, rows: int, tile_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts of the tiles that meet, the classes, and the class of each row_id."""
+    if not 0.1 <= threshold <= 1:
+        raise ValueError("threshold must be between 0.1 and 1")
     source = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter("doc_id is not null and text is not null")
-    sketched = written(
-        source.select("row_id", "doc_id", "text").mapInArrow(lambda it: _sketch(it, n, bands, rows), "row_id long, doc_id long, size long, c1 long, c2 long, keys array<long>"),
-        "sketch",
-    )
-    classes = sketched.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    classes = written(classes.select("c1", "c2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.row_id").alias("row_id"), "members", "size", "keys"), "classes")
-    belongs = sketched.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", F.col("row_id").alias("class")), ["c1", "c2"]).select("class", "doc_id").distinct()
-    keyed = classes.select("row_id", F.explode("keys").alias("key"))
+    sketched = written(source.select("row_id", "doc_id", "text").mapInArrow(lambda it: _sketch(it, n, bands, rows), SKETCH), "sketch")
+    single = sketched.filter("piece is null").groupBy("c1", "c2", "row_id").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    single = written(single, "single")
+    kept = single.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_id")).alias("rep"), F.count("*").alias("members"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    classes = written(kept.select("c1", "c2", F.col("rep.row_id").alias("class"), F.col("rep.doc_id").alias("doc_id"), "members", "size", "keys"), "classes")
+    belongs = single.select("row_id", "doc_id", "c1", "c2").join(classes.select("c1", "c2", "class"), ["c1", "c2"]).select("class", "row_id", "doc_id")
+
+    keyed = classes.select(F.col("class").alias("row_id"), F.explode("keys").alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("row_id").alias("b"), F.max("row_id").alias("top")).filter("b <> top")
-    edges = keyed.join(firsts, "key").filter("row_id <> b").select(F.col("row_id").alias("a"), "b")
-    roots = components(edges)
-    member = written(roots.union(roots.select(F.col("root").alias("a"), "root").distinct()).withColumnRenamed("a", "row_id").join(classes.select("row_id", "size"), "row_id"), "members")
-    order = Window.partitionBy("root").orderBy("size", "row_id")
-    tiled = member.withColumn("tile", F.floor(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) / tile_size))
-    bounds = tiled.groupBy("root", "tile").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    lower = bounds.select("root", F.col("tile").alias("tile_a"), F.col("most").alias("most_a"))
-    upper = bounds.select("root", F.col("tile").alias("tile_b"), F.col("least").alias("least_b"))
-    compared = lower.join(upper, "root").filter((F.col("tile_a") <= F.col("tile_b")) & (F.col("least_b") * threshold <= F.col("most_a")))
-    sides = compared.select("root", "tile_a", "tile_b", F.explode(F.array_distinct(F.array("tile_a", "tile_b"))).alias("tile"))
-    placed = tiled.join(sides, ["root", "tile"]).select("row_id", "root", "tile_a", "tile_b", "tile")
-    payload = source.join(placed, "row_id").select("root", "tile_a", "tile_b", "tile", "row_id", "text")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("row_id").sort_values("row_id", kind="stable")
-        sets = text_sets(pdf["text"], n)
-        ids, tile = pdf["row_id"].to_numpy(np.int64), pdf["tile"].to_numpy(np.int64)
-        a, b = int(pdf["tile_a"].iloc[0]), int(pdf["tile_b"].iloc[0])
-        left = np.flatnonzero(tile == a)
-        found = tile_pairs(sets, left, left if a == b else np.flatnonzero(tile == b), threshold)
-        return pd.DataFrame({"left": pd.Series([ids[i] for i, _, _ in found], dtype="int64"), "right": pd.Series([ids[j] for _, j, _ in found], dtype="int64"), "jaccard": pd.Series([v for _, _, v in found], dtype="float64")})
-
-    return payload.groupBy("root", "tile_a", "tile_b").applyInPandas(compare, "left long, right long, jaccard double"), belongs
-
-
-def pairs(docs: DataFrame, **options) -> DataFrame:
-    """(left_id, right_id, jaccard) of all documents whose n-gram sets have a Jaccard index of at least threshold, left_id < right_id.
-
-    n-grams are of words without regard to case and punctuation; a text of fewer words has one, of all its words. Texts
-    with equal sets are compared once, and every pair of them and of their near neighbours is given: rows of a group of
-    copies grow with the square of its size. options: those of class_pairs(), which says what candidates are.
-
-    Null, empty or wordless texts and null doc_ids pair with nothing. Equal rows count once. Rows of one doc_id and
-    different texts are documents of their own that never pair with themselves. Other columns are ignored.
+    roots = components(keyed.join(firsts, "key").filter("row_id <> b").select(F.col("row_id").alias("a"), "b"))
+    blocked = classes.join(roots.withColumnRenamed("a", "class").withColumnRenamed("root", "up"), "class", "left").select("class", F.coalesce("up", "class").alias("block"), "members", "doc_id", "size")
+    blocked = written(blocked, "blocked")
+    leasts = blocked.groupBy("block").agg(F.min("size").alias("least"), F.count("*").alias("n"))
+    placed = written(blocked.join(leasts, "block"), "placed")
+    drop(blocked)
+
+    levels, total = _levels(sketched), classes.agg(F.sum("size")).first()[0] or 0
+    drop(sketched)
+    buckets = max(1, -(-total // (2 * BUCKET)))
+    texts = source.select("row_id", "text").join(placed.select(F.col("class").alias("row_id"), "block", "least").hint("shuffle_hash"), "row_id").select("text", "block", "least")
+    postings = texts.mapInArrow(lambda it: _postings(it, n, threshold, levels, buckets), POSTING)
+
+    def met(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _meetings(batches)
+
+    shares = postings.groupBy("bucket").applyInArrow(met, "ca long, cb long, needed long, shared long")
+    meets = written(shares.groupBy("ca", "cb").agg(F.max("needed").alias("needed"), F.sum("shared").alias("shared")).filter("shared >= needed").select("ca", "cb"), "meets")
+
+    banded = placed.withColumn("band", _band(F.col("size")))
+    cut = banded.groupBy("block", "band").agg(F.ceil(F.sum("size") / tile_size).alias("parts"), F.min("size").alias("low"), F.max("size").alias("high"), F.first("n").alias("n"))
+    tiles = cut.select("block", "band", "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    side = lambda x: tiles.select(F.col("block").alias(f"c{x}"), F.struct("band", "part").alias(f"t{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"), F.col("n").alias(f"n_{x}"))
+    reach = (F.col("low_b") * threshold <= F.col("high_a")) & (F.col("low_a") * threshold <= F.col("high_b"))
+    inner = side("a").filter("n_a > 1").join(side("b"), F.col("ca") == F.col("cb")).filter(reach & (F.col("ta") <= F.col("tb")))
+    across = meets.join(side("a"), "ca").join(side("b"), "cb").filter(reach)
+    jobs = inner.select("ca", "ta", "cb", "tb").unionByName(across.select("ca", "ta", "cb", "tb"))
+    ends = jobs.select("*", F.explode(F.array_distinct(F.array(F.struct(F.col("ca").alias("block"), F.col("ta").alias("tile")), F.struct(F.col("cb").alias("block"), F.col("tb").alias("tile"))))).alias("end"))
+    dealt = banded.join(cut.select("block", "band", "parts"), ["block", "band"]).select("class", "block", "members", "doc_id", F.struct("band", F.pmod(F.xxhash64("class"), "parts").alias("part")).alias("tile"))
+    sent = dealt.join(ends.select("ca", "ta", "cb", "tb", "end.block", "end.tile"), ["block", "tile"]).withColumn("on_left", (F.col("block") == F.col("ca")) & (F.col("tile") == F.col("ta")))
+    sent = written(sent.select(F.col("class").alias("row_id"), "members", "doc_id", "on_left", "ca", "ta", "cb", "tb"), "sent")
+    payload = source.select("row_id", "text").join(sent.hint("shuffle_hash"), "row_id").dropDuplicates(["row_id", "ca", "ta", "cb", "tb"])
+    return payload, classes, belongs
+
+
+def _compared(pdf: pd.DataFrame, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    pdf = pdf.sort_values("row_id", kind="stable")
+    on_left = pdf["on_left"].to_numpy(bool)
+    left = np.flatnonzero(on_left)
+    one = pdf["ca"].iloc[0] == pdf["cb"].iloc[0] and pdf["ta"].iloc[0] == pdf["tb"].iloc[0]
+    found = tile_pairs(text_sets(pdf["text"], n), left, left if one else np.flatnonzero(~on_left), threshold)
+    return pdf["row_id"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64), pdf["members"].to_numpy(np.int64), found
+
+
+def linked(pdf: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
+    """Of two tiles: each class with partners, how many documents these stand for, the nearest of them, and a class of its group in these tiles."""
+    ids, docs, members, found = _compared(pdf, n, threshold)
+    links, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    best, whose = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, js, jaccard in found:
+        links[i] += members[js].sum()
+        links[js] += members[i]
+        k = np.lexsort((docs[js], -jaccard))[0]
+        if (-jaccard[k], docs[js[k]]) < (-best[i], whose[i]):
+            best[i], whose[i] = jaccard[k], docs[js[k]]
+        nearer = (jaccard > best[js]) | ((jaccard == best[js]) & (docs[i] < whose[js]))
+        best[js[nearer]], whose[js[nearer]] = jaccard[nearer], docs[i]
+        a = top(i)
+        for j in js.tolist():
+            b = top(j)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                a = min(a, b)
+    at = np.flatnonzero(links)
+    return pd.DataFrame({"class": ids[at], "links": links[at], "nearest_id": whose[at], "jaccard": best[at], "up": np.array([ids[top(i)] for i in at.tolist()], np.int64)})
+
+
+LINKED = "class long, links long, nearest_id long, jaccard double, up long"
+
+
+def _by_row(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile_size: int = TILE_SIZE) -> DataFrame:
+    """near_duplicates() with the row_id of each row."""
+    payload, classes, belongs = _in_tiles(docs, n, threshold, bands, rows, tile_size)
+    found = written(payload.groupBy("ca", "ta", "cb", "tb").applyInPandas(lambda pdf: linked(pdf, n, threshold), LINKED), "linked")
+    total = found.groupBy("class").agg(F.sum("links").alias("links"), F.max_by(F.struct("nearest_id", "jaccard"), F.struct("jaccard", -F.col("nearest_id"))).alias("near"))
+    roots = components(found.select(F.col("class").alias("a"), F.col("up").alias("b")))
+    each = classes.select("class", "doc_id", "members").join(total, "class", "left").filter("members > 1 or links > 0").join(roots.withColumnRenamed("a", "class"), "class", "left")
+    each = written(each.withColumn("root", F.coalesce("root", "class")), "each")
+    lowest = each.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    about = each.join(lowest, "root").select(
+        "class", "class_id", F.col("doc_id").alias("copy_of"), F.col("members").alias("copies"),
+        (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("near.nearest_id").alias("nearest_id"), F.col("near.jaccard").alias("jaccard"),
+    )
+    return belongs.join(about, "class").select("row_id", "doc_id", "class_id", "copy_of", "copies", "links", "nearest_id", "jaccard")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row of each document that has near duplicates: n-gram sets with a Jaccard index of at least threshold.
+
+    doc_id; class_id, the smallest doc_id of its connected group; copy_of, the smallest doc_id of the documents of its very
+    set, and copies, their number, itself among them; links, how many other documents reach the threshold with it, copies
+    too; nearest_id and jaccard, of the nearest one that has another set (the smallest doc_id of ties; null if there is none).
+
+    n-grams (of n = 3 words) are of words without regard to case and punctuation, told apart by 64-bit hashes; a text of
+    fewer words has one, of all its words. Every link is found, and the rows grow with the documents, not with their pairs.
+
+    Null, empty or wordless texts and null doc_ids have no links. Equal rows count once. Rows of one doc_id and different
+    texts are documents of their own. Other columns are ignored; an empty table gives no rows.
     """
-    near, members = class_pairs(docs, **options)
-    members = written(members, "class_members")
-    left, right = (members.select(F.col("class").alias(side), F.col("doc_id").alias(f"{side}_doc")) for side in ("left", "right"))
-    ends = [F.least("left_doc", "right_doc").alias("left_id"), F.greatest("left_doc", "right_doc").alias("right_id")]
-    between = near.join(left, "left").join(right, "right").filter("left_doc <> right_doc").select(*ends, "jaccard")
-    inside = left.join(right, F.col("left") == F.col("right")).filter("left_doc < right_doc").select(*ends, F.lit(1.0).alias("jaccard"))
-    return between.unionByName(inside)
+    return _by_row(docs, **options).drop("row_id")
+
+
+def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile_size: int = TILE_SIZE) -> tuple[DataFrame, DataFrame]:
+    """(left_id, right_id, jaccard) of all pairs of different sets, each named by the smallest doc_id that has it, and (copy_of,
+    doc_id), the documents of each set. Their join gives every pair of documents; rows of the first grow with the square of a group."""
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, ids, _, found = _compared(pdf, n, threshold)
+        found = list(found)
+        left, right = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in ([np.full(len(js), ids[i]) for i, js, _ in found], [ids[js] for _, js, _ in found]))
+        return pd.DataFrame({"left_id": np.minimum(left, right), "right_id": np.maximum(left, right), "jaccard": np.concatenate([v for *_, v in found]) if found else np.zeros(0)})
+
+    payload, classes, belongs = _in_tiles(docs, n, threshold, bands, rows, tile_size)
+    members = belongs.join(classes.select("class", F.col("doc_id").alias("copy_of")), "class").select("copy_of", "doc_id")
+    return payload.groupBy("ca", "ta", "cb", "tb").applyInPandas(each, "left_id long, right_id long, jaccard double"), members
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with only the smallest doc_id of each connected group of pairs(); rows of no group, null doc_ids among them, all stay, as do all columns. Rows that are equal in doc_id stay or go together."""
-    near, members = class_pairs(docs, **options)
-    members = written(members, "class_members")
-    reps = members.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    between = near.join(reps.withColumnRenamed("class", "left").withColumnRenamed("rep", "a"), "left").join(reps.withColumnRenamed("class", "right").withColumnRenamed("rep", "b"), "right")
-    edges = between.select("a", "b").union(members.join(reps, "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).filter("a <> b")
-    gone = components(edges).select(F.col("a").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """docs with only the smallest doc_id of each connected group of near_duplicates(), and with all rows of no group.
+
+    Rows of null doc_id, of null, empty and wordless texts stay, and so do rows that equal one that stays. Rows of one doc_id
+    and different texts are judged each for itself. All columns stay as they are, whatever their names.
+    """
+    row = fresh(docs, "row_id")
+    gone = _by_row(docs, **options).filter("doc_id <> class_id").select(F.col("row_id").alias(row)).distinct()
+    tagged = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return tagged.join(gone, row, "left_anti").drop(row)
