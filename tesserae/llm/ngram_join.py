@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
@@ -261,7 +261,7 @@ def tile_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thre
 
 
 def _band(size: Column) -> Column:
-    """Four bands of sizes to an octave."""
+    """Four bands of sizes to an octave. A tile is a run of bands of one block, or a part of one that is too large."""
     return F.floor(F.log2(size) * 4 + 1e-9).cast("int")
 
 
@@ -299,15 +299,19 @@ def _in_tiles(docs: DataFrame, n: int, threshold: float, bands: int, rows: int,
     meets = written(shares.groupBy("ca", "cb").agg(F.max("needed").alias("needed"), F.sum("shared").alias("shared")).filter("shared >= needed").select("ca", "cb"), "meets")
 
     banded = placed.withColumn("band", _band(F.col("size")))
-    cut = banded.groupBy("block", "band").agg(F.ceil(F.sum("size") / tile_size).alias("parts"), F.min("size").alias("low"), F.max("size").alias("high"), F.first("n").alias("n"))
-    tiles = cut.select("block", "band", "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    side = lambda x: tiles.select(F.col("block").alias(f"c{x}"), F.struct("band", "part").alias(f"t{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"), F.col("n").alias(f"n_{x}"))
+    volumes = banded.groupBy("block", "band").agg(F.sum("size").alias("volume"), F.min("size").alias("low"), F.max("size").alias("high"), F.first("n").alias("n"))
+    before = F.sum("volume").over(Window.partitionBy("block").orderBy("band")) - F.col("volume")  # a block has few bands
+    run = volumes.withColumn("run", F.floor(before / tile_size))
+    cut = written(run.groupBy("block", "run").agg(F.ceil(F.sum("volume") / tile_size).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("n").alias("n"), F.min("band").alias("from"), F.max("band").alias("to")), "tiles")
+    tiles = cut.select("block", "run", "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    side = lambda x: tiles.select(F.col("block").alias(f"c{x}"), F.struct("run", "part").alias(f"t{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"), F.col("n").alias(f"n_{x}"))
     reach = (F.col("low_b") * threshold <= F.col("high_a")) & (F.col("low_a") * threshold <= F.col("high_b"))
     inner = side("a").filter("n_a > 1").join(side("b"), F.col("ca") == F.col("cb")).filter(reach & (F.col("ta") <= F.col("tb")))
     across = meets.join(side("a"), "ca").join(side("b"), "cb").filter(reach)
     jobs = inner.select("ca", "ta", "cb", "tb").unionByName(across.select("ca", "ta", "cb", "tb"))
     ends = jobs.select("*", F.explode(F.array_distinct(F.array(F.struct(F.col("ca").alias("block"), F.col("ta").alias("tile")), F.struct(F.col("cb").alias("block"), F.col("tb").alias("tile"))))).alias("end"))
-    dealt = banded.join(cut.select("block", "band", "parts"), ["block", "band"]).select("class", "block", "members", "doc_id", F.struct("band", F.pmod(F.xxhash64("class"), "parts").alias("part")).alias("tile"))
+    of = cut.select("block", "run", "parts", F.explode(F.sequence("from", "to")).alias("band"))
+    dealt = banded.join(of, ["block", "band"]).select("class", "block", "members", "doc_id", F.struct("run", F.pmod(F.xxhash64("class"), "parts").alias("part")).alias("tile"))
     sent = dealt.join(ends.select("ca", "ta", "cb", "tb", "end.block", "end.tile"), ["block", "tile"]).withColumn("on_left", (F.col("block") == F.col("ca")) & (F.col("tile") == F.col("ta")))
     sent = written(sent.select(F.col("class").alias("row_id"), "members", "doc_id", "on_left", "ca", "ta", "cb", "tb"), "sent")
     payload = source.select("row_id", "text").join(sent.hint("shuffle_hash"), "row_id").dropDuplicates(["row_id", "ca", "ta", "cb", "tb"])
