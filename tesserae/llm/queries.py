@@ -31,6 +31,31 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\t\n\x0B\f\r -/:-@\[-`{-~]+'), lambda x: x <> '') AS ws
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) END AS grams FROM w WHERE len(ws) > 0
+), c AS MATERIALIZED (
+  SELECT md5(array_to_string(grams, '|')) AS c, min(doc_id) AS copy_of, count(*) AS copies, any_value(grams) AS grams FROM s GROUP BY 1
+), g AS MATERIALIZED (SELECT c, len(grams) AS n, unnest(grams) AS gram FROM c),
+p AS MATERIALIZED (
+  SELECT x, y, k / (m + n - k) AS jaccard
+  FROM (SELECT a.c AS x, b.c AS y, a.n AS m, b.n AS n, count(*)::DOUBLE AS k FROM g a JOIN g b ON a.gram = b.gram AND a.c <> b.c GROUP BY ALL) WHERE k >= 0.5 * (m + n - k)
+), r AS (SELECT c AS x, c AS y FROM c UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+t AS (SELECT r.x AS c, min(c.copy_of) AS class_id FROM r JOIN c ON c.c = r.y GROUP BY 1),
+l AS (
+  SELECT x AS c, jaccard, copy_of AS nearest_id, sum(copies) OVER (PARTITION BY x) AS links, row_number() OVER (PARTITION BY x ORDER BY jaccard DESC, copy_of) AS k
+  FROM p JOIN c ON c.c = p.y
+)
+SELECT s.doc_id, t.class_id, c.copy_of, c.copies, (c.copies - 1 + coalesce(l.links, 0))::BIGINT AS links, l.nearest_id, l.jaccard
+FROM s JOIN c ON c.c = md5(array_to_string(s.grams, '|')) JOIN t ON t.c = c.c LEFT JOIN l ON l.c = c.c AND l.k = 1
+WHERE c.copies > 1 OR l.links > 0
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -89,4 +114,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_quality, op4_ngram_join, op5_bpe, op6_token_binary, op7_toxicity, op8_warc, op9_fingerprints, op10_suffix_dedup, pipeline)}
-ORACLE_SQL = {"op8_warc": OP8_SQL}
+ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op8_warc": OP8_SQL}

@@ -2,7 +2,6 @@
 
 import re
 from collections import Counter
-from itertools import combinations
 from pathlib import Path
 
 import duckdb
@@ -10,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tesserae.llm import bpe, fingerprints, ngram_join, packing, pii, quality, suffix_dedup, token_binary, toxicity, warc
+from tesserae.llm import bpe, fingerprints, packing, pii, quality, suffix_dedup, token_binary, toxicity, warc
 from tesserae.llm.labelled import sample
 from tesserae.llm.queries import OP8_SQL, op8_warc
 from tesserae.llm.text import pieces
@@ -100,65 +99,6 @@ def test_quality_isolates_outliers_and_edges(spark):
     assert quality.judge(none(spark), model).count() == 0
 
 
-# --- n-gram join ---
-
-
-def sets_of(text):
-    w = re.findall(r"[^\W_]+", text.lower())
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
-
-
-def near_texts():
-    rng = np.random.default_rng(3)
-    out = []
-    for k in range(40):
-        base = [f"w{rng.integers(300)}" for _ in range(80)]
-        out.append(" ".join(base))
-        for _ in range(3):
-            again = list(base)
-            for at in rng.integers(0, 80, rng.integers(0, 9)):
-                again[at] = f"v{rng.integers(300)}"
-            out.append(" ".join(again))
-    return out
-
-
-def test_tile_pairs_are_exact():
-    texts = near_texts()[:60]
-    sets, grams = ngram_join.text_sets(texts, 3), [sets_of(t) for t in texts]
-    left = np.arange(len(texts))
-    got = {(i, j): v for i, j, v in ngram_join.tile_pairs(sets, left, left, 0.5)}
-    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in combinations(enumerate(grams), 2) if len(a & b) >= 0.5 * len(a | b)}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
-
-
-def test_ngram_join_recall(spark):
-    texts = near_texts()
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(900, texts[0], 1), (901, None, 1), (902, "", 1), (None, texts[0], 1), (5, texts[5], 1)], DOCS.format("jaccard"))
-    got = {(r.left_id, r.right_id) for r in ngram_join.pairs(docs, tile_size=400).collect()}
-    grams = [sets_of(t) for t in texts]
-    want = {(i, j) for (i, a), (j, b) in combinations(enumerate(grams), 2) if len(a & b) >= 0.5 * len(a | b) and a != b and a not in grams[:i] and b not in grams[:j]}
-    assert len(want & got) >= 0.9 * len(want)
-    assert (0, 900) in got and not any(901 in p or 902 in p for p in got)
-    kept = ngram_join.keep_one(docs)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and 900 not in ids and {901, 902, None} <= set(ids) and 0 in ids
-    assert ngram_join.pairs(none(spark)).count() == 0
-
-
-def test_ngram_join_gives_all_pairs_of_copies(spark):
-    """Against unfiltered brute force: copies of copies, and copies of near neighbours."""
-    texts = near_texts()
-    texts += [t for t in texts[:24] for _ in range(3)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = ngram_join.pairs(docs, tile_size=400).collect()
-    got = {(r.left_id, r.right_id): r.jaccard for r in rows}
-    grams = [sets_of(t) for t in texts]
-    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in combinations(enumerate(grams), 2) if len(a & b) >= 0.5 * len(a | b)}
-    assert len(got) == len(rows) and got.keys() <= want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    assert len(got) >= 0.9 * len(want)
-    assert {k for k, v in want.items() if v == 1} <= got.keys()
-
-
 # --- BPE ---
 
 
@@ -318,7 +258,7 @@ def test_order_min_hash_equals_brute_force():
 
 
 def brute_repeats(texts, least):
-    """{words: occurrences} of all maximal repeats, of starts that don't overlap an earlier one of the same first words."""
+    """{words: occurrences} of all maximal repeats, overlapping ones too."""
     words = [t.split() for t in texts]
     out = {}
     stretches = {}
@@ -394,3 +334,12 @@ def test_remove_keeps_the_first(spark):
     docs = spark.createDataFrame([(1, f"aa {passage} bb", 19), (2, f"cc {passage} dd", 19), (3, passage, 1), (4, None, 0), (None, "zz", 2)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in suffix_dedup.remove(docs, 10).collect()}
     assert got == {1: f"aa {passage} bb", 2: "cc dd", 4: None, None: "zz"}
+
+
+def test_remove_keeps_columns_of_any_name(spark):
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(1, passage, 5, "s", 1, "n"), (2, f"x {passage}", 5, "s", 1, "n"), (2, f"x {passage}", 5, "s", 1, "n"), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, spans string, row_id int, new_text string")
+    got = sorted((tuple(r) for r in suffix_dedup.remove(docs, 10).collect()), key=repr)
+    assert got == sorted([rows[0], (2, "x ", 1 + 1, "s", 1, "n"), (2, "x ", 1 + 1, "s", 1, "n"), rows[3]], key=repr)
+    assert suffix_dedup.remove(docs.limit(0), 10).count() == 0
