@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import written
+
 CAPACITY = 2048
 SHARD_DOCS = 256
+SAME = 64
 SCHEMA = "shard long, window int, n_words int, segments array<struct<doc_id:long,start_word:int,n_words:int>>"
 
 
@@ -72,7 +75,8 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def shard_windows(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Windows of one shard's documents. A document longer than capacity fills windows of its own; its rest is packed."""
+    """Windows of one shard's documents, rows of (doc_id, n_words, copies). A document longer than capacity fills windows of its own; its rest is packed."""
+    pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
     pdf = pdf.sort_values(["n_words", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
     n = pdf["n_words"].to_numpy(np.int64)
     ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
@@ -104,12 +108,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS
     occurs; a null doc_id is kept as null; other columns are ignored. An empty table gives no windows.
 
     Documents are dealt to shards by hash, about `shard_docs` to each, so that the shards' number follows the input and
-    only (doc_id, n_words) is shuffled.
+    only (doc_id, n_words) is shuffled. Rows of one doc_id and length are alike to packing; they are counted first and dealt in
+    lots of SAME, so that no shard gets them all, however many there are. Equal sizes are packed in order of doc_id, nulls last.
     """
-    shards = max(1, -(-docs.count() // shard_docs))
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.regexp_count("text", F.lit(r"[^ \t\n\x0B\f\r]+")).cast("int").alias("n_words"),
     ).filter("n_words > 0")
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(lambda pdf: shard_windows(pdf, capacity), SCHEMA)
+    alike = written(sized.groupBy("doc_id", "n_words").agg(F.count("*").alias("copies")), "sized")
+    shards = max(1, -(-(alike.agg(F.sum("copies")).first()[0] or 0) // shard_docs))
+    lots = alike.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {SAME}"))))
+    lots = lots.select("doc_id", "n_words", F.least(F.lit(SAME), F.expr(f"copies - lot * {SAME}")).alias("copies"), F.pmod(F.xxhash64("doc_id", "n_words", "lot"), F.lit(shards)).alias("shard"))
+    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return lots.repartition(tasks, "shard").groupBy("shard").applyInPandas(lambda pdf: shard_windows(pdf, capacity), SCHEMA)
