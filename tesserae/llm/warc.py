@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORDS = "record_id long, url string, captured_at long, kind string, status int, headers map<string,string>, payload string"
+#: Bytes read at once, of a record's head at most, and of the payloads of a batch of rows.
+CHUNK, MOST_HEAD, BATCH = 1 << 16, 1 << 20, 1 << 24
 #: Headers that describe the stored body or one connection; a 304 may not change them.
 KEPT = ("content-length", "content-encoding", "content-type", "content-range", "content-md5", "transfer-encoding", "connection", "keep-alive", "te", "trailer", "upgrade", "proxy-authenticate", "proxy-authorization")
 
@@ -93,51 +99,170 @@ def from_pages(pages: DataFrame) -> DataFrame:
     return first.unionByName(again)
 
 
-def parse(raw: bytes) -> Iterator[dict]:
-    """Records of one WARC file, gzip members or plain. HTTP responses and revisits are split into status, headers and body;
-    a record that breaks off ends the file."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = _headers(raw[at:end].split(b"\r\n")[1:])
-        size = int(head.get("content-length", "0"))
-        block = raw[end + 4 : end + 4 + size]
-        if len(block) < size:
+class _Source:
+    """Bytes of a stream, gzip members unpacked, of which never more than asked for and a chunk are held. `broken` says what couldn't be unpacked."""
+
+    def __init__(self, stream: BinaryIO, chunk: int = CHUNK):
+        self.stream, self.chunk, self.held, self.broken = stream, chunk, bytearray(), ""
+        first = stream.read(2)
+        self.gz = first == b"\x1f\x8b"
+        self.raw = first
+        self.unpack = zlib.decompressobj(31) if self.gz else None
+
+    def _more(self) -> bool:
+        """Hold at least one more byte; False at the end."""
+        if not self.gz:
+            got = self.raw or self.stream.read(self.chunk)
+            self.raw = b""
+            self.held += got
+            return bool(got)
+        while True:
+            self.raw = self.raw or self.stream.read(self.chunk)
+            if not self.raw:
+                if not self.unpack.eof and self.unpack.unconsumed_tail == b"" and self.started:
+                    self.broken, self.started = "cut-off gzip member", False
+                return False
+            if self.unpack.eof:
+                self.unpack, self.started = zlib.decompressobj(31), False
+            try:
+                self.started = True
+                got = self.unpack.decompress(self.raw, self.chunk)
+                self.raw = self.unpack.unconsumed_tail or self.unpack.unused_data
+            except zlib.error as e:  # go on at what looks like the next member
+                self.broken, got = str(e), b""
+                self.unpack, self.started = zlib.decompressobj(31), False
+                at = self.raw.find(b"\x1f\x8b\x08", 1)
+                while at < 0 and (more := self.stream.read(self.chunk)):
+                    self.raw = self.raw[-2:] + more
+                    at = self.raw.find(b"\x1f\x8b\x08")
+                self.raw = self.raw[at:] if at >= 0 else b""
+            if self.unpack.eof:
+                self.started = False
+            if got or self.broken:
+                self.held += got
+                return True
+
+    started = False
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """All bytes up to mark, which is passed over too; None if it isn't within `most` bytes or the stream breaks or ends first."""
+        seen = 0
+        while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if seen > most or self.broken or not self._more():
+                return None
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return out
+
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size and not self.broken and self._more():
+            pass
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        return out
+
+    def skip_to(self, mark: bytes) -> bool:
+        """Drop all bytes before mark; False if it doesn't come."""
+        while (at := self.held.find(mark)) < 0:
+            del self.held[: max(0, len(self.held) - len(mark) + 1)]
+            if self.broken or not self._more():
+                return False
+        del self.held[:at]
+        return True
+
+
+def parse(stream: BinaryIO, chunk: int = CHUNK) -> Iterator[dict]:
+    """Records of one WARC file, gzip members or plain, one at a time. HTTP responses and revisits are split into status, headers and body.
+
+    What can't be read comes as a record of kind 'broken', which resolves nothing: its header 'error' says what is wrong, and
+    reading goes on with the next record. A record date or status that is no date or number is null.
+    """
+    source = _Source(stream, chunk)
+    wrong = lambda why, head=None: {"url": (head or {}).get("warc-target-uri", "").strip("<>") or None, "captured_at": None, "kind": "broken", "status": None, "headers": {"error": why}, "payload": None}
+    while True:
+        found = source.skip_to(b"WARC/")
+        if source.broken:
+            yield wrong(source.broken)
+            source.broken = ""
+            source.held.clear()
+            continue
+        if not found:
             return
-        at = end + 4 + size
+        raw = source.until(b"\r\n\r\n", MOST_HEAD)
+        if raw is None:
+            if not source.broken:
+                yield wrong("record head without end")
+                del source.held[:5]
+            continue
+        head = _headers(raw.split(b"\r\n")[1:])
+        length = head.get("content-length", "0")
+        if not length.isascii() or not length.isdigit():
+            yield wrong(f"content-length {length!r}", head)
+            continue
+        block = source.take(int(length))
+        if len(block) < int(length):
+            yield wrong(source.broken or "cut-off record", head)
+            source.broken = ""
+            continue
         http, _, body = block.partition(b"\r\n\r\n")
         lines = http.split(b"\r\n")
         is_http = lines[0].startswith(b"HTTP/")
-        stamp = head.get("warc-date")
+        status = lines[0].split()[1:2] if is_http else []
         yield {
             "url": head.get("warc-target-uri", "").strip("<>") or None,
-            "captured_at": int(datetime.fromisoformat(stamp.replace("Z", "+00:00")).timestamp()) if stamp else None,
+            "captured_at": _seconds(head.get("warc-date")),
             "kind": head.get("warc-type"),
-            "status": int(lines[0].split()[1]) if is_http and len(lines[0].split()) > 1 else None,
+            "status": int(status[0]) if status and status[0].isdigit() and len(status[0]) < 10 else None,
             "headers": _headers(lines[1:]) if is_http else {},
             "payload": (body if is_http else block).decode("utf-8", "replace"),
         }
 
 
+def _seconds(stamp: str | None) -> int | None:
+    try:
+        at = datetime.fromisoformat((stamp or "").replace("Z", "+00:00"))
+        return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp())
+    except ValueError:
+        return None
+
+
 def _headers(lines: list[bytes]) -> dict[str, str]:
     pairs = (x.decode("utf-8", "replace").partition(":") for x in lines if b":" in x)
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def opened(path: str) -> BinaryIO:
+    """A stream of the file at a path as Spark lists it: local, or of any file system that Arrow knows."""
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    files, at = pa.fs.FileSystem.from_uri(quote(path, safe=":/@?=&+,;%"))
+    return files.open_input_stream(at, compression=None)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under path, one task to a file or more; record_id is a hash of file and place in it."""
+    """The records of all WARC files under path; record_id is a hash of file and place in it.
+
+    Spark only lists the files. A task streams each of its files, a chunk and a record at a time, and gives rows in batches of
+    about BATCH bytes, so that memory doesn't follow file sizes. parse() says what becomes of damaged files.
+    """
+    kinds = {"captured_at": "Int64", "status": "Int32"}
+    names = ["place", "url", "captured_at", "kind", "status", "headers", "payload"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"]):
-                rows = [(f"{name}#{k}", *(r[c] for c in ("url", "captured_at", "kind", "status", "headers", "payload"))) for k, r in enumerate(parse(raw))]
-                out = pd.DataFrame(rows, columns=["place", "url", "captured_at", "kind", "status", "headers", "payload"])
-                yield out.astype({"captured_at": "Int64", "status": "Int32"})
+            for name in batch["path"]:
+                with opened(name) as stream:
+                    for k, r in enumerate(parse(stream)):
+                        rows.append((f"{name}#{k}", *(r[c] for c in names[1:])))
+                        size += len(r["payload"] or "")
+                        if size > BATCH:
+                            yield pd.DataFrame(rows, columns=names).astype(kinds)
+                            rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names).astype(kinds)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     found = files.mapInPandas(run, RECORDS.replace("record_id long", "place string"))
-    return found.select(F.xxhash64("place").alias("record_id"), *[c for c in found.columns if c != "place"])
+    return found.select(F.xxhash64("place").alias("record_id"), *names[1:])
