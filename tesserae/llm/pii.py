@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.shared import fresh
 from tesserae.llm.text import buffers
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "IBAN", "SSN", "SECRET")
@@ -362,7 +363,12 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with the entities of their texts replaced, n_chars to match where there is that column; all else as it is."""
+    """docs with the entities of their texts replaced by their types in brackets; where there is a column n_chars, it is the
+    new text's length wherever the text changed. All other columns stay as they are, whatever their names.
+
+    Null and empty texts stay. Rows are answered one by one, repeated ones alike; long texts are read whole; an empty table
+    stays empty. No shuffle.
+    """
     model = model or trained()
 
     @F.pandas_udf("string")
@@ -370,7 +376,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return texts.map(lambda t: t if t is None else redacted(t, find(model, t)))
 
     hot = F.col("text").rlike(f"[0-9@=]|{_WORDED}")
-    columns, kinds = docs.columns, dict(docs.dtypes)
-    done = docs.withColumn("__text", F.when(hot, clean("text")).otherwise(F.col("text")))
-    size = F.length("__text")
-    return done.select([F.col("__text").alias(c) if c == "text" else F.when(F.col("__text") == F.col("text"), F.col("n_chars")).otherwise(size.cast(kinds[c])).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+    columns, kinds, new = docs.columns, dict(docs.dtypes), fresh(docs, "new_text")
+    done = docs.withColumn(new, F.when(hot, clean("text")).otherwise(F.col("text")))
+    same = F.col(new).eqNullSafe(F.col("text"))
+    return done.select([F.col(new).alias(c) if c == "text" else F.when(same, F.col(c)).otherwise(F.length(new).cast(kinds[c])).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])

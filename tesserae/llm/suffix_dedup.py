@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import drop, with_row_id, written
+from tesserae.llm.shared import fresh, with_row_id, written
 from tesserae.llm.text import U, doubled, mix, ngrams, ngrams_at, pieces, words
 
 MIN_WORDS = 50
@@ -330,8 +330,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text's start and end count as words of their own. Words are runs without ASCII white space, compared by 64-bit hash.
     Occurrences may overlap: a line that a text has again and again is a repeat at every start but the last ones.
 
-    Null, empty and shorter texts have no repeat. Equal rows count as one document; rows of one doc_id with different
-    texts, and of null doc_id, are documents of their own. Other columns are ignored.
+    Null, empty and shorter texts have no repeat. Rows equal in doc_id (null among them) and text count as one document; rows
+    of one doc_id, or of none, with different texts are documents of their own. Other columns are ignored; an empty table
+    has no repeat.
     """
     return occurrences(docs, min_words).drop("row_id", "cut_words")
 
@@ -360,20 +361,22 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Every cut word stays at its earlier place or at one earlier still. n_chars follows the text where docs has that
     column; a text of which nothing is left goes with its row; rows without repeats, null texts among them, stay as they
-    are, and so do all other columns.
+    are, and so do all other columns, whatever their names. Rows of one doc_id and text are cut alike; ties of doc_id go by
+    a hash of the text. An empty table stays empty.
     """
     found = occurrences(docs, min_words).filter("kind = 'occurrence' and cut_words > 0")
     spans = found.groupBy("row_id").agg(F.collect_list(F.struct("start_word", F.col("cut_words").alias("n_words"))).alias("spans"))
     columns = docs.columns
-    tagged = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    joined = tagged.join(spans.withColumnRenamed("row_id", "__row"), "__row", "left")
+    row, at, new = (fresh(docs, c) for c in ("row_id", "spans", "new_text"))
+    tagged = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    joined = tagged.join(spans.select(F.col("row_id").alias(row), F.col("spans").alias(at)), row, "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
         return texts.combine(spans, lambda t, s: t if t is None or s is None else cut_words(t, [(int(x["start_word"]), int(x["n_words"])) for x in s]))
 
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
-    done = joined.withColumn("__text", text).filter(F.col("spans").isNull() | (F.trim("__text") != ""))
-    size = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("__text")) if "n_chars" in columns else None
+    text = F.when(F.col(at).isNull(), F.col("text")).otherwise(cut("text", at))
+    done = joined.withColumn(new, text).filter(F.col(at).isNull() | (F.trim(new) != ""))
+    size = F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length(new)) if "n_chars" in columns else None
     kinds = dict(docs.dtypes)
-    return done.select([F.col("__text").alias(c) if c == "text" else size.cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+    return done.select([F.col(new).alias(c) if c == "text" else size.cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])

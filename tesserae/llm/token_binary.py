@@ -161,11 +161,14 @@ def write_binary(docs: DataFrame, longest: int = LONGEST, step: int = STEP, **op
 
     The row of kind 'code' has the code lengths of all ids of the vocabulary as its payload, one byte each; canonical()
     makes the code of them. Every document has a row of kind 'block': n_ids, the packed bits, and the bit at which each
-    step-th id starts, from any of which decoding can go on. Codes come from the counts over all documents.
+    step-th id starts, from any of which decoding can go on. Codes come from the counts over all documents; none is longer
+    than `longest` bits, 17 at most, which is what the decoder's table reads at once.
 
     Null text: n_ids, payload and checkpoints are null; empty text: a block of no ids. A null doc_id stays null; repeated
     rows have a block each; other columns are ignored. Texts are tokenized once, into a table in the shared folder.
     """
+    if not 1 <= longest <= 17:
+        raise ValueError("longest must be between 1 and 17")
     tokens, vocabulary = token_table(docs, **options)
     tokens = written(tokens, "tokens")
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"

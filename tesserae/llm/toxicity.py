@@ -102,12 +102,12 @@ def _bags(out: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, last
     return bags
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 0) -> Model:
+def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 4, seed: int = 0, draws: tuple[int, int, int] = (2, 6, 10)) -> Model:
     """The model, from whole documents and their labels.
 
     A toxic document has some toxic windows, a clean one none. Windows are chosen by document frequencies of their n-grams
     at first and by the model of the round before after that: the likeliest of each toxic document are taken as toxic,
-    the likeliest and some others of each clean one as clean. Embeddings and softmax are then trained together by Adagrad.
+    the likeliest and some others of each clean one as clean (draws: how many of each of these). Embeddings and softmax are then trained together by Adagrad.
     A fifth of the documents is held out of training; the threshold is the middle of the best cut on all of them.
     """
     y = np.asarray(y).astype(int)
@@ -141,9 +141,9 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 3, epochs: int = 4, seed:
                     a, b = woff[r - lo], woff[r - lo + 1]
                     if a == b or hold[r]:
                         continue
-                    top = a + np.argsort(-logit[a:b], kind="stable")[: 2 if y[r] else 6]
+                    top = a + np.argsort(-logit[a:b], kind="stable")[: draws[0] if y[r] else draws[1]]
                     if not y[r]:
-                        top = np.concatenate([top, rng.integers(a, b, 10)])
+                        top = np.concatenate([top, rng.integers(a, b, draws[2])])
                     first.append(top)
                     cls.append(np.full(len(top), y[r]))
                 if first:
@@ -230,7 +230,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose text is toxic, all columns as they are; decided row by row, so that no doc_id is needed."""
+    """docs without the rows whose text is toxic, all columns as they are, whatever their names; decided row by row, so that no
+    doc_id is needed. Null, empty and wordless texts stay; repeated rows go or stay together; long texts are read whole; an
+    empty table stays empty. No shuffle."""
     columns = docs.columns
     ordered = docs.select("text", *[c for c in columns if c != "text"])
 
