@@ -302,19 +302,27 @@ def _in_tiles(docs: DataFrame, n: int, threshold: float, bands: int, rows: int,
     volumes = banded.groupBy("block", "band").agg(F.sum("size").alias("volume"), F.min("size").alias("low"), F.max("size").alias("high"), F.first("n").alias("n"))
     before = F.sum("volume").over(Window.partitionBy("block").orderBy("band")) - F.col("volume")  # a block has few bands
     run = volumes.withColumn("run", F.floor(before / tile_size))
-    cut = written(run.groupBy("block", "run").agg(F.ceil(F.sum("volume") / tile_size).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("n").alias("n"), F.min("band").alias("from"), F.max("band").alias("to")), "tiles")
-    tiles = cut.select("block", "run", "low", "high", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    side = lambda x: tiles.select(F.col("block").alias(f"c{x}"), F.struct("run", "part").alias(f"t{x}"), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"), F.col("n").alias(f"n_{x}"))
+    cut = written(run.groupBy("block", "run").agg(F.ceil(F.sum("volume") / tile_size).alias("parts"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("n").alias("n"), F.sum("volume").alias("volume"), F.min("band").alias("from"), F.max("band").alias("to")), "tiles")
+    tiles = cut.select("block", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct("run", p.alias("part")))).alias("tile"), "low", "high", "n", (F.col("volume") / F.col("parts")).alias("volume"))
+    side = lambda x: tiles.select(*[F.col(c).alias(f"{c}_{x}") for c in tiles.columns])
     reach = (F.col("low_b") * threshold <= F.col("high_a")) & (F.col("low_a") * threshold <= F.col("high_b"))
-    inner = side("a").filter("n_a > 1").join(side("b"), F.col("ca") == F.col("cb")).filter(reach & (F.col("ta") <= F.col("tb")))
-    across = meets.join(side("a"), "ca").join(side("b"), "cb").filter(reach)
-    jobs = inner.select("ca", "ta", "cb", "tb").unionByName(across.select("ca", "ta", "cb", "tb"))
-    ends = jobs.select("*", F.explode(F.array_distinct(F.array(F.struct(F.col("ca").alias("block"), F.col("ta").alias("tile")), F.struct(F.col("cb").alias("block"), F.col("tb").alias("tile"))))).alias("end"))
+    # A job compares one tile with itself, with another of its block, or with the tiles of other blocks that it meets, as many as make a tile.
+    inner = side("a").filter("n_a > 1").join(side("b"), F.col("block_a") == F.col("block_b")).filter(reach & (F.col("tile_a") <= F.col("tile_b")))
+    inner = inner.select(F.struct(F.col("block_a").alias("block"), F.col("tile_a").alias("tile"), F.lit(False).alias("across"), F.col("tile_b").alias("other")).alias("job"), "block_a", "tile_a", "block_b", "tile_b")
+    one, two = (F.struct(*[F.col(f"{c}_{x}").alias(c) for c in ("volume", "block", "tile")]) for x in ("a", "b"))
+    met_tiles = meets.join(side("a"), F.col("ca") == F.col("block_a")).join(side("b"), F.col("cb") == F.col("block_b")).filter(reach).select(F.greatest(one, two).alias("x"), F.least(one, two).alias("y"))
+    met_tiles = written(met_tiles.select(*[F.col(f"{v}.{c}").alias(f"{c}_{n}") for v, n in (("x", "a"), ("y", "b")) for c in ("volume", "block", "tile")]), "met_tiles")
+    batches = met_tiles.groupBy("block_a", "tile_a").agg(F.ceil(F.sum("volume_b") / tile_size).alias("batches"))
+    batch = F.struct(F.lit(0).cast("long").alias("run"), F.pmod(F.xxhash64("block_b", "tile_b"), "batches").alias("part"))
+    across = met_tiles.join(batches, ["block_a", "tile_a"]).select(F.struct(F.col("block_a").alias("block"), F.col("tile_a").alias("tile"), F.lit(True).alias("across"), batch.alias("other")).alias("job"), "block_a", "tile_a", "block_b", "tile_b")
+    jobs = inner.unionByName(across)
+    alone = (~F.col("job.across") & (F.col("tile_a") == F.col("tile_b"))).alias("alone")
+    left = jobs.select("job", alone, F.lit(True).alias("on_left"), F.col("block_a").alias("block"), F.col("tile_a").alias("tile"))
+    right = jobs.filter("job.across or tile_a <> tile_b").select("job", alone, F.lit(False).alias("on_left"), F.col("block_b").alias("block"), F.col("tile_b").alias("tile"))
     of = cut.select("block", "run", "parts", F.explode(F.sequence("from", "to")).alias("band"))
     dealt = banded.join(of, ["block", "band"]).select("class", "block", "members", "doc_id", F.struct("run", F.pmod(F.xxhash64("class"), "parts").alias("part")).alias("tile"))
-    sent = dealt.join(ends.select("ca", "ta", "cb", "tb", "end.block", "end.tile"), ["block", "tile"]).withColumn("on_left", (F.col("block") == F.col("ca")) & (F.col("tile") == F.col("ta")))
-    sent = written(sent.select(F.col("class").alias("row_id"), "members", "doc_id", "on_left", "ca", "ta", "cb", "tb"), "sent")
-    payload = source.select("row_id", "text").join(sent.hint("shuffle_hash"), "row_id").dropDuplicates(["row_id", "ca", "ta", "cb", "tb"])
+    sent = written(dealt.join(left.distinct().unionByName(right), ["block", "tile"]).select(F.col("class").alias("row_id"), "members", "doc_id", "alone", "on_left", "job"), "sent")
+    payload = source.select("row_id", "text").join(sent.hint("shuffle_hash"), "row_id").dropDuplicates(["row_id", "job"])
     return payload, classes, belongs
 
 
@@ -322,8 +330,7 @@ def _compared(pdf: pd.DataFrame, n: int, threshold: float) -> tuple[np.ndarray,
     pdf = pdf.sort_values("row_id", kind="stable")
     on_left = pdf["on_left"].to_numpy(bool)
     left = np.flatnonzero(on_left)
-    one = pdf["ca"].iloc[0] == pdf["cb"].iloc[0] and pdf["ta"].iloc[0] == pdf["tb"].iloc[0]
-    found = tile_pairs(text_sets(pdf["text"], n), left, left if one else np.flatnonzero(~on_left), threshold)
+    found = tile_pairs(text_sets(pdf["text"], n), left, left if pdf["alone"].iloc[0] else np.flatnonzero(~on_left), threshold)
     return pdf["row_id"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64), pdf["members"].to_numpy(np.int64), found
 
 
@@ -363,7 +370,7 @@ LINKED = "class long, links long, nearest_id long, jaccard double, up long"
 def _by_row(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile_size: int = TILE_SIZE) -> DataFrame:
     """near_duplicates() with the row_id of each row."""
     payload, classes, belongs = _in_tiles(docs, n, threshold, bands, rows, tile_size)
-    found = written(payload.groupBy("ca", "ta", "cb", "tb").applyInPandas(lambda pdf: linked(pdf, n, threshold), LINKED), "linked")
+    found = written(payload.groupBy("job").applyInPandas(lambda pdf: linked(pdf, n, threshold), LINKED), "linked")
     total = found.groupBy("class").agg(F.sum("links").alias("links"), F.max_by(F.struct("nearest_id", "jaccard"), F.struct("jaccard", -F.col("nearest_id"))).alias("near"))
     roots = components(found.select(F.col("class").alias("a"), F.col("up").alias("b")))
     each = classes.select("class", "doc_id", "members").join(total, "class", "left").filter("members > 1 or links > 0").join(roots.withColumnRenamed("a", "class"), "class", "left")
@@ -404,7 +411,7 @@ def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands
 
     payload, classes, belongs = _in_tiles(docs, n, threshold, bands, rows, tile_size)
     members = belongs.join(classes.select("class", F.col("doc_id").alias("copy_of")), "class").select("copy_of", "doc_id")
-    return payload.groupBy("ca", "ta", "cb", "tb").applyInPandas(each, "left_id long, right_id long, jaccard double"), members
+    return payload.groupBy("job").applyInPandas(each, "left_id long, right_id long, jaccard double"), members
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
