@@ -29,9 +29,19 @@ STOPWORDS = tuple(
 
 def tokens(text: Column, stopwords: bool = False) -> Column:
     """Lower-case ASCII alphanumeric runs of 2 to 40 characters, apostrophes deleted first; without stopwords on request."""
-    found = F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), "'", ""), F.lit("([A-Za-z0-9]+)"), F.lit(1))
-    lower = F.transform(F.filter(found, lambda t: F.length(t).between(2, 40)), F.lower)
-    return F.filter(lower, lambda t: ~t.isin(*STOPWORDS)) if stopwords else lower
+    keep = (lambda t: F.length(t).between(2, 40) & ~t.isin(*STOPWORDS)) if stopwords else (lambda t: F.length(t).between(2, 40))
+    return F.filter(F.split(_plain(text), " "), keep)
+
+
+def token_rows(rows: DataFrame, id_column: str, stopwords: bool = False) -> DataFrame:
+    """(id_column, term): a row for each of tokens(text). Lengths are tested on rows, inside whole-stage code."""
+    out = rows.select(id_column, F.explode(F.split(_plain(F.col("text")), " ")).alias("term")).filter(F.length("term").between(2, 40))
+    return out.filter(~F.col("term").isin(*STOPWORDS)) if stopwords else out
+
+
+def _plain(text: Column) -> Column:
+    """Lower-case ASCII alphanumeric runs with single blanks between them. Other letters go before case is folded: some of them fold to ASCII."""
+    return F.lower(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("'"), F.lit("")), "[^A-Za-z0-9]+", " "))
 
 
 def _pattern(word: str) -> str:

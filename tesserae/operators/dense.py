@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ from tesserae.operators.lexical import ranked
 
 #: Query vectors that one task holds at a time; more of them are answered block by block.
 QUERY_BLOCK_BYTES = 32 << 20
+PART_BYTES = 64 << 20
 
 
 def scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
@@ -22,75 +23,126 @@ def scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return pairs.select("query_id", "vec_id", V.dot("q", "embedding").alias("score"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
-    """Exact top k of unit vectors, in Catalyst alone. Filters belong on `vectors`, before the product."""
-    found = scores(vectors, queries)
-    if exclude_self:
-        found = found.filter("query_id <> vec_id")
-    return ranked(found, k, item="vec_id").select("query_id", "vec_id", "score", "rank")
+Encode = Callable[[np.ndarray], np.ndarray]
 
 
-def search_batches(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """As search(), by matrix products: each batch of vectors meets all queries and keeps its k best of each.
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
+    """Exact top k of unit vectors, by matrix products: each batch of vectors meets all queries and keeps its k best of each.
 
-    The queries are collected if they fit QUERY_BLOCK_BYTES; beyond that they are dealt to blocks that each meet all
-    vectors by a join on the block, so nothing grows with the query table.
+    Filters belong on `vectors`, before the product. The queries are collected if they fit QUERY_BLOCK_BYTES; beyond that
+    they are dealt to blocks that each meet all parts of the vectors, as many parts as make one PART_BYTES, so that no task
+    grows with either table.
     """
-    size = queries.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
-    blocks = max(1, -(-int(size) // QUERY_BLOCK_BYTES))
-    schema = "query_id long, vec_id long, score double"
+    return _best(vectors, queries, k, k, exclude_self, None)
+
+
+def two_phase(vectors: DataFrame, queries: DataFrame, encode: Encode, pool: int, k: int) -> DataFrame:
+    """The best `pool` of each query by dot products of encode()'s rows, made once a vector and not once a pair, ranked by exact scores."""
+    return _best(vectors, queries, pool, k, False, encode)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.map(np.asarray)).astype(float)
+
+
+def _best(vectors: DataFrame, queries: DataFrame, pool: int, k: int, exclude_self: bool, encode: Encode | None) -> DataFrame:
+    q_rows = queries.filter(F.size("embedding") > 0).select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    v_rows = vectors.filter(F.size("embedding") > 0).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    size = int(q_rows.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0)
+    schema = "query_id long, vec_id long, cheap double, score double"
 
     def best(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray) -> pd.DataFrame:
-        s = np.round(q @ m.T, 9)
-        top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, : min(k, s.shape[1])]
-        edge = np.take_along_axis(s, top, 1).min(1, keepdims=True)
-        row, col = np.nonzero(np.round(s, 6) >= np.round(edge, 6))  # ties at the edge go on to the final ranking
-        return pd.DataFrame({"query_id": q_id[row], "vec_id": ids[col], "score": (q @ m.T)[row, col]})
-
-    if blocks == 1:
-        rows = queries.select("query_id", "embedding").toPandas()
+        exact = q @ m.T
+        cheap = exact if encode is None else encode(q) @ encode(m).T
+        s = np.where(q_id[:, None] == ids[None, :], -np.inf, cheap) if exclude_self else cheap
+        n = min(pool, s.shape[1])
+        edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n, None]
+        row, col = np.nonzero((s >= edge - 2e-6) & (s > -np.inf))  # ties at the edge, as ranked() rounds, go on to the final ranking
+        return pd.DataFrame({"query_id": q_id[row], "vec_id": ids[col], "cheap": cheap[row, col], "score": exact[row, col]})
+
+    if size <= QUERY_BLOCK_BYTES:
+        rows = q_rows.toPandas()
         if not len(rows):
-            return queries.sparkSession.createDataFrame([], schema + ", rank int")
-        q_id, q = rows["query_id"].to_numpy(np.int64), np.stack(rows["embedding"].map(np.asarray)).astype(float)
+            return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        q_id, q = rows["query_id"].to_numpy(np.int64), _matrix(rows["embedding"])
+        at_once = max(256, (64 << 20) // (8 * len(q_id)))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                if len(b):
-                    yield best(q_id, q, b["vec_id"].to_numpy(np.int64), np.stack(b["embedding"].map(np.asarray)).astype(float))
+                for lo in range(0, len(b), at_once):
+                    part = b.iloc[lo : lo + at_once]
+                    yield best(q_id, q, part["vec_id"].to_numpy(np.int64), _matrix(part["embedding"]))
 
-        found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, schema)
+        found = v_rows.mapInPandas(run, schema)
     else:
-        dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.col("query_id").cast("long").alias("query_id"), "embedding")
-        spread = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
-        parts = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("part", F.col("part").cast("long"))
+        blocks = -(-size // QUERY_BLOCK_BYTES)
+        parts = max(1, -(-int(v_rows.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0) // PART_BYTES))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = q_rows.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), every(parts).alias("part"), "query_id", "embedding")
+        right = v_rows.select(every(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), "vec_id", "embedding")
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-            return best(left["query_id"].to_numpy(np.int64), np.stack(left["embedding"].map(np.asarray)).astype(float), right["vec_id"].to_numpy(np.int64), np.stack(right["embedding"].map(np.asarray)).astype(float))
+                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "cheap": pd.Series(dtype="float64"), "score": pd.Series(dtype="float64")})
+            return best(left["query_id"].to_numpy(np.int64), _matrix(left["embedding"]), right["vec_id"].to_numpy(np.int64), _matrix(right["embedding"]))
 
-        found = parts.groupBy("block", "part").cogroup(spread.groupBy("block", "part")).applyInPandas(meet, schema)
+        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(meet, schema)
+    if encode is not None:
+        found = ranked(found.select("query_id", "vec_id", F.col("score").alias("exact"), F.col("cheap").alias("score")), pool, item="vec_id").select("query_id", "vec_id", F.col("exact").alias("score"))
     return ranked(found, k, item="vec_id").select("query_id", "vec_id", "score", "rank")
 
 
-def two_phase(vectors: DataFrame, queries: DataFrame, cheap: Column, pool: int, k: int) -> DataFrame:
-    """cheap: an expression of q and embedding, larger is nearer; its best `pool` of each query are scored exactly."""
-    pairs = vectors.select("vec_id", "embedding").crossJoin(queries.select("query_id", F.col("embedding").alias("q")))
-    rough = ranked(pairs.withColumn("score", cheap.cast("double")), pool, item="vec_id")
-    exact = rough.select("query_id", "vec_id", V.dot("q", "embedding").alias("score"))
-    return ranked(exact, k, item="vec_id").select("query_id", "vec_id", "score", "rank")
+def search_batches(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """search() under its other name."""
+    return search(vectors, queries, k)
+
+
+def _sq8(m: np.ndarray) -> np.ndarray:
+    x = np.clip(m * 127, -127, 127)
+    return np.sign(x) * np.floor(np.abs(x) + 0.5)
 
 
 def sq8_search(vectors: DataFrame, queries: DataFrame, pool: int = 40, k: int = 10) -> DataFrame:
-    return two_phase(vectors, queries, V.int_dot(V.sq8(F.col("q")), V.sq8(F.col("embedding"))), pool, k)
+    """Whole numbers from -127 to 127 first, halves away from zero."""
+    return two_phase(vectors, queries, _sq8, pool, k)
 
 
 def sign_search(vectors: DataFrame, queries: DataFrame, dim: int, pool: int = 100, k: int = 10) -> DataFrame:
-    return two_phase(vectors, queries, -V.hamming(V.packed_signs(F.col("q"), dim), V.packed_signs(F.col("embedding"), dim)), pool, k)
+    """By signs first: their dot product is dim less twice the Hamming distance."""
+    return two_phase(vectors, queries, lambda m: np.where(m[:, :dim] >= 0, 1.0, -1.0), pool, k)
 
 
 def prefix_search(vectors: DataFrame, queries: DataFrame, width: int = 16, pool: int = 100, k: int = 10) -> DataFrame:
-    return two_phase(vectors, queries, V.dot(F.slice("q", 1, width), F.slice("embedding", 1, width)), pool, k)
+    return two_phase(vectors, queries, lambda m: m[:, :width], pool, k)
+
+
+def late_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact top k by MaxSim of multi-vectors: vectors (vec_id, tokens) and queries (query_id, tokens), arrays of vectors of one width.
+
+    The query matrices are collected, QUERY_BLOCK_BYTES at most; tables beyond that are to be asked in parts.
+    """
+    size = int(queries.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda s, v: s + F.size(v) * 8))).first()[0] or 0)
+    if size > QUERY_BLOCK_BYTES:
+        raise ValueError(f"the query tokens have {size} bytes; ask in parts of {QUERY_BLOCK_BYTES}")
+    asked = [(int(r.query_id), np.array(r.tokens, float)) for r in queries.select("query_id", "tokens").collect() if r.tokens]
+    schema = "query_id long, vec_id long, score double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[b["tokens"].map(lambda t: t is not None and len(t) > 0)]
+            if not len(b) or not asked:
+                continue
+            count = b["tokens"].map(len).to_numpy()
+            flat, first = np.stack([np.asarray(v, float) for t in b["tokens"] for v in t]), np.cumsum(count) - count
+            ids, out = b["vec_id"].to_numpy(np.int64), []
+            for q_id, q in asked:
+                s = np.maximum(np.maximum.reduceat(q @ flat.T, first, axis=1), 0).sum(0)
+                keep = np.flatnonzero(s >= np.partition(s, len(s) - min(k, len(s)))[len(s) - min(k, len(s))] - 2e-6)
+                out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[keep], "score": s[keep]}))
+            yield pd.concat(out)
+
+    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "tokens").mapInPandas(run, schema)
+    return ranked(found, k, item="vec_id").select("query_id", "vec_id", "score", "rank")
 
 
 def pq_train(vectors: DataFrame, m: int = 8, ksub: int = 256, rounds: int = 25, seed: int = 1) -> DataFrame:

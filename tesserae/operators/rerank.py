@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions import vectors as V
+from tesserae.functions.hashing import token_matrices
 from tesserae.functions.text import jaccard, sentences, tokens
 from tesserae.operators import lexical
 from tesserae.operators.lexical import Index, ranked
@@ -57,18 +57,40 @@ def overlap_scorer(query: Column, passage: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(passage))) / F.size(q)).otherwise(0.0)
 
 
+def maxsim_score(q: np.ndarray, d: np.ndarray) -> float:
+    """Sum over the rows of q of the largest dot product with a row of d, not below 0; 0 for matrices of different widths."""
+    if not len(q) or not len(d) or q.shape[1] != d.shape[1]:
+        return 0.0
+    return float(np.maximum((q @ d.T).max(1), 0).sum())
+
+
 def maxsim(pairs: DataFrame) -> DataFrame:
-    """pairs (query_id, chunk_id, q_tokens, d_tokens: arrays of vectors) with score = sum over query tokens of the largest
-    dot product, not below 0. Vectors of other dimensions than the query's give null, which counts 0."""
-    best = F.transform("q_tokens", lambda q: F.greatest(F.lit(0.0), F.coalesce(F.array_max(F.transform("d_tokens", lambda d: F.when(F.size(d) == F.size(q), V.dot(q, d)))), F.lit(0.0))))
-    return pairs.withColumn("score", F.aggregate(best, F.lit(0.0), lambda s, x: s + x))
+    """pairs (query_id, chunk_id, q_tokens, d_tokens: arrays of vectors) with score, a matrix product a pair."""
+
+    def run(q: pd.Series, d: pd.Series) -> pd.Series:
+        of = lambda m: np.stack([np.asarray(v, float) for v in m]) if m is not None and len(m) and len({len(v) for v in m}) == 1 else np.zeros((0, 0))
+        return pd.Series([maxsim_score(of(a), of(b)) for a, b in zip(q, d)], dtype=float)
+
+    return pairs.withColumn("score", F.pandas_udf(run, "double")("q_tokens", "d_tokens"))
+
+
+def late_rerank(hits: DataFrame, passages: DataFrame, queries: DataFrame, embed: Callable[[list], list[np.ndarray]] = token_matrices, top_n: int = 100) -> DataFrame:
+    """The first top_n hits by MaxSim. embed: texts to token matrices, called on the distinct texts of an Arrow batch, so that
+    matrices are never rows of a table."""
 
+    def run(q: pd.Series, d: pd.Series) -> pd.Series:
+        sides = []
+        for s in (q, d):
+            codes, texts = pd.factorize(s.fillna(""))
+            made = embed(list(texts))
+            sides.append((codes, made))
+        (qc, qm), (dc, dm) = sides
+        dm = [np.unique(m, axis=0) if len(m) > 64 else m for m in dm]
+        return pd.Series([maxsim_score(qm[a], dm[b]) for a, b in zip(qc, dc)], dtype=float)
 
-def late_rerank(hits: DataFrame, passages: DataFrame, queries: DataFrame, embed: Callable[[Column], Column], top_n: int = 100) -> DataFrame:
     head = hits.filter(F.col("rank") <= top_n).select("query_id", "chunk_id")
-    q = queries.select("query_id", embed(F.col("text")).alias("q_tokens"))
-    d = passages.join(head.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", embed(F.col("text")).alias("d_tokens"))
-    return ranked(maxsim(head.join(q, "query_id").join(d, "chunk_id")).select("query_id", "chunk_id", "score"), None)
+    both = head.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(passages.select("chunk_id", F.col("text").alias("d")), "chunk_id")
+    return ranked(both.select("query_id", "chunk_id", F.pandas_udf(run, "double")("q", "d").alias("score")), None)
 
 
 def _similarities(pdf: pd.DataFrame) -> np.ndarray:
@@ -194,7 +216,7 @@ def stitch(hits: DataFrame, chunks: DataFrame, max_gap: int = 1) -> DataFrame:
     return side.groupBy("query_id").applyInPandas(run, HITS)
 
 
-def cascade(retrieved: DataFrame, passages: DataFrame, queries: DataFrame, late: Callable[[Column], Column] | None = None, scorer=None, budgets: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def cascade(retrieved: DataFrame, passages: DataFrame, queries: DataFrame, late: Callable[[list], list[np.ndarray]] | None = None, scorer=None, budgets: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Retrieve, then late interaction, then the scorer, on ever fewer hits; and a trace (stage, given, kept)."""
     b = {"retrieve": 200, "late_in": 150, "late_out": 50, "cross_in": 40, "cross_out": 20, "final": 10} | (budgets or {})
     now = retrieved.filter(F.col("rank") <= b["retrieve"])

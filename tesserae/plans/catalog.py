@@ -16,6 +16,8 @@ from tesserae.functions import text as T
 from tesserae.functions import vectors as V
 from tesserae.operators import chunking, dense, evaluate, expand, filters, fusion, graph, lexical, rerank, sparse
 from tesserae.operators.lexical import rounded
+from tesserae.plans.storage import new_path, written
+from tesserae.streaming.snapshot import IndexStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,8 +57,17 @@ def vector_queries(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-def index(spark, d) -> lexical.Index:
-    return lexical.build(chunks(spark, d))
+_snapshots: dict[tuple, str] = {}
+
+
+def index(spark, d, stopwords: bool = False, stem: bool = False) -> lexical.Index:
+    """The index of the documents, built once for each application and folder into the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, d, stopwords, stem)
+    if key not in _snapshots:
+        at = new_path(spark, "index")
+        IndexStore(spark, at).commit(lexical.build(chunks(spark, d), stopwords, stem))
+        _snapshots[key] = at
+    return IndexStore(spark, _snapshots[key]).load()
 
 
 def top(spark, d, k: int) -> DataFrame:
@@ -64,7 +75,7 @@ def top(spark, d, k: int) -> DataFrame:
 
 
 def judgements(spark, d) -> DataFrame:
-    return asked(spark, d).join(chunks(spark, d).withColumnRenamed("text", "body"), F.contains("body", "text")).select("query_id", "doc_id", F.lit(1).alias("grade"))
+    return evaluate.containing(asked(spark, d), chunks(spark, d)).select("query_id", "doc_id", F.lit(1).alias("grade"))
 
 
 def paired_queries(spark, d) -> DataFrame:
@@ -258,7 +269,7 @@ def bm25_top10(spark, d):
 
 @query()
 def bm25_stemmed_top10(spark, d):
-    x = lexical.build(chunks(spark, d), stopwords=True, stem=True)
+    x = index(spark, d, True, True)
     return out(lexical.search(x, asked(spark, d), 10), "score")
 
 
@@ -359,7 +370,7 @@ def vector_store_upsert(spark, d):
 @query()
 def pq_adc(spark, d):
     v = vectors(spark, d)
-    book = dense.pq_train(v).persist()
+    book = written(dense.pq_train(v), "codebook")
     q = vector_queries(spark, d)
     return out(dense.rescored(dense.pq_search(dense.pq_encode(v, book), book, q, 100), v, q, 10), "score")
 
@@ -371,6 +382,26 @@ def ivf_top10(spark, d):
     return out(dense.ivf_search(dense.ivf_assign(v, centres), centres, vector_queries(spark, d), 12, 10), "score")
 
 
+@query(f"""WITH b AS (SELECT vec_id AS code, j AS sub, embedding[j * 16 + 1 : j * 16 + 16]::DOUBLE[] AS c FROM embeddings, range(0, 4) t(j) WHERE vec_id < 16),
+e AS (SELECT vec_id, sub, arg_min(code, struct_pack(a := round(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 12), b := code)) AS code FROM (SELECT vec_id, j, embedding[j * 16 + 1 : j * 16 + 16]::DOUBLE[] AS x FROM embeddings, range(0, 4) t(j)) JOIN b ON b.sub = j GROUP BY ALL),
+l AS (SELECT q.vec_id AS query_id, sub, code, list_dot_product(q.embedding[sub * 16 + 1 : sub * 16 + 16]::DOUBLE[], c) AS v FROM embeddings q, b), s AS (SELECT query_id, vec_id, sum(v) AS score FROM e JOIN l USING (sub, code) GROUP BY ALL) {_TOP}""")
+def pq_given(spark, d):
+    """Product quantisation with the slices of the first vectors as codebook."""
+    v = vectors(spark, d)
+    slices = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.slice("embedding", j * 16 + 1, F.lit(16))))
+    book = v.filter("vec_id < 16").select(F.col("vec_id").cast("int").alias("code"), slices.alias("sub", "part")).select("sub", "code", V.doubles(F.col("part")).alias("centroid"))
+    return out(dense.pq_search(dense.pq_encode(v, book), book, vector_queries(spark, d), 10), "score")
+
+
+@query(f"""WITH g AS (SELECT v.vec_id, c.vec_id AS cell, row_number() OVER (PARTITION BY v.vec_id ORDER BY list_sum(list_transform(list_zip(v.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.vec_id) AS n FROM embeddings v, embeddings c WHERE c.vec_id < 16),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM g a JOIN g b ON a.cell = b.cell AND b.n = 1 JOIN embeddings q ON q.vec_id = a.vec_id JOIN embeddings v ON v.vec_id = b.vec_id WHERE a.n <= 4) {_TOP}""")
+def ivf_given(spark, d):
+    """Inverted cells around the first vectors, four of them probed."""
+    v = vectors(spark, d)
+    centres = v.filter("vec_id < 16").select(F.col("vec_id").cast("int").alias("cell"), V.doubles(F.col("embedding")).alias("centre"))
+    return out(dense.ivf_search(dense.ivf_assign(v, centres), centres, vector_queries(spark, d), 4, 10), "score")
+
+
 # --- filters ---
 
 _META = "(SELECT doc_id, lang, source FROM documents)"
@@ -475,33 +506,47 @@ def cross_encoder_blend(spark, d):
 
 
 @query("""WITH p AS (SELECT vec_id AS query_id, list_transform(range(0, 4), lambda k: embedding[k * 16 + 1 : k * 16 + 16]::DOUBLE[]) AS m FROM embeddings),
-s AS (SELECT a.query_id, b.query_id AS chunk_id, list_sum(list_transform(a.m, lambda x: greatest(0, list_max(list_transform(b.m, lambda y: list_dot_product(x, y)))))) AS score FROM p a, p b WHERE b.query_id < a.query_id + 3 AND b.query_id > a.query_id - 3)
-SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score FROM s""")
+s AS (SELECT a.query_id, b.query_id AS vec_id, list_sum(list_transform(a.m, lambda x: greatest(0, list_max(list_transform(b.m, lambda y: list_dot_product(x, y)))))) AS score FROM p a, p b) """ + _TOP)
 def colbert_maxsim(spark, d):
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("embedding", k * 16 + 1, F.lit(16)))
-    m = vectors(spark, d).select("vec_id", parts.alias("m"))
-    pairs = m.select(F.explode(F.sequence(F.col("vec_id") - 2, F.col("vec_id") + 2)).alias("chunk_id"), F.col("vec_id").alias("query_id"), F.col("m").alias("q_tokens")).join(m.select(F.col("vec_id").alias("chunk_id"), F.col("m").alias("d_tokens")), "chunk_id")
-    return out(rerank.maxsim(pairs).select("query_id", "chunk_id", "score"), "score")
+    m = vectors(spark, d).select("vec_id", parts.alias("tokens"))
+    return out(dense.late_search(m, m.withColumnRenamed("vec_id", "query_id")), "score")
 
 
 @query()
 def late_interaction(spark, d):
-    from tesserae.functions.hashing import token_embedding
+    return out(rerank.late_rerank(top(spark, d, 100), chunks(spark, d), asked(spark, d)), "score")
 
-    return out(rerank.late_rerank(top(spark, d, 10), chunks(spark, d), asked(spark, d), token_embedding), "score")
 
+POOL = f"""WITH RECURSIVE {INDEX}, h AS (SELECT query_id, chunk_id, score, rank, {_tok('d.text')} AS t, count(*) OVER (PARTITION BY query_id) AS n FROM bm JOIN documents d ON doc_id = chunk_id WHERE rank <= 20),
+hb AS MATERIALIZED (SELECT query_id, chunk_id, score, rank, n, list_distinct(t) AS t, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-9 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE score - min(score) OVER w END AS rel FROM h WINDOW w AS (PARTITION BY query_id)),
+sm AS (SELECT a.query_id, a.rank AS i, b.rank AS j, len(list_intersect(a.t, b.t)) AS k, len(a.t) AS m, len(b.t) AS n FROM hb a JOIN hb b USING (query_id)),
+mr AS (SELECT query_id, i, list(CASE WHEN k = 0 THEN 0.0 ELSE k / (m + n - k) END ORDER BY j) AS r FROM sm GROUP BY ALL),
+pl AS MATERIALIZED (SELECT query_id, list(r ORDER BY i) AS sim FROM mr GROUP BY 1), rl AS (SELECT query_id, list(rel ORDER BY rank) AS rel, count(*) AS n FROM hb GROUP BY 1)"""
+PICKED = "SELECT p.query_id, chunk_id, round(score, 6) + 0.0 AS score, place::INT AS rank FROM (SELECT query_id, unnest(got) AS i, generate_subscripts(got, 1) AS place FROM {0}) p JOIN hb ON hb.query_id = p.query_id AND hb.rank = p.i"
 
-@query()
+
+@query(f"""{POOL}, go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0) AS near FROM rl UNION ALL
+SELECT query_id, step + 1, list_append(got, at), list_transform(near, lambda x, i: greatest(x, sim[at][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS at FROM (SELECT go.*, sim,
+  list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE 0.5 * x - 0.5 * near[i] END) AS v FROM go JOIN pl USING (query_id) JOIN rl USING (query_id) WHERE step < least(10, n)) go))
+{PICKED.format('(FROM go JOIN rl USING (query_id) WHERE step = least(10, n))')}""")
 def mmr(spark, d):
     return out(rerank.mmr(top(spark, d, 20), chunks(spark, d), 0.5, 10), "score")
 
 
-@query()
+@query(f"""{POOL}, ai AS (SELECT query_id, n, rel, list_transform(e, lambda x: x / list_sum(e)) AS aim FROM (SELECT *, list_transform(rel, lambda x: exp(x / 0.5)) AS e FROM rl)),
+s1 AS (SELECT query_id, list_transform(sim, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = j THEN 1.0 ELSE x END)) AS sim FROM pl),
+go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0) AS near FROM rl UNION ALL
+SELECT query_id, step + 1, list_append(got, at), list_transform(near, lambda x, i: greatest(x, sim[at][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS at FROM (SELECT go.*, sim,
+  list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE round(0.7 * x + (1 - 0.7) * list_sum(list_transform(aim, lambda a, j: a * greatest(sim[i][j] - near[j], 0))), 12) END) AS v FROM go JOIN s1 USING (query_id) JOIN ai USING (query_id) WHERE step < least(10, n)) go))
+{PICKED.format('(FROM go JOIN rl USING (query_id) WHERE step = least(10, n))')}""")
 def dartboard(spark, d):
     return out(rerank.dartboard(top(spark, d, 20), chunks(spark, d), k=10), "score")
 
 
-@query()
+@query(f"""{POOL}, go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got FROM rl UNION ALL
+SELECT go.query_id, step + 1, CASE WHEN len(list_filter(got, lambda j: sim[step + 1][j] >= 0.92)) = 0 THEN list_append(got, step + 1) ELSE got END FROM go JOIN pl USING (query_id) JOIN rl USING (query_id) WHERE step < n)
+{PICKED.format('(FROM go JOIN rl USING (query_id) WHERE step = n)')}""")
 def dedup(spark, d):
     return out(rerank.fold_duplicates(top(spark, d, 20), chunks(spark, d)), "score")
 
@@ -523,9 +568,9 @@ def parent_stitch(spark, d):
 
 @query()
 def cascade(spark, d):
-    from tesserae.functions.hashing import token_embedding
+    from tesserae.functions.hashing import token_matrices
 
-    final, _ = rerank.cascade(top(spark, d, 60), chunks(spark, d), asked(spark, d), token_embedding, rerank.overlap_scorer, {"retrieve": 60, "late_in": 40, "late_out": 25})
+    final, _ = rerank.cascade(top(spark, d, 200), chunks(spark, d), asked(spark, d), token_matrices, rerank.overlap_scorer)
     return out(final, "score")
 
 
@@ -541,12 +586,12 @@ def crag_action(spark, d):
     return out(rerank.correct(lexical.search(x, asked(spark, d), 20), x, asked(spark, d)), "relevance", "confidence")
 
 
-@query(f"""WITH a AS (SELECT item_id, s, z[s] AS sentence FROM (SELECT item_id, z, unnest(range(1, len(z) + 1)) AS s FROM (SELECT item_id, {_sent('text', 6)} AS z FROM benchmark))),
-bag AS (SELECT DISTINCT item_id, unnest({_tok('d.text')}) AS term FROM benchmark b JOIN documents d ON doc_id = item_id),
+@query(f"""WITH {INDEX}, a AS (SELECT item_id, s, z[s] AS sentence FROM (SELECT item_id, z, unnest(range(1, len(z) + 1)) AS s FROM (SELECT item_id, {_sent('text', 6)} AS z FROM benchmark))),
+bag AS (SELECT DISTINCT query_id AS item_id, unnest({_tok('d.text')}) AS term FROM bm JOIN documents d ON doc_id = chunk_id WHERE rank <= 3),
 t AS (SELECT item_id, s, unnest({_tok('sentence')}) AS term FROM a), h AS (SELECT t.item_id, s, avg(CASE WHEN bag.term IS NULL THEN 0 ELSE 1 END) AS share FROM t LEFT JOIN bag ON bag.item_id = t.item_id AND bag.term = t.term GROUP BY ALL)
 SELECT b.item_id AS query_id, round(coalesce(avg(CASE WHEN a.s IS NULL THEN NULL WHEN share >= 0.5 THEN 1.0 ELSE 0.0 END), 0), 6) + 0.0 AS support FROM benchmark b LEFT JOIN a ON a.item_id = b.item_id LEFT JOIN h ON h.item_id = a.item_id AND h.s = a.s GROUP BY 1""")
 def support_score(spark, d):
-    known = asked(spark, d).select("query_id").join(documents(spark, d), F.col("query_id") == F.col("doc_id")).select("query_id", "text")
+    known = top(spark, d, 3).join(chunks(spark, d), "chunk_id").select("query_id", "text")
     return out(rerank.support(asked(spark, d), known), "support")
 
 
@@ -614,17 +659,32 @@ def hyde_rrf(spark, d):
     return out(expand.hyde(asked(spark, d), lambda t: T.sentences(t, 2), lambda q, k: lexical.search(x, q, k)), "score")
 
 
-@query()
+def _keyed(expr: str, keys: str, k: int) -> str:
+    """Best k chunks vr (keys, chunk_id, rank) of the query texts va (keys, text)."""
+    base = INDEX[: INDEX.index("\nq AS")].rstrip().rstrip(",")
+    return f"""WITH {base}, va AS ({expr}), vq AS (SELECT {keys}, term, count(*) AS qtf FROM (SELECT {keys}, unnest({_tok('text')}) AS term FROM va) GROUP BY ALL),
+vs AS (SELECT {keys}, chunk_id, sum(qtf * idf * w) AS score FROM vq JOIN ts USING (term) JOIN po USING (term) GROUP BY ALL),
+vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM vs) WHERE rank <= {k})"""
+
+
+_TALK = f"""SELECT text_id, n::INT AS stride_no, array_to_string(w[n * 64 + 1 : n * 64 + 64], ' ') AS text FROM (SELECT text_id, w, unnest(range(0, ((len(w) - 1) // 64) + 1)) AS n FROM (
+SELECT text_id, {_WORDS} AS w FROM (SELECT conv_id AS text_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY 1)) WHERE len(w) > 0)"""
+
+
+@query(f"{_keyed(_TALK, 'text_id, stride_no', 2)} SELECT text_id, stride_no, chunk_id, rank::INT AS rank, NULL::BIGINT AS continuation FROM vr")
 def retro_neighbours(spark, d):
     talk = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
     x = index(spark, d)
     return expand.chunk_neighbours(talk.withColumnRenamed("conv_id", "text_id"), chunks(spark, d), lambda q, k: lexical.search(x, q, k))
 
 
-@query()
+_POINTS = f"""SELECT text_id, p AS at, array_to_string(w[greatest(1, p - 31) : p], ' ') AS text FROM (SELECT text_id, w, unnest(range(4, len(w) + 1, 4)) AS p FROM (SELECT item_id AS text_id, {_WORDS} AS w FROM benchmark))"""
+
+
+@query(f"{_keyed(_POINTS, 'text_id, at', 1)} SELECT text_id, at::INT AS at, text AS query, chunk_id FROM va LEFT JOIN vr USING (text_id, at)")
 def ralm_plan(spark, d):
     x = index(spark, d)
-    return expand.retrieval_plan(asked(spark, d).withColumnRenamed("query_id", "text_id"), lambda q, k: lexical.search(x, q, k), 16, 32)
+    return expand.retrieval_plan(asked(spark, d).withColumnRenamed("query_id", "text_id"), lambda q, k: lexical.search(x, q, k))
 
 
 # --- graph ---
@@ -640,19 +700,31 @@ def link_edges(spark, d):
     return graph.link_edges(pages, F.regexp_extract_all("text", F.lit('href="([^"]*)"'), F.lit(1)))
 
 
+@query(f"""WITH pg AS (SELECT page_id, url, lead(url) OVER w AS u1, lead(url, 2) OVER w AS u2, lead(url, 3) OVER w AS u3 FROM pages WINDOW w AS (ORDER BY page_id)),
+nm AS (SELECT key, min(page_id) AS "to" FROM (SELECT page_id, {_CANON.format('url')} AS key FROM pg) WHERE key <> '' GROUP BY 1),
+sd AS (SELECT page_id, {_CANON.format('t')} AS key FROM (SELECT page_id, unnest([u1, u2, u3, u1]) AS t FROM pg))
+SELECT least(page_id, "to") AS a, greatest(page_id, "to") AS b, count(*) * 2.0::DOUBLE AS weight, 'link' AS kind FROM sd JOIN nm USING (key) WHERE page_id <> "to" AND key <> '' GROUP BY ALL""")
+def mined_link_edges(spark, d):
+    """Links of every written form, mined from text: each page names the next three."""
+    w = Window.orderBy("page_id")
+    said = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("uri"), F.lit("").alias("title"), *[F.lead("url", k).over(w).alias(f"u{k}") for k in (1, 2, 3)])
+    text = F.concat_ws(" ", F.concat(F.lit("see [the next]("), "u1", F.lit(")")), F.concat(F.lit("then "), "u2", F.lit(" or")), F.concat(F.lit("[["), "u3", F.lit("]]")), F.concat(F.lit("and [again]("), "u1", F.lit(").")))
+    return graph.link_edges(said.select("doc_id", "uri", "title", text.alias("text")))
+
+
 def _doc_terms(spark, d) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    return T.token_rows(documents(spark, d), "doc_id").distinct()
 
 
-SIM = f"""te AS (SELECT doc_id, unnest(list_distinct({_tok('text')})) AS term FROM documents), sz AS (SELECT doc_id, count(*) AS n FROM te GROUP BY 1), us AS (SELECT term FROM te GROUP BY 1 HAVING count(*) <= 50),
-sp AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS shared FROM te x JOIN te y USING (term) WHERE term IN (FROM us) AND x.doc_id < y.doc_id GROUP BY ALL),
+SIM = f"""te AS (SELECT doc_id, unnest(list_distinct({_tok('text')})) AS term FROM documents), sz AS (SELECT doc_id, count(*) AS n FROM te GROUP BY 1),
+sp AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS shared FROM te x JOIN te y USING (term) WHERE x.doc_id < y.doc_id GROUP BY ALL),
 pa AS (SELECT x, y, shared / (a.n + b.n - shared) AS sim FROM sp JOIN sz a ON a.doc_id = x JOIN sz b ON b.doc_id = y WHERE shared / (a.n + b.n - shared) >= 0.15),
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(sim, 9) DESC, y) AS place FROM (SELECT x, y, sim FROM pa UNION ALL SELECT y, x, sim FROM pa)) WHERE place <= 8),
 ed AS (SELECT least(x, y) AS a, greatest(x, y) AS b, sum(sim) AS weight, 'similarity' AS kind FROM pk GROUP BY 1, 2)"""
 
 
 def _edges(spark, d) -> DataFrame:
-    return graph.similarity_edges(_doc_terms(spark, d), max_df=50)
+    return graph.similarity_edges(_doc_terms(spark, d))
 
 
 @query(f"WITH {SIM} SELECT a, b, round(weight, 6) + 0.0 AS weight, kind FROM ed")
@@ -666,6 +738,16 @@ def label_communities(spark, d):
     return graph.communities(labels)
 
 
+def _votes(rounds: int = 10) -> str:
+    steps = [f"l{k} AS MATERIALIZED (SELECT l.doc_id, coalesce(best, label) AS label FROM l{k - 1} l LEFT JOIN (SELECT doc_id, arg_max(label, struct_pack(a := round(w, 9), b := -label)) AS best FROM (SELECT u AS doc_id, label, sum(weight) AS w FROM ad JOIN l{k - 1} ON doc_id = v GROUP BY ALL) GROUP BY 1) b ON b.doc_id = l.doc_id)" for k in range(1, rounds + 1)]
+    return f"ad AS MATERIALIZED (SELECT a AS u, b AS v, weight FROM ed UNION ALL SELECT b, a, weight FROM ed), l0 AS (SELECT doc_id, doc_id AS label FROM documents), {', '.join(steps)}"
+
+
+@query(f"WITH {SIM}, {_votes()} SELECT doc_id, label FROM l10")
+def synchronous_labels(spark, d):
+    return graph.synchronous_labels(documents(spark, d).select("doc_id"), _edges(spark, d))
+
+
 def _sources(spark, d) -> DataFrame:
     """Documents by source, as communities whose numbers SQL can give."""
     return graph.communities(documents(spark, d).select("doc_id", F.col("source").alias("label")))
@@ -682,7 +764,7 @@ def community_density(spark, d):
 
 REPORT = f"""df AS (SELECT community_id, term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({_tok('text')})) AS term FROM documents) JOIN me USING (doc_id) GROUP BY ALL),
 sn AS (SELECT doc_id, s, z[s] AS sentence FROM (SELECT doc_id, z, unnest(range(1, len(z) + 1)) AS s FROM (SELECT doc_id, {_sent('text', 12)} AS z FROM documents))),
-sr AS (SELECT community_id, doc_id, s, sentence, sum(df) / sqrt(greatest(strlen(sentence), 1)) AS score FROM (SELECT doc_id, s, sentence, unnest({_tok('sentence')}) AS term FROM sn) JOIN me USING (doc_id) JOIN df USING (community_id, term) GROUP BY ALL),
+sr AS (SELECT community_id, doc_id, s, sentence, sum(df) / sqrt(greatest(any_value(strlen(sentence)), 1)) AS score FROM (SELECT doc_id, s, sentence, unnest({_tok('sentence')}) AS term FROM sn) JOIN me USING (doc_id) JOIN df USING (community_id, term) GROUP BY ALL),
 sy AS (SELECT community_id, string_agg(sentence, ' ' ORDER BY place) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY round(score, 6) DESC, doc_id, s) AS place FROM sr) WHERE place <= 3 GROUP BY 1)"""
 
 
@@ -691,19 +773,38 @@ def community_report(spark, d):
     return out(graph.reports(_sources(spark, d), documents(spark, d)), ranks=("community_id",))
 
 
-@query()
+def _pagerank(rounds: int = 30) -> str:
+    """Ranks r<rounds> (query_id, doc_id, rank) of seeds ss (query_id, doc_id, mass), a statement a round."""
+    steps = [f"""r{k} AS MATERIALIZED (SELECT query_id, doc_id, 0.15 * coalesce(t, 0) + 0.85 * (coalesce(i, 0) + coalesce(stuck, 0) * coalesce(t, 0)) AS rank FROM
+(SELECT query_id, v AS doc_id, sum(rank * p) AS i FROM r{k - 1} JOIN wk ON u = doc_id GROUP BY ALL) FULL JOIN tp USING (query_id, doc_id) LEFT JOIN (SELECT query_id, sum(rank) AS stuck FROM r{k - 1} WHERE doc_id NOT IN (SELECT u FROM wk) GROUP BY 1) USING (query_id))""" for k in range(1, rounds + 1)]
+    return f"""ad AS MATERIALIZED (SELECT a AS u, b AS v, weight FROM ed UNION ALL SELECT b, a, weight FROM ed), wk AS MATERIALIZED (SELECT u, v, weight / sum(weight) OVER (PARTITION BY u) AS p FROM ad),
+tp AS MATERIALIZED (SELECT query_id, doc_id, sum(mass) / any_value(total) AS t FROM ss JOIN (SELECT query_id, sum(mass) AS total FROM ss GROUP BY 1) USING (query_id) GROUP BY ALL), r0 AS (SELECT query_id, doc_id, t AS rank FROM tp), {', '.join(steps)}"""
+
+
+@query(f"WITH {SIM}, {QRELS}, ss AS (SELECT query_id, doc_id, 1.0::DOUBLE AS mass FROM qr), {_pagerank()} SELECT query_id, doc_id, round(rank, 6) + 0.0 AS rank FROM r30")
 def pagerank(spark, d):
     seeds = judgements(spark, d).select("query_id", "doc_id", F.lit(1.0).alias("mass"))
     return out(graph.pagerank(documents(spark, d).select("doc_id"), _edges(spark, d), seeds), "rank", ranks=())
 
 
-@query()
+@query(f"""WITH {INDEX}, {SIM}, ht AS (SELECT * FROM bm WHERE rank <= 30), ss AS (SELECT query_id, chunk_id AS doc_id, greatest(score, 0) + 1e-3 AS mass FROM ht), {_pagerank()},
+ce AS (SELECT query_id, doc_id AS chunk_id, rank / CASE WHEN max(rank) OVER (PARTITION BY query_id) > 0 THEN max(rank) OVER (PARTITION BY query_id) ELSE 1 END AS central FROM r30),
+fu AS (SELECT * FROM (SELECT query_id, chunk_id, 0.6 * coalesce(score, 0) + 0.4 * central AS score FROM ce LEFT JOIN ht USING (query_id, chunk_id) WHERE central > 1e-6) WHERE score > 0)
+SELECT * FROM ({FUSED}) WHERE rank <= 10""")
 def graph_local(spark, d):
     hits = top(spark, d, 30)
     return out(graph.local_search(hits, chunks(spark, d), documents(spark, d).select("doc_id"), _edges(spark, d), 10), "score")
 
 
-@query()
+@query(f"""WITH {INDEX}, {SIM}, {SRC}, {REPORT}, ad AS (SELECT a AS u, b AS v FROM ed UNION ALL SELECT b, a FROM ed), dc AS (SELECT x.community_id, avg((x.community_id = y.community_id)::INT) AS density FROM ad JOIN me x ON x.doc_id = u JOIN me y ON y.doc_id = v GROUP BY 1),
+le AS (SELECT community_id, arg_max(chunk_id, struct_pack(a := score, b := -chunk_id)) AS lead_chunk FROM (SELECT community_id, chunk_id, sum(tf * df) AS score FROM tf JOIN me ON me.doc_id = chunk_id JOIN df USING (community_id, term) GROUP BY ALL) GROUP BY 1),
+cs AS (SELECT me.community_id, count(*) AS docs, coalesce(any_value(density), 0) AS density FROM me LEFT JOIN dc USING (community_id) GROUP BY 1),
+cm AS (SELECT community_id, docs, density, summary, lead_chunk FROM cs JOIN sy USING (community_id) JOIN le USING (community_id)),
+st2 AS (SELECT community_id, term, count(*) AS n FROM (SELECT community_id, unnest({_tok('summary')}) AS term FROM cm) GROUP BY ALL),
+hi AS (SELECT query_id, community_id, sum(1 + ln(1 + n)) AS s FROM q JOIN st2 USING (term) GROUP BY ALL),
+sg AS (SELECT b.item_id AS query_id, cm.community_id, lead_chunk, coalesce(s, 0) * (0.5 + density) + 1e-4 * docs AS score FROM benchmark b CROSS JOIN cm LEFT JOIN hi ON hi.query_id = item_id AND hi.community_id = cm.community_id),
+sn2 AS (SELECT query_id, community_id, lead_chunk, score / greatest(max(score) OVER (PARTITION BY query_id), 1e-6) AS score FROM sg WHERE score > 0)
+SELECT query_id, lead_chunk AS chunk_id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, community_id) AS rank FROM sn2) WHERE rank <= 10""")
 def graph_global(spark, d):
     members, docs = _sources(spark, d), documents(spark, d)
     summaries = graph.density(members, _edges(spark, d)).join(graph.reports(members, docs), "community_id").join(graph.leads(members, docs, chunks(spark, d)), "community_id")
@@ -745,9 +846,20 @@ def map_mrr(spark, d):
     return out(evaluate.average_precision(_run(spark, d), judgements(spark, d)), "ap", "rr")
 
 
-@query()
+def _report() -> str:
+    cols = ["avg(coalesce((SELECT sum(n.nth / n.rank) FROM n WHERE n.query_id = r.query_id), 0) / relevant) AS map", "avg(coalesce((SELECT 1 / min(n.rank) FROM n WHERE n.query_id = r.query_id), 0)) AS mrr"]
+    for k in evaluate.CUTOFFS:
+        cols.append(f"avg(coalesce((SELECT sum(1 / log2(n.rank + 1)) FROM n WHERE n.query_id = r.query_id AND n.rank <= {k}), 0) / (SELECT sum(1 / log2(p + 1)) FROM range(1, 101) x(p) WHERE p <= least(relevant, {k}))) AS ndcg_{k}")
+        cols.append(f"avg((SELECT count(*) FROM n WHERE n.query_id = r.query_id AND n.rank <= {k}) / relevant) AS recall_{k}")
+        cols.append(f"avg((SELECT count(*) FROM n WHERE n.query_id = r.query_id AND n.rank <= {k}) / {k}.0) AS precision_{k}")
+    names = [c.rpartition(" AS ")[2] for c in cols]
+    return f"""WITH {RUN}, n AS MATERIALIZED (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM run JOIN qr USING (query_id, doc_id)),
+r AS MATERIALIZED (SELECT query_id, count(*) AS relevant FROM qr GROUP BY 1) SELECT queries, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in names)} FROM (SELECT count(*)::BIGINT AS queries, {', '.join(cols)} FROM r)"""
+
+
+@query(_report())
 def eval_report(spark, d):
-    m = evaluate.evaluate(_run(spark, d).persist(), judgements(spark, d).persist())
+    m = evaluate.evaluate(written(_run(spark, d), "run"), written(judgements(spark, d), "judgements"))
     return out(m, *[c for c in m.columns if c != "queries"])
 
 
@@ -777,11 +889,20 @@ def corpus_counters(spark, d):
     return counters(documents(spark, d), table(spark, d, "labels").filter("toxic = 1").select("doc_id"))
 
 
-@query()
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, strlen({0}) + 1), lambda i: ascii({0}[i])::HUGEINT)), lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
+k AS (SELECT doc_id, unnest(w) AS key, 1.0 AS x FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), 0.5 FROM t),
+h AS MATERIALIZED (SELECT key, {_FNV.format('key')} AS h FROM (SELECT DISTINCT key FROM k)),
+v AS (SELECT doc_id, (h % 256)::INT AS slot, sum(CASE WHEN h >= 9223372036854775808 THEN -x ELSE x END) AS v FROM k JOIN h USING (key) GROUP BY ALL)
+SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) + 0.0 AS value FROM v WHERE v <> 0""")
 def hash_embeddings(spark, d):
+    """The components that aren't 0; to 5 places, as vectors are of single precision."""
     from tesserae.functions.hashing import hash_embedding
 
-    return documents(spark, d).select("doc_id", hash_embedding(F.col("text"), 64).alias("embedding"))
+    made = documents(spark, d).select("doc_id", F.posexplode(hash_embedding(F.col("text"))).alias("slot", "v"))
+    return made.filter("v <> 0").select("doc_id", "slot", (F.round(F.col("v").cast("double"), 5) + F.lit(0.0)).alias("value"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS first, list_sum(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END))::INT AS positive FROM embeddings")
