@@ -26,8 +26,9 @@ N, THRESHOLD, BANDS, ROWS = 3, 0.5, 8, 4
 TILE_SIZE = 1 << 19
 #: Counters of the sketch that orders n-grams, in pieces of PIECE. Any order gives the same result; a fixed size bounds what is broadcast.
 COUNTERS, PIECE = 1 << 20, 1 << 14
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 BUCKET = 1 << 20
+MOST = np.iinfo(np.uint32).max
 SKETCH = "row_id long, doc_id long, size long, c1 long, c2 long, keys array<long>, piece int, counts binary"
 POSTING = "bucket long, grams binary, owners binary, reaches binary, blocks binary, leasts binary"
 
@@ -142,13 +143,13 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, level
         order = np.lexsort((block, low, bucket))
         bucket, low, block, least, reach = bucket[order], low[order], block[order], least[order], reach[order]
         new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])]))
-        reach = np.minimum(np.maximum.reduceat(reach, new), np.iinfo(np.uint32).max)
+        reach = np.maximum.reduceat(reach, new)
         bucket, low, block, least = bucket[new], low[new], block[new], least[new]
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         rows: list[list] = [[] for _ in range(6)]
         for a, z in zip(edge[:-1], edge[1:]):
             blocks, first, owner = np.unique(block[a:z], return_index=True, return_inverse=True)
-            parts = (low[a:z], owner.astype(np.uint32), reach[a:z].astype(np.uint32), blocks, np.minimum(least[a:z][first], np.iinfo(np.uint32).max).astype(np.uint32))
+            parts = (low[a:z], owner.astype(np.uint32), reach[a:z], blocks, least[a:z][first])
             for column, value in zip(rows, (int(bucket[a]), *(p.tobytes() for p in parts))):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(c, pa.binary()) for c in rows[1:])], [c.split()[0] for c in POSTING.split(", ")])
@@ -161,7 +162,7 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, level
             end = np.cumsum(count)
             sets = [np.unique(x[e - c : e]) for e, c in zip(end, count)]
             gram, owner, reach = prefixes(sets, levels, threshold)
-            held.append((gram, block[lo:hi][owner], least[lo:hi][owner], reach))
+            held.append((gram, block[lo:hi][owner], np.minimum(least[lo:hi], MOST).astype(np.uint32)[owner], np.minimum(reach, MOST).astype(np.uint32)))
             if sum(len(h[0]) for h in held) >= FLUSH:
                 yield from flushed()
     if held:

@@ -54,7 +54,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(col: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, bytes and offsets of runs of rows with about `most` bytes; a longer row is a run of its own."""
     data, off = buffers(col)
     lo, n = 0, len(off) - 1
