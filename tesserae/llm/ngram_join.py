@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
 from tesserae.llm.shared import drop, fresh, with_row_id, written
-from tesserae.llm.text import U, mix, pieces, shingles, words
+from tesserae.llm.text import U, mix, pieces, shingles, trim, words
 
 N, THRESHOLD, BANDS, ROWS = 3, 0.5, 8, 4
 TILE_SIZE = 1 << 19
 #: Counters of the sketch that orders n-grams, in pieces of PIECE. Any order gives the same result; a fixed size bounds what is broadcast.
 COUNTERS, PIECE = 1 << 20, 1 << 14
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 BUCKET = 1 << 20
 MOST = np.iinfo(np.uint32).max
 SKETCH = "row_id long, doc_id long, size long, c1 long, c2 long, keys array<long>, piece int, counts binary"
@@ -83,6 +83,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) ->
         parts = total.reshape(-1, PIECE)
         given = [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), k) for k in kinds[:6]), *given], names)
+    trim()
 
 
 def _counter(grams: np.ndarray) -> np.ndarray:
@@ -167,6 +168,7 @@ def _postings(batches: Iterator[pa.RecordBatch], n: int, threshold: float, level
                 yield from flushed()
     if held:
         yield from flushed()
+    trim()
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,18 @@ for _b in range(33, 127):
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _pow = np.ones(1, U)
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
+def trim() -> None:
+    """Give memory that arrays have left back to the system: workers are used again, and stages after this one need it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.labelled import sample
-from tesserae.llm.text import _SPACE_PUNCT, U, folded, mix, pieces, powers
+from tesserae.llm.text import _SPACE_PUNCT, U, folded, mix, pieces, powers, trim
 
 BUCKETS, DIM, SIZES, WINDOW, PER_CLASS = 1 << 18, 16, (3, 4, 5, 6), 2, 2000
 SCHEMA = "doc_id long, score double, toxic boolean"
@@ -225,6 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             got = np.concatenate([scores(model, data, off) for _, _, data, off in pieces(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= model.threshold) & (got > 0))], ["doc_id", "score", "toxic"])
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -242,5 +243,6 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             got = np.concatenate([scores(model, data, off) for _, _, data, off in pieces(batch.column(0))])
             yield batch.filter(pa.array(~((got >= model.threshold) & (got > 0))))
+        trim()
 
     return ordered.mapInArrow(run, ordered.schema).select(*[F.col(f"`{c}`") for c in columns])
