@@ -134,7 +134,7 @@ def mmr_order(s: np.ndarray, sim: np.ndarray, relevance: float = 0.5, k: int | N
     rel, near = _unit(s), np.zeros(len(s))
     left, out = np.ones(len(s), bool), []
     while left.any() and len(out) < (k or len(s)):
-        value = relevance * rel - (1 - relevance) * (near if out else 0)
+        value = np.round(relevance * rel - (1 - relevance) * (near if out else 0), 9)  # equals stay equal, however they were summed
         i = int(np.argmax(np.where(left, value, -np.inf)))
         left[i] = False
         out.append(i)
@@ -159,7 +159,7 @@ def dartboard_order(s: np.ndarray, sim: np.ndarray, relevance: float = 0.7, sigm
     covered, left, out = np.zeros(len(s)), np.ones(len(s), bool), []
     while left.any() and len(out) < (k or len(s)):
         gain = np.maximum(sim - covered[None, :], 0) @ aim
-        i = int(np.argmax(np.where(left, relevance * rel + (1 - relevance) * gain, -np.inf)))
+        i = int(np.argmax(np.where(left, np.round(relevance * rel + (1 - relevance) * gain, 9), -np.inf)))
         left[i] = False
         out.append(i)
         covered = np.maximum(covered, sim[i])

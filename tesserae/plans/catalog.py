@@ -527,8 +527,8 @@ PICKED = "SELECT p.query_id, chunk_id, round(score, 6) + 0.0 AS score, place::IN
 
 
 @query(f"""{POOL}, go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0) AS near FROM rl UNION ALL
-SELECT query_id, step + 1, list_append(got, at), list_transform(near, lambda x, i: greatest(x, sim[at][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS at FROM (SELECT go.*, sim,
-  list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE 0.5 * x - 0.5 * near[i] END) AS v FROM go JOIN pl USING (query_id) JOIN rl USING (query_id) WHERE step < least(10, n)) go))
+SELECT query_id, step + 1, list_append(got, pick), list_transform(near, lambda x, i: greatest(x, sim[pick][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS pick FROM (SELECT go.*, sim,
+  list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE round(0.5 * x - 0.5 * near[i], 9) END) AS v FROM go JOIN pl USING (query_id) JOIN rl USING (query_id) WHERE step < least(10, n)) go))
 {PICKED.format('(FROM go JOIN rl USING (query_id) WHERE step = least(10, n))')}""")
 def mmr(spark, d):
     return out(rerank.mmr(top(spark, d, 20), chunks(spark, d), 0.5, 10), "score")
@@ -537,8 +537,8 @@ def mmr(spark, d):
 @query(f"""{POOL}, ai AS (SELECT query_id, n, rel, list_transform(e, lambda x: x / list_sum(e)) AS aim FROM (SELECT *, list_transform(rel, lambda x: exp(x / 0.5)) AS e FROM rl)),
 s1 AS (SELECT query_id, list_transform(sim, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = j THEN 1.0 ELSE x END)) AS sim FROM pl),
 go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0) AS near FROM rl UNION ALL
-SELECT query_id, step + 1, list_append(got, at), list_transform(near, lambda x, i: greatest(x, sim[at][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS at FROM (SELECT go.*, sim,
-  list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE round(0.7 * x + (1 - 0.7) * list_sum(list_transform(aim, lambda a, j: a * greatest(sim[i][j] - near[j], 0))), 12) END) AS v FROM go JOIN s1 USING (query_id) JOIN ai USING (query_id) WHERE step < least(10, n)) go))
+SELECT query_id, step + 1, list_append(got, pick), list_transform(near, lambda x, i: greatest(x, sim[pick][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS pick FROM (SELECT go.*, sim,
+  list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE round(0.7 * x + (1 - 0.7) * list_sum(list_transform(aim, lambda a, j: a * greatest(sim[i][j] - near[j], 0))), 9) END) AS v FROM go JOIN s1 USING (query_id) JOIN ai USING (query_id) WHERE step < least(10, n)) go))
 {PICKED.format('(FROM go JOIN rl USING (query_id) WHERE step = least(10, n))')}""")
 def dartboard(spark, d):
     return out(rerank.dartboard(top(spark, d, 20), chunks(spark, d), k=10), "score")
@@ -678,10 +678,10 @@ def retro_neighbours(spark, d):
     return expand.chunk_neighbours(talk.withColumnRenamed("conv_id", "text_id"), chunks(spark, d), lambda q, k: lexical.search(x, q, k))
 
 
-_POINTS = f"""SELECT text_id, p AS at, array_to_string(w[greatest(1, p - 31) : p], ' ') AS text FROM (SELECT text_id, w, unnest(range(4, len(w) + 1, 4)) AS p FROM (SELECT item_id AS text_id, {_WORDS} AS w FROM benchmark))"""
+_POINTS = f"""SELECT text_id, p AS spot, array_to_string(w[greatest(1, p - 31) : p], ' ') AS text FROM (SELECT text_id, w, unnest(range(4, len(w) + 1, 4)) AS p FROM (SELECT item_id AS text_id, {_WORDS} AS w FROM benchmark))"""
 
 
-@query(f"{_keyed(_POINTS, 'text_id, at', 1)} SELECT text_id, at::INT AS at, text AS query, chunk_id FROM va LEFT JOIN vr USING (text_id, at)")
+@query(f"{_keyed(_POINTS, 'text_id, spot', 1)} SELECT text_id, spot::INT AS \"at\", text AS query, chunk_id FROM va LEFT JOIN vr USING (text_id, spot)")
 def ralm_plan(spark, d):
     x = index(spark, d)
     return expand.retrieval_plan(asked(spark, d).withColumnRenamed("query_id", "text_id"), lambda q, k: lexical.search(x, q, k))
@@ -724,7 +724,12 @@ ed AS (SELECT least(x, y) AS a, greatest(x, y) AS b, sum(sim) AS weight, 'simila
 
 
 def _edges(spark, d) -> DataFrame:
-    return graph.similarity_edges(_doc_terms(spark, d))
+    """Similarity edges, made once for each application and folder, as the index is."""
+    key = (spark.sparkContext.applicationId, d, "edges")
+    if key not in _snapshots:
+        _snapshots[key] = new_path(spark, "edges")
+        graph.similarity_edges(_doc_terms(spark, d)).write.parquet(_snapshots[key])
+    return spark.read.parquet(_snapshots[key])
 
 
 @query(f"WITH {SIM} SELECT a, b, round(weight, 6) + 0.0 AS weight, kind FROM ed")
@@ -896,7 +901,7 @@ _FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(r
 k AS (SELECT doc_id, unnest(w) AS key, 1.0 AS x FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), 0.5 FROM t),
 h AS MATERIALIZED (SELECT key, {_FNV.format('key')} AS h FROM (SELECT DISTINCT key FROM k)),
 v AS (SELECT doc_id, (h % 256)::INT AS slot, sum(CASE WHEN h >= 9223372036854775808 THEN -x ELSE x END) AS v FROM k JOIN h USING (key) GROUP BY ALL)
-SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 5) + 0.0 AS value FROM v WHERE v <> 0""")
+SELECT doc_id, slot, round((v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) + 0.0 AS value FROM v WHERE v <> 0""")
 def hash_embeddings(spark, d):
     """The components that aren't 0; to 5 places, as vectors are of single precision."""
     from tesserae.functions.hashing import hash_embedding

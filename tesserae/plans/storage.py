@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -92,7 +93,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark application."""
+    """Send this package to the Python workers, once for each Spark application; and bound what a batch of rows sent to them
+    may have in bytes, where the session doesn't say it: rows of long texts would make batches of any size."""
+    if _BATCH not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(_BATCH, "8m")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -153,5 +153,5 @@ def read_benchmark(spark: SparkSession, path: str, split: str = "test") -> tuple
     corpus = spark.read.schema("_id string, title string, text string").json(f"{path}/corpus.jsonl").withColumnRenamed("_id", "doc_id")
     queries = spark.read.schema("_id string, text string").json(f"{path}/queries.jsonl").withColumnRenamed("_id", "query_id")
     lines = spark.read.option("sep", "\t").schema("query_id string, doc_id string, grade string").csv(f"{path}/qrels/{split}.tsv")
-    judged = lines.filter(F.col("grade").try_cast("int").isNotNull()).select("query_id", "doc_id", F.col("grade").cast("int").alias("grade"))
+    judged = lines.filter(F.col("grade").try_cast("int").isNotNull()).select("query_id", "doc_id", F.col("grade").try_cast("int").alias("grade"))
     return corpus, queries, judged
