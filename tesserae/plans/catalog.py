@@ -485,13 +485,64 @@ def feature_rerank(spark, d):
     return out(rerank.feature_rerank(lexical.search(x, asked(spark, d), 20), x, asked(spark, d)), "score")
 
 
-@query(f"WITH {LISTS}, {BOUNDS}, cv AS (SELECT query_id, chunk_id, {_CONVEX.format(a='0.8')} AS score FROM bo GROUP BY ALL), {FEATURE.format('cv')}, fu AS (FROM fr) SELECT * FROM ({FUSED}) WHERE rank <= 10")
+@query(f"""WITH {LISTS}, {BOUNDS}, ca AS (SELECT query_id, chunk_id, {_CONVEX.format(a='0.8')} AS score FROM bo GROUP BY ALL),
+cv AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS place FROM ca) WHERE place <= 60), {FEATURE.format('cv')}, fu AS (FROM fr) SELECT * FROM ({FUSED}) WHERE rank <= 10""")
 def hybrid_standard(spark, d):
     x = index(spark, d)
-    fused = fusion.convex(lists(spark, d))
+    fused = fusion.convex(lists(spark, d)).filter("rank <= 60")
     return out(rerank.feature_rerank(fused, x, asked(spark, d)), "score").filter("rank <= 10")
 
 
+@query(ORACLE_SQL["hybrid_standard"])
+def engine_standard(spark, d):
+    """The same by the engine: documents added under their numbers, vectors given, the standard pipeline."""
+    from tesserae.engine import CorpusConfig, Engine
+
+    engine = Engine(spark, CorpusConfig("document", stopwords=False, stem=False))
+    engine.add(documents(spark, d).select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("uri"), F.concat("text", F.lit("\n")).alias("text"))).build()
+    known = asked(spark, d).join(paired_queries(spark, d), "query_id").select("text", "embedding").toPandas()
+    vec = {t: [float(x) for x in v] for t, v in zip(known["text"], known["embedding"])}
+    engine.corpus.embedder = Given(vec, 64)
+    named = engine.corpus.documents.join(engine.corpus.chunks.select("doc_id", "chunk_id"), "doc_id").select(F.col("uri").cast("long").alias("vec_id"), "chunk_id")
+    engine.corpus.embeddings = written(vectors(spark, d).join(named, "vec_id").select("chunk_id", "embedding"), "embeddings")
+    return out(engine.search_many(asked(spark, d)).select("query_id", F.col("uri").cast("long").alias("chunk_id"), "score", "rank"), "score")
+
+
+class Given:
+    """An embedder of known texts; others have the null vector."""
+
+    identity = "given"
+
+    def __init__(self, vectors: dict[str, list[float]], dimension: int):
+        self.vectors, self.dimension = vectors, dimension
+
+    def embed(self, texts):
+        return [self.vectors.get(t, [0.0] * self.dimension) for t in texts]
+
+
+@query(f"""WITH {INDEX} SELECT query_id, chunk_id, round(score, 6) + 0.0 AS score, rank::INT AS rank FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 20 AND lang = 'en' AND source <> 'src1'""")
+def post_filter(spark, d):
+    """Hits of documents that agree with given values, and don't with others."""
+    where = filters.all_equal({"lang": "en"}) & ~filters.all_equal({"source": "src1"})
+    hits = filters.keep_documents(top(spark, d, 20), chunks(spark, d), _meta(spark, d), where)
+    return out(hits.select("query_id", "chunk_id", "score", "rank"), "score")
+
+
+@query(f"""WITH {INDEX} SELECT query_id, chunk_id, round(1000.0 / strlen(text), 6) + 0.0 AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(1000.0 / strlen(text), 6) DESC, chunk_id))::INT AS rank FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 20""")
+def rescored_hits(spark, d):
+    """Hits ranked anew by a caller's scores."""
+    hits = top(spark, d, 20)
+    mine = hits.join(chunks(spark, d), "chunk_id").select("query_id", "chunk_id", (1000.0 / F.octet_length("text")).alias("score"))
+    return out(rerank.rescore(hits, mine), "score")
+
+
+@query(f"""WITH {INDEX} SELECT query_id, CASE WHEN source <> '' THEN source || '#' || chunk_id ELSE 'chunk-' || chunk_id END AS id, rank::INT AS rank FROM bm JOIN documents ON doc_id = chunk_id WHERE rank <= 10""")
+def hit_ids(spark, d):
+    """Ids that stay the same from search to search."""
+    named = top(spark, d, 10).join(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
+    return named.select("query_id", F.when(F.col("source") != "", F.concat_ws("#", "source", "chunk_id")).otherwise(F.concat_ws("-", F.lit("chunk"), "chunk_id")).alias("id"), F.col("rank").cast("int").alias("rank"))
+
+
 # --- reranking ---
 
 _OVERLAP = f"len(list_intersect(list_distinct({_tok('b.text')}), list_distinct({_tok('d.text')}))) / greatest(1, len(list_distinct({_tok('b.text')})))"
@@ -526,7 +577,7 @@ pl AS MATERIALIZED (SELECT query_id, list(r ORDER BY i) AS sim FROM mr GROUP BY
 PICKED = "SELECT p.query_id, chunk_id, round(score, 6) + 0.0 AS score, place::INT AS rank FROM (SELECT query_id, unnest(got) AS i, generate_subscripts(got, 1) AS place FROM {0}) p JOIN hb ON hb.query_id = p.query_id AND hb.rank = p.i"
 
 
-@query(f"""{POOL}, go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0) AS near FROM rl UNION ALL
+@query(f"""{POOL}, go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0::DOUBLE) AS near FROM rl UNION ALL
 SELECT query_id, step + 1, list_append(got, pick), list_transform(near, lambda x, i: greatest(x, sim[pick][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS pick FROM (SELECT go.*, sim,
   list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE round(0.5 * x - 0.5 * near[i], 9) END) AS v FROM go JOIN pl USING (query_id) JOIN rl USING (query_id) WHERE step < least(10, n)) go))
 {PICKED.format('(FROM go JOIN rl USING (query_id) WHERE step = least(10, n))')}""")
@@ -536,7 +587,7 @@ def mmr(spark, d):
 
 @query(f"""{POOL}, ai AS (SELECT query_id, n, rel, list_transform(e, lambda x: x / list_sum(e)) AS aim FROM (SELECT *, list_transform(rel, lambda x: exp(x / 0.5)) AS e FROM rl)),
 s1 AS (SELECT query_id, list_transform(sim, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = j THEN 1.0 ELSE x END)) AS sim FROM pl),
-go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0) AS near FROM rl UNION ALL
+go AS (SELECT query_id, 0 AS step, []::BIGINT[] AS got, list_transform(rel, lambda x: 0.0::DOUBLE) AS near FROM rl UNION ALL
 SELECT query_id, step + 1, list_append(got, pick), list_transform(near, lambda x, i: greatest(x, sim[pick][i])) FROM (SELECT go.*, sim, list_position(v, list_max(v)) AS pick FROM (SELECT go.*, sim,
   list_transform(rel, lambda x, i: CASE WHEN list_contains(got, i) THEN -1e9 ELSE round(0.7 * x + (1 - 0.7) * list_sum(list_transform(aim, lambda a, j: a * greatest(sim[i][j] - near[j], 0))), 9) END) AS v FROM go JOIN s1 USING (query_id) JOIN ai USING (query_id) WHERE step < least(10, n)) go))
 {PICKED.format('(FROM go JOIN rl USING (query_id) WHERE step = least(10, n))')}""")
@@ -825,6 +876,14 @@ def raptor_scan(spark, d):
     return out(tree.search_terms(nodes, asked(spark, d), 10), "score")
 
 
+@query("""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS place FROM h) WHERE place <= 8 AND score >= 0.15)
+SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, round(sum(score), 6) + 0.0 AS weight, 'similarity' AS kind FROM pk GROUP BY 1, 2""")
+def centroid_edges(spark, d):
+    """Similarity edges by vectors."""
+    return out(graph.centroid_edges(vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")), "weight")
+
+
 # --- metrics ---
 
 
@@ -910,6 +969,15 @@ def hash_embeddings(spark, d):
     return made.filter("v <> 0").select("doc_id", "slot", (F.round(F.col("v").cast("double"), 5) + F.lit(0.0)).alias("value"))
 
 
+@query(f"SELECT event_id, ({_FNV.format('event_type')})::VARCHAR AS hash FROM events")
+def fnv_hash(spark, d):
+    """Unsigned 64-bit FNV-1a hashes, in digits."""
+    from tesserae.functions.hashing import fnv1a_column
+
+    h = fnv1a_column(F.col("event_type")).cast("decimal(20,0)")
+    return table(spark, d, "events").select("event_id", F.when(h < 0, h + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(h).cast("string").alias("hash"))
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) + 0.0 AS first, list_sum(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END))::INT AS positive FROM embeddings")
 def vector_functions(spark, d):
     e = F.col("embedding")

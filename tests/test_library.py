@@ -6,11 +6,13 @@ import zipfile
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from tesserae.functions.embedders import HashEmbedder
 from tesserae.operators import tree
 from tesserae.plans import catalog
-from tesserae.plans.errors import ParseError
+from tesserae.plans.errors import NotFound, ParseError
 from tesserae.sources.files import extract, read_directory
 from tesserae.sources.markup import html_text, rtf_text
 from tesserae.sources.rows import parse_csv, row_documents
@@ -101,6 +103,60 @@ def test_tree(spark):
     assert sorted(sorted(r.children) for r in rows if r.level == 1) == [[1, 2], [3, 5]]
     best = tree.search_terms(nodes, spark.createDataFrame([(1, "blue whales")], "query_id long, text string"), 1).collect()
     assert best[0].score == 4.0 and best[0].level == 1
+    near = tree.search_vectors(nodes, spark.createDataFrame([(1, "red apples")], "query_id long, text string"), HashEmbedder(64), 5).collect()
+    assert near[0].rank == 1 and {1, 2} <= {r.node_id for r in near[:3]}
+    own = tree.build(spark.createDataFrame(list(enumerate(texts, 1)), "chunk_id long, text string"), summarize=lambda t: "short" if "apples" in t else None)
+    assert sorted(r.text for r in own.filter("level = 1").collect())[1] == "short"
+
+
+def test_groups_equal_plain_greedy():
+    rng = np.random.default_rng(1)
+    bags = [np.unique(rng.integers(0, 40, rng.integers(0, 12))) for _ in range(60)]
+    free, want = [True] * 60, []
+    for i, a in enumerate(bags):
+        if free[i]:
+            free[i] = False
+            near = sorted((-len(set(a) & set(b)) / len(set(a) | set(b)), j) for j, b in enumerate(bags) if free[j] and set(a) & set(b))
+            taken = [j for s, j in near if -s >= 0.1][:4]
+            for j in taken:
+                free[j] = False
+            want.append([i, *taken])
+    assert tree.groups(bags, 5, 0.1) == want
+
+
+def test_pagerank_of_small_and_large_graphs_agree(spark):
+    from tesserae.operators import graph
+
+    edges = spark.createDataFrame([(1, 2, 2.0, "link"), (2, 3, 1.0, "link"), (5, 6, 1.0, "link")], graph.EDGES)
+    nodes = spark.createDataFrame([(k,) for k in range(1, 8)], "doc_id long")
+    seeds = spark.createDataFrame([(1, 1, 1.0), (1, 7, 1.0), (2, 5, 0.0)], "query_id long, doc_id long, mass double")
+    rows = lambda most: sorted((r.query_id, r.doc_id, round(r.rank, 9)) for r in graph.pagerank(nodes, edges, seeds, iterations=6, most_edges=most).collect())
+    assert rows(10) == rows(0) and abs(sum(r for q, _, r in rows(10) if q == 2) - 1) < 1e-6
+
+
+def test_index_snapshot(spark, tmp_path):
+    from tesserae.operators import lexical
+    from tesserae.streaming.snapshot import IndexStore
+
+    chunks = spark.createDataFrame([(1, "red apples"), (2, "blue whales"), (3, "")], "chunk_id long, text string")
+    store, built = IndexStore(spark, str(tmp_path / "i")), lexical.build(chunks)
+    with pytest.raises(NotFound):
+        store.load()
+    assert store.commit(built, chunks=chunks) == 1
+    read = store.load()
+    for name in ("postings", "term_stats", "doc_len", "stats"):
+        assert sorted(map(repr, getattr(built, name).collect())) == sorted(map(repr, getattr(read, name).collect()))
+    assert store.extra("chunks").count() == 3 and store.extra("embeddings") is None
+    with pytest.raises(ValueError):
+        store.commit(built, other=chunks)
+
+
+def test_passages_are_found_to_the_letter(spark):
+    from tesserae.operators import evaluate
+
+    docs = spark.createDataFrame([(1, "it says: alpha beta gamma delta epsilon."), (2, "xalpha beta gamma deltas"), (3, "alpha  beta gamma delta"), (4, "ab"), (5, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "b"), (3, "beta gamma"), (4, None), (5, "zz yy xx ww")], "query_id long, text string")
+    assert sorted(map(tuple, evaluate.containing(asked, docs).collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2), (3, 3)]
 
 
 def test_entry():
