@@ -169,12 +169,28 @@ def fixed_windows_simple(spark, d):
     return chunking.plain_windows(documents(spark, d))
 
 
-@query()
+def _windows(lines: int) -> str:
+    """fw (doc_id, pos, text, start_line, end_line): windows of up to `lines` lines and 1600 bytes, ending early at a blank line once half full, four lines over."""
+    return rf"""ln AS MATERIALIZED (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n, list_transform(string_split(text, chr(10)), lambda x: strlen(x) + 1) AS b FROM documents WHERE text IS NOT NULL),
+st0 AS (SELECT doc_id, 1::BIGINT AS i, 0::BIGINT AS k FROM ln UNION ALL
+  SELECT doc_id, i2, list_filter(range(1, least({lines}, n - i2 + 1) + 1), lambda t: t = least({lines}, n - i2 + 1) OR list_sum(b[i2 : i2 + t - 1]) >= 1600 OR (l[i2 + t - 1] = '' AND t >= {lines // 2}))[1]
+  FROM (SELECT ln.*, i, k, CASE WHEN k > 4 AND i + k <= n THEN i + k - 4 ELSE i + k END AS i2 FROM st0 JOIN ln USING (doc_id)) WHERE i2 <= n),
+fx AS (SELECT doc_id, i, k, regexp_replace(regexp_replace(array_to_string(l[i : i + k - 1], chr(10)), '^\n+', ''), '[\n ]+$', '') AS text FROM st0 JOIN ln USING (doc_id) WHERE k > 0),
+fw AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, text, i - 1 AS start_line, i + k - 2 AS end_line FROM fx WHERE text <> '')"""
+
+
+@query(f"WITH RECURSIVE {_windows(40)} SELECT doc_id, pos::INT AS pos, text, '' AS context, start_line::INT AS start_line, end_line::INT AS end_line FROM fw")
 def fixed_chunks(spark, d):
     return chunking.fixed(documents(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE se AS MATERIALIZED (SELECT doc_id, z, list_transform(z, lambda x: strlen(x)) AS b, list_transform(z, lambda x: list_distinct({_tok('x')})) AS t FROM (SELECT doc_id, {_sent('text', 2)} AS z FROM documents WHERE text IS NOT NULL) WHERE len(z) > 0),
+gp AS (SELECT doc_id, list_transform(range(1, len(z)), lambda i: 1 - CASE WHEN len(t[i]) = 0 OR len(t[i + 1]) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(t[i], t[i + 1])) / (len(t[i]) + len(t[i + 1]) - len(list_intersect(t[i], t[i + 1]))) END) AS g FROM se),
+lm AS MATERIALIZED (SELECT doc_id, z, b, g, list_sort(g)[(floor(0.9::DOUBLE * (len(g) - 1)) + 1)::BIGINT] AS cut FROM se JOIN gp USING (doc_id)),
+rc AS (SELECT doc_id, 1::BIGINT AS i, 0::BIGINT AS pos, b[1]::BIGINT AS size FROM lm UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN new THEN pos + 1 ELSE pos END, CASE WHEN new THEN b[i + 1] ELSE size + 1 + b[i + 1] END
+  FROM (SELECT rc.*, b, g[i] > cut OR size + b[i + 1] > 2000 AS new FROM rc JOIN lm USING (doc_id) WHERE i < len(z)))
+SELECT doc_id, pos::INT AS pos, string_agg(z[i], ' ' ORDER BY i) AS text, '' AS context, 0 AS start_line, 0 AS end_line FROM rc JOIN lm USING (doc_id) GROUP BY doc_id, pos""")
 def semantic_chunks_lexical(spark, d):
     return chunking.semantic(documents(spark, d))
 
@@ -610,7 +626,15 @@ def autocut(spark, d):
     return out(rerank.autocut(top(spark, d, 20)), "score")
 
 
-@query()
+_OVER = INDEX.replace("documents d LEFT JOIN", "parts d LEFT JOIN").replace("FROM documents)", "FROM parts)")
+
+
+@query(f"""WITH RECURSIVE {_windows(10)}, parts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS doc_id, doc_id AS parent, text, start_line, end_line FROM fw), {_OVER},
+ht AS MATERIALIZED (SELECT query_id, chunk_id, score, rank, parent, start_line, end_line FROM bm JOIN parts ON doc_id = chunk_id WHERE rank <= 30),
+go AS (SELECT DISTINCT query_id, 0::BIGINT AS r, []::BIGINT[] AS got, []::STRUCT(p BIGINT, a BIGINT, b BIGINT)[] AS spans FROM ht UNION ALL
+  SELECT query_id, r + 1, CASE WHEN free THEN list_append(got, chunk_id) ELSE got END, CASE WHEN free THEN list_append(spans, {{'p': parent, 'a': start_line, 'b': end_line}}) ELSE spans END
+  FROM (SELECT go.*, chunk_id, parent, start_line, end_line, len(list_filter(spans, lambda x: x.p = parent AND greatest(x.a - end_line, start_line - x.b, 0) <= 1)) = 0 AS free FROM go JOIN ht ON ht.query_id = go.query_id AND ht.rank = go.r + 1))
+SELECT p.query_id, p.chunk_id, round(score, 6) + 0.0 AS score, place::INT AS rank FROM (SELECT query_id, unnest(got) AS chunk_id, generate_subscripts(got, 1) AS place FROM (SELECT query_id, arg_max(got, r) AS got FROM go GROUP BY 1)) p JOIN ht ON ht.query_id = p.query_id AND ht.chunk_id = p.chunk_id""")
 def parent_stitch(spark, d):
     parts = chunking.numbered(chunking.fixed(documents(spark, d), max_lines=10))
     hits = lexical.search(lexical.build(parts), asked(spark, d), 30)
