@@ -10,13 +10,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import fresh
 from tesserae.llm.text import buffers
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "IBAN", "SSN", "SECRET")
@@ -331,6 +329,23 @@ def trained(examples: int = 400, epochs: int = 14, seed: int = 7) -> Model:
     return Model(w)
 
 
+def cleaned(model: Model, col: pa.Array) -> tuple[pa.Array, dict[int, list[tuple[str, int, int]]]]:
+    """A column of texts with their entities replaced, and the entities by row. Rows without a trigger aren't read one by one."""
+    data, off = buffers(col)
+    hit = np.unique(np.searchsorted(off, np.flatnonzero(_TRIGGER[data]), "right") - 1)
+    hit = np.union1d(hit, np.flatnonzero(pc.match_substring_regex(col, _WORDED).fill_null(False).to_numpy(zero_copy_only=False)))
+    entities: dict[int, list[tuple[str, int, int]]] = {}
+    changed, at = [], 0
+    for i in hit.tolist():
+        text = col[i].as_py()
+        found = find(model, text)
+        if found:
+            entities[i] = found
+            changed += [col.slice(at, i - at), pa.array([redacted(text, found)], col.type)]
+            at = i + 1
+    return (pa.concat_arrays([*changed, col.slice(at)]) if changed else col), entities
+
+
 def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, text, entities) of each row: the text with each entity replaced by its type in brackets, and where the
     entities were in the text given (in characters, the end excluded).
@@ -341,22 +356,10 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            data, off = buffers(batch.column(1))
-            col = batch.column(1)
-            hit = np.unique(np.searchsorted(off, np.flatnonzero(_TRIGGER[data]), "right") - 1)
-            hit = np.union1d(hit, np.flatnonzero(pc.match_substring_regex(col, _WORDED).fill_null(False).to_numpy(zero_copy_only=False)))
-            entities: list[list[dict]] = [[]] * len(col)
-            changed, at = [], 0
-            for i in hit.tolist():
-                text = col[i].as_py()
-                found = find(model, text)
-                if found:
-                    entities[i] = [{"type": k, "start": a, "end": e} for k, a, e in found]
-                    changed += [col.slice(at, i - at), pa.array([redacted(text, found)], col.type)]
-                    at = i + 1
-            texts = pa.concat_arrays([*changed, col.slice(at)]) if changed else col
-            kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+            texts, found = cleaned(model, batch.column(1))
+            entities = [[{"type": k, "start": a, "end": e} for k, a, e in found.get(i, [])] for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(entities, kind)], ["doc_id", "text", "entities"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
@@ -371,12 +374,21 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or trained()
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else redacted(t, find(model, t)))
+    columns = docs.columns
+    ordered = docs.select("text", *[c for c in columns if c != "text"])
+    counted = ordered.columns.index("n_chars") if "n_chars" in columns else None
 
-    hot = F.col("text").rlike(f"[0-9@=]|{_WORDED}")
-    columns, kinds, new = docs.columns, dict(docs.dtypes), fresh(docs, "new_text")
-    done = docs.withColumn(new, F.when(hot, clean("text")).otherwise(F.col("text")))
-    same = F.col(new).eqNullSafe(F.col("text"))
-    return done.select([F.col(new).alias(c) if c == "text" else F.when(same, F.col(c)).otherwise(F.length(new).cast(kinds[c])).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = cleaned(model, batch.column(0))
+            if not found:
+                yield batch
+                continue
+            arrays = [texts, *batch.columns[1:]]
+            if counted is not None:
+                new = np.zeros(batch.num_rows, bool)
+                new[list(found)] = True
+                arrays[counted] = pc.if_else(pa.array(new), pc.utf8_length(texts).cast(batch.column(counted).type), batch.column(counted))
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+    return ordered.mapInArrow(run, ordered.schema).select(*[F.col(f"`{c}`") for c in columns])
