@@ -18,10 +18,10 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import fresh, with_row_id, written
+from tesserae.llm.shared import drop, fresh, with_row_id, written
 from tesserae.llm.text import U, doubled, mix, ngrams, ngrams_at, pieces, words
 
 MIN_WORDS = 50
@@ -293,26 +293,33 @@ def _scan(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Reco
         yield from closed()
 
 
+def _where(rows: DataFrame, keys: list[str], *aggregates: Column, having: str) -> DataFrame:
+    """The rows of keys whose aggregates fulfil a condition. One shuffle, read twice; neither pass sorts or holds a key's rows."""
+    dealt = rows.repartition(*keys)
+    good = dealt.groupBy(*keys).agg(*aggregates).filter(having).select(*keys)
+    return dealt.join(good.hint("shuffle_hash"), keys, "left_semi")
+
+
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """repeats() with the row_id of shared.with_row_id()."""
     spark = docs.sparkSession
     source = with_row_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).filter("text is not null")
     grams = source.select("row_id", "text").mapInArrow(lambda it: _picked(it, min_words), "gram long, row_id long, pos int")
-    twice = grams.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).filter("n > 1")
+    twice = _where(grams, ["gram"], F.count("*").alias("n"), having="n > 1")
     seeds = twice.groupBy("row_id").agg(F.collect_set("pos").alias("seeds"))
     some = written(source.join(seeds, "row_id").dropDuplicates(["row_id"]), "repeating")
     starts = some.select("row_id", "text", "seeds").mapInArrow(lambda it: _starts(it, min_words), "class long, row_id long, pos int, left long")
-    by_class = Window.partitionBy("class")
-    split = starts.select("*", F.min("left").over(by_class).alias("low"), F.max("left").over(by_class).alias("high")).filter("low <> high")
-    kept = written(split.select("class", "row_id", "pos", "left"), "starts")
+    kept = written(_where(starts, ["class"], F.min("left").alias("low"), F.max("left").alias("high"), having="low <> high").select("class", "row_id", "pos", "left"), "starts")
     texts = some.select("row_id", "doc_id", "text")
     asked = kept.groupBy("row_id").agg(F.collect_list("pos").alias("pos"))
     steps = texts.select("row_id", "text").join(asked, "row_id").select("row_id", "text", "pos").mapInArrow(lambda it: _ladder(it, min_words), "hash long, level int, row_id long, pos int")
-    both = steps.withColumn("n", F.count("*").over(Window.partitionBy("hash", "level"))).filter("n > 1").groupBy("row_id", "pos").agg(F.max(F.struct("level", "hash")).alias("top"))
+    both = _where(steps, ["hash", "level"], F.count("*").alias("n"), having="n > 1").groupBy("row_id", "pos").agg(F.max(F.struct("level", "hash")).alias("top"))
     levelled = kept.join(both, ["row_id", "pos"], "left").select("class", "row_id", "pos", "left", F.coalesce("top.level", F.lit(0)).alias("level"), F.coalesce("top.hash", F.lit(0)).alias("hash"))
-    group = Window.partitionBy("class", "level", "hash").orderBy("row_id", "pos")
-    led = levelled.withColumn("lead", (F.col("level") > 0) & (F.row_number().over(group) == 1))
-    wanted = written(led, "levelled").groupBy("row_id").agg(F.collect_list(F.struct("class", "pos", "left", "level", "hash", "lead")).alias("wanted"))
+    levelled = written(levelled, "levelled")
+    drop(kept)
+    leads = levelled.filter("level > 0").groupBy("class", "level", "hash").agg(F.min(F.struct("row_id", "pos")).alias("first")).select("first.row_id", "first.pos", F.lit(True).alias("leads"))
+    led = levelled.join(leads, ["row_id", "pos"], "left").withColumn("lead", F.coalesce("leads", F.lit(False)))
+    wanted = led.groupBy("row_id").agg(F.collect_list(F.struct("class", "pos", "left", "level", "hash", "lead")).alias("wanted"))
     suffixes = texts.join(wanted, "row_id").select("row_id", "doc_id", "text", "wanted").mapInArrow(lambda it: _suffixes(it, min_words), "class long, hash long, head binary, tail binary, row_id long, doc_id long, pos int, left long, run int, skip long, size long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     return suffixes.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(lambda it: _scan(it, min_words), SCHEMA)
