@@ -79,14 +79,16 @@ def late_rerank(hits: DataFrame, passages: DataFrame, queries: DataFrame, embed:
     matrices are never rows of a table."""
 
     def run(q: pd.Series, d: pd.Series) -> pd.Series:
-        sides = []
-        for s in (q, d):
-            codes, texts = pd.factorize(s.fillna(""))
-            made = embed(list(texts))
-            sides.append((codes, made))
-        (qc, qm), (dc, dm) = sides
-        dm = [np.unique(m, axis=0) if len(m) > 64 else m for m in dm]
-        return pd.Series([maxsim_score(qm[a], dm[b]) for a, b in zip(qc, dc)], dtype=float)
+        qc, asked = pd.factorize(q.fillna(""))
+        dc, texts = pd.factorize(d.fillna(""))
+        qm, out = embed(list(asked)), np.zeros(len(q))
+        order = np.argsort(dc, kind="stable")
+        edge = np.searchsorted(dc[order], np.arange(len(texts) + 1))
+        for lo in range(0, len(texts), 32):  # so many texts' matrices at a time
+            for k, m in enumerate(embed(list(texts[lo : lo + 32])), lo):
+                for i in order[edge[k] : edge[k + 1]]:
+                    out[i] = maxsim_score(qm[qc[i]], m)
+        return pd.Series(out)
 
     head = hits.filter(F.col("rank") <= top_n).select("query_id", "chunk_id")
     both = head.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(passages.select("chunk_id", F.col("text").alias("d")), "chunk_id")
