@@ -174,3 +174,19 @@ def test_approximate_vector_queries_find_the_true_top_ten(spark):
     for name in ("pq_adc", "ivf_top10"):
         found = {(r.query_id, r.vec_id) for r in catalog.QUERIES[name](spark, d).collect()}
         assert len(found & exact) >= 0.9 * len(exact), (name, len(found & exact) / len(exact))
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    from itertools import combinations
+
+    from tesserae.operators import graph
+
+    rng = np.random.default_rng(6)
+    bags = {k: {int(x) for x in rng.integers(0, 60, rng.integers(1, 20))} for k in range(80)}
+    bags[80] = set(bags[3])
+    terms = spark.createDataFrame([(k, f"t{x}") for k, b in bags.items() for x in b], "doc_id long, term string")
+    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in combinations(sorted(bags.items()), 2) if len(a & b) >= 0.15 * len(a | b)}
+    for block in (1 << 20, 100):
+        got = {(r.x, r.y): r.sim for r in graph.similar_pairs(terms, 0.15, block).collect()}
+        assert got == want
+    assert graph.similar_pairs(terms.limit(0)).count() == 0
