@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from tesserae.llm.labelled import sample
-from tesserae.llm.text import U, ngrams, pieces, within, words
+from tesserae.llm.labelled import cut_rows, largest
+from tesserae.llm.shared import drop, written
+from tesserae.llm.text import U, mix, ngrams, pieces, within, words
 from tesserae.llm.toxicity import cut
 
-TREES, SUBSAMPLE, PER_CLASS = 100, 256, 4000
+TREES, SUBSAMPLE = 100, 256
 RULES = ("word_bytes", "upper", "symbol", "bar", "word_repeat", "trigram_repeat", "short_words")
-SCHEMA = "doc_id long, anomaly double, keep boolean, " + ", ".join(f"{r} double" for r in RULES)
+_DOUBLES = ", ".join(f"{r} double" for r in RULES)
+SCHEMA = f"doc_id long, anomaly double, keep boolean, {_DOUBLES}"
 #: Ratios of a short text vary by chance alone; they are drawn to an ordinary value as if by so many more words or bytes.
 PRIOR_WORDS, PRIOR_BYTES = 30, 200
 _UPPER, _SYMBOL = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
@@ -77,12 +80,17 @@ def mean_path(n: np.ndarray | int) -> np.ndarray:
 def grow(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 0) -> Forest:
     rng = np.random.default_rng(seed)
     psi = min(subsample, len(x))
+    return plant((x[rng.choice(len(x), psi, replace=False)] for _ in range(trees)), trees, psi, rng)
+
+
+def plant(drawn: Iterable[np.ndarray], trees: int, psi: int, rng: np.random.Generator) -> Forest:
+    """The forest of trees that are each grown on psi rows drawn for it."""
     deep = max(1, int(np.ceil(np.log2(max(psi, 2)))))
     most = 1 << (deep + 1)
     arrays = [np.full((trees, most), -1, np.int64), np.zeros((trees, most)), np.zeros((trees, most), np.int64), np.zeros((trees, most), np.int64), np.zeros((trees, most))]
     feature, split, left, right, length = arrays
-    for t in range(trees):
-        todo, used = [(0, rng.choice(len(x), psi, replace=False), 0)], 1
+    for t, x in enumerate(drawn):
+        todo, used = [(0, np.arange(psi), 0)], 1
         while todo:
             node, rows, depth = todo.pop()
             low, high = x[rows].min(0), x[rows].max(0)
@@ -125,9 +133,104 @@ def fit(texts: list[str], good: np.ndarray, seed: int = 0) -> Forest:
     return forest
 
 
-def fit_tables(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Forest:
-    rows = sample(docs, labels, "quality", per_class)
-    return fit(rows["text"].tolist(), rows["y"].to_numpy())
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, key and the rule statistics) of each row; the key is null where the text is. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in pieces(batch.column(2)):
+                columns = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(c)) for c in statistics(data, off).T]], ["doc_id", "key", *RULES])
+
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    return rows.selectExpr("doc_id", "if(text is null, null, xxhash64(doc_id, text)) key", "text").mapInArrow(run, f"doc_id long, key long, {_DOUBLES}")
+
+
+def _rules(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(r).to_numpy() for r in RULES], axis=1)
+
+
+def ranks(key: np.ndarray, trees: int, seed: int = 0) -> np.ndarray:
+    """(rows, trees): numbers that put the rows into another order for each tree; equal keys, equal numbers."""
+    return mix(key.view(U)[:, None] ^ mix(np.arange(1, trees + 1, dtype=U) + U(seed << 32))).view(np.int64)
+
+
+def smallest(tree: np.ndarray, rank: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each tree the rows of its `most` smallest ranks, equal ranks once, in order of tree and rank."""
+    order = np.lexsort((rank, tree))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(tree[order]) != 0) | (np.diff(rank[order]) != 0)
+    order = order[new]
+    of = tree[order]
+    order = order[np.arange(len(of)) - np.searchsorted(of, of) < most]
+    return tree[order], rank[order], x[order]
+
+
+def draw(stats: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 0) -> list[np.ndarray]:
+    """For each tree, the statistics of `subsample` rows drawn from all of measured(), or all if they are fewer.
+
+    Each tree ranks all rows in an order of its own and takes the first; rows of equal doc_id and text are one, and null texts
+    none. The draws don't depend on partitions. The driver gets trees * subsample rows, however many there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, rank, x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(RULES)))
+        bound = np.full(trees, np.iinfo(np.int64).max)
+        for batch in batches:
+            key, rules = batch.column("key").to_numpy(), _rules(batch)
+            for lo in range(0, len(key), 2048):
+                r = ranks(key[lo : lo + 2048], trees, seed)
+                row, of = np.nonzero(r <= bound)
+                tree, rank, x = smallest(np.concatenate([tree, of]), np.concatenate([rank, r[row, of]]), np.concatenate([x, rules[lo + row]]), subsample)
+                count = np.bincount(tree, minlength=trees)
+                bound[count == subsample] = rank[np.cumsum(count) - 1][count == subsample]
+        yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(rank), *[pa.array(np.ascontiguousarray(c)) for c in x.T]], ["tree", "rank", *RULES])
+
+    firsts = stats.filter("key is not null").select("key", *RULES).mapInArrow(run, f"tree int, rank long, {_DOUBLES}")
+    place = F.dense_rank().over(Window.partitionBy("tree").orderBy("rank"))
+    rows = firsts.withColumn("place", place).filter(F.col("place") <= subsample).dropDuplicates(["tree", "rank"]).toPandas()
+    tree, _, x = smallest(rows["tree"].to_numpy(np.int64), rows["rank"].to_numpy(np.int64), rows[list(RULES)].to_numpy(float), subsample)
+    return np.split(x, np.searchsorted(tree, np.arange(1, trees))) if len(x) else [np.zeros((1, len(RULES)))] * trees
+
+
+def fit_measured(stats: DataFrame, labels: DataFrame, seed: int = 0) -> Forest:
+    """The forest is grown on draws from all rows of measured(); the threshold is the anomaly that best parts all labelled rows.
+
+    Every row whose doc_id has a label counts, rows of equal doc_id and text once; null doc_ids, texts and labels don't.
+    """
+    drawn = draw(stats, seed=seed)
+    forest = plant(drawn, len(drawn), len(drawn[0]), np.random.default_rng(seed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(anomaly(forest, _rules(batch))), batch.column("poor")], ["score", "y"])
+
+    known = stats.filter("key is not null").join(largest(labels, "quality"), "doc_id").dropDuplicates(["doc_id", "key"])
+    forest.threshold = cut_rows(known.selectExpr("1 - y poor", *RULES).mapInArrow(run, "score double, y int"), none=2.0, every=-1.0)
+    return forest
+
+
+def fit_tables(docs: DataFrame, labels: DataFrame) -> Forest:
+    stats = written(measured(docs), "statistics")
+    forest = fit_measured(stats, labels)
+    drop(stats)
+    return forest
+
+
+def judge_measured(stats: DataFrame, forest: Forest) -> DataFrame:
+    """judge(), from the rows of measured()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _rules(batch)
+            score = np.where(x[:, 0] > 0, anomaly(forest, x), 1.0)
+            keep = (score < forest.threshold) & (x[:, 0] > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(keep), *[batch.column(r) for r in RULES]], ["doc_id", "anomaly", "keep", *RULES])
+
+    return stats.mapInArrow(run, SCHEMA)
 
 
 def judge(docs: DataFrame, forest: Forest) -> DataFrame:
@@ -137,14 +240,10 @@ def judge(docs: DataFrame, forest: Forest) -> DataFrame:
     repeated rows are answered alike; other columns are ignored. No shuffle. Without labels of both classes, all or none
     is kept, as the labels have it; without labels at all, all.
     """
+    return judge_measured(measured(docs), forest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, off in pieces(batch.column(1)):
-                x = statistics(data, off)
-                score = np.where(x[:, 0] > 0, anomaly(forest, x), 1.0)
-                keep = (score < forest.threshold) & (x[:, 0] > 0)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array(keep), *[pa.array(np.ascontiguousarray(c)) for c in x.T]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "anomaly", "keep", *RULES])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+
+def fit_judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """judge(docs, fit_tables(docs, labels)), with the statistics of each text computed once."""
+    stats = written(measured(docs), "statistics")
+    return judge_measured(stats, fit_measured(stats, labels))

@@ -23,8 +23,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.fit_tables(docs, table(spark, sf_dir, "labels")))
+    return quality.fit_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tesserae.llm import bpe, fingerprints, packing, pii, quality, suffix_dedup, token_binary, toxicity, warc
-from tesserae.llm.labelled import sample
+from tesserae.llm.labelled import cut_rows, sample
 from tesserae.llm.queries import OP8_SQL, op8_warc
 from tesserae.llm.text import pieces
 
@@ -99,6 +99,47 @@ def test_quality_isolates_outliers_and_edges(spark):
     assert quality.judge(none(spark), model).count() == 0
 
 
+def test_quality_fits_on_every_row(spark):
+    """Forest and threshold against plain draws and cut() over all rows: more labelled ones than a sample of 4000 of a class had."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnop"))
+    word = lambda bad: "".join(rng.choice(letters, rng.integers(2, 9))) + ("#|"[rng.integers(2)] if rng.random() < bad else "")
+    poor = rng.random(6000) < 0.1
+    texts = [" ".join(word(0.4 if p else 0.1) for _ in range(rng.integers(4, 30))) for p in poor]
+    rows = [*enumerate(texts), *enumerate(texts[:300]), (7, "another text of a labelled document"), (None, texts[0]), (None, texts[0]), (9000, None), (9001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = [(k, int(not poor[k])) for k in range(5000)] + [(9000, 0), (9001, 0), (None, 1), (5500, None)]
+    assert sum(y == 1 for _, y in labels) > 4000
+    forest = quality.fit_tables(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+
+    one = sorted({r for r in rows if r[1] is not None}, key=repr)
+    keys = {(r.doc_id, r.text): r.k for r in spark.createDataFrame(one, "doc_id long, text string").selectExpr("*", "xxhash64(doc_id, text) k").collect()}
+    x = np.concatenate([quality.statistics(d, o) for _, _, d, o in pieces(pa.array([t for _, t in one], pa.string()))])
+    order = np.argsort(quality.ranks(np.array([keys[r] for r in one]), quality.TREES), axis=0)[: quality.SUBSAMPLE]
+    want = quality.plant((x[order[:, t]] for t in range(quality.TREES)), quality.TREES, quality.SUBSAMPLE, np.random.default_rng(0))
+    for name in ("feature", "split", "left", "right", "length"):
+        assert (getattr(forest, name) == getattr(want, name)).all()
+    known = dict(x for x in labels if None not in x)
+    at = [k for k, (i, _) in enumerate(one) if i in known]
+    assert len(at) == 5002
+    score, y = quality.anomaly(want, x[at]), 1 - np.array([known[one[k][0]] for k in at])
+    assert forest.threshold == quality.cut(score, y)
+    judged = {(r.doc_id, r.anomaly): r.keep for r in quality.fit_judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert {(one[k][0], s): bool(s < forest.threshold) for k, s in zip(at, score) if one[k][1]}.items() <= judged.items()
+
+
+def test_cut_of_a_table_equals_cut(spark):
+    rng = np.random.default_rng(4)
+    for n, places in ((3000, 2), (3000, 6), (40, 1), (2, 3)):
+        y = rng.integers(0, 2, n)
+        y[:2] = 0, 1
+        score = np.round(rng.random(n) * 0.7 + 0.3 * y, places)
+        rows = spark.createDataFrame(list(zip(score.tolist(), y.tolist())), "score double, y int").repartition(5)
+        assert cut_rows(rows, 2.0, -1.0) == quality.cut(score, y)
+    for want, y in ((2.0, []), (2.0, [0, 0]), (-1.0, [1, 1])):
+        assert cut_rows(spark.createDataFrame([(0.5, v) for v in y], "score double, y int"), 2.0, -1.0) == want
+
+
 # --- BPE ---
 
 
