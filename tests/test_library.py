@@ -190,3 +190,59 @@ def test_similar_pairs_equal_brute_force(spark):
         got = {(r.x, r.y): r.sim for r in graph.similar_pairs(terms, 0.15, block).collect()}
         assert got == want
     assert graph.similar_pairs(terms.limit(0)).count() == 0
+
+
+def test_best_of_tiles_equal_a_full_sort():
+    from tesserae.operators.best import Best
+
+    rng = np.random.default_rng(3)
+    s = np.round(rng.normal(size=(5, 900)), 2)  # many equals
+    s[2, :] = 1.0
+    ids, best = rng.permutation(900), Best(5, 7)
+    for lo in range(0, 900, 100):
+        best.add(np.arange(5), ids[lo : lo + 100], s[:, lo : lo + 100])
+    q, found, score = best.result()
+    for k in range(5):
+        order = np.lexsort((ids, -s[k]))[:7]
+        assert found[q == k].tolist() == ids[order].tolist() and score[q == k].tolist() == s[k][order].tolist()
+
+
+def test_many_queries_meet_vectors_in_blocks(spark, monkeypatch):
+    """More queries than are sent to tasks, vectors of several files: as one product of all with all, in bounded tiles."""
+    from tesserae.operators import best, dense
+
+    monkeypatch.setattr(dense, "FEW_QUERIES", 10)
+    monkeypatch.setattr(best, "BLOCK_BYTES", 20_000)
+    m = np.random.default_rng(4).normal(size=(300, 8))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    m[200:] = m[:100]  # ties
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
+    q = v.withColumnRenamed("vec_id", "query_id")
+    exact = m @ m.T
+    order = lambda s, k: [sorted(range(300), key=lambda j: (-round(s[i, j], 6), j))[:k] for i in range(300)]
+    got = lambda df: [[r.vec_id for r in sorted(rows, key=lambda r: r.rank)] for _, rows in sorted(_by_query(df).items())]
+    assert got(dense.search(v, q, 5)) == order(exact, 5)
+    signs = np.where(m >= 0, 1.0, -1.0)
+    pool = order(signs @ signs.T, 20)
+    assert got(dense.sign_search(v, q, 8, 20, 5)) == [sorted(p, key=lambda j: (-round(exact[i, j], 6), j))[:5] for i, p in enumerate(pool)]
+    tokens = [m[:, :4], m[:, 4:]]
+    late = sum(np.maximum(np.maximum(t @ tokens[0].T, t @ tokens[1].T), 0) for t in tokens)
+    halves = v.selectExpr("vec_id", "array(slice(embedding, 1, 4), slice(embedding, 5, 4)) tokens")
+    assert got(dense.late_search(halves, halves.withColumnRenamed("vec_id", "query_id"), 5)) == order(late, 5)
+    centres = spark.createDataFrame([(k, m[k].tolist()) for k in range(6)], "cell int, centre array<double>")
+    near = np.argsort(((m[:, None] - m[None, :6]) ** 2).sum(2), axis=1, kind="stable")
+    inside = np.array([[near[j, 0] in near[i, :3] for j in range(300)] for i in range(300)])
+    assert got(dense.ivf_search(dense.ivf_assign(v, centres), centres, q, 3, 5)) == order(np.where(inside, exact, -9.0), 5)
+    book = spark.createDataFrame([(s, k, m[k, s * 4 : s * 4 + 4].tolist()) for s in (0, 1) for k in range(16)], "sub int, code int, centroid array<double>")
+    code = [np.argmin(((t[:, None] - t[None, :16]) ** 2).sum(2).round(12), axis=1) for t in tokens]
+    adc = sum(t @ t[c].T for t, c in zip(tokens, code))
+    found = dense.pq_search(dense.pq_encode(v, book), book, q, 30)
+    assert got(found) == order(adc, 30)
+    assert got(dense.rescored(found, v, q, 5)) == [sorted(p, key=lambda j: (-round(exact[i, j], 6), j))[:5] for i, p in enumerate(order(adc, 30))]
+
+
+def _by_query(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.query_id, []).append(r)
+    return out
