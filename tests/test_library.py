@@ -246,3 +246,38 @@ def _by_query(df):
     for r in df.collect():
         out.setdefault(r.query_id, []).append(r)
     return out
+
+
+def test_search_reads_bags_once_and_shuffles_only_the_best(spark, monkeypatch):
+    """Against plain sums: hot and rare terms, several blocks of query terms and of queries, repeated ids, equal texts, short products."""
+    from collections import Counter
+    from math import log1p
+
+    from tesserae.operators import lexical
+
+    rng = np.random.default_rng(8)
+    words = np.array(["the", "of", *(f"w{k}" for k in range(300))])
+    p = np.r_[60, 30, 40 / np.arange(1, 301)]
+    text = lambda n: " ".join(rng.choice(words, n, p=p / p.sum()))
+    texts = [text(rng.integers(0, 60)) for _ in range(150)]
+    texts[50:70] = [texts[3]] * 20
+    rows = [*enumerate(texts), (149, "the extra W1 row's")]
+    asked = [(k, text(12)) for k in range(30)]
+    made = {}
+    for k, t in rows:
+        made.setdefault(k, Counter()).update(w for w in t.lower().replace("'", "").split() if len(w) > 1)
+    n, dl = len(rows), {k: sum(c.values()) for k, c in made.items()}
+    avgdl, df = sum(dl[k] for k, _ in rows) / n, Counter(w for c in made.values() for w in c)
+    w = lambda c, t: made[c][t] * 2.2 / (made[c][t] + 1.2 * (0.25 + 0.75 * dl[c] / avgdl))
+    want = {}
+    for q, t in asked:
+        s = {c: sum(log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * w(c, x) for x in t.split() if made[c][x]) for c in made}
+        want[q] = [(c, round(s[c], 6)) for c in sorted((c for c in s if s[c]), key=lambda c: (-round(s[c], 6), c))[:5]]
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 100)
+    monkeypatch.setattr(lexical, "QUERIES", 4)
+    monkeypatch.setattr(lexical, "PRODUCTS", 7)
+    x = lexical.build(spark.createDataFrame(rows, "chunk_id long, text string"))
+    found = lexical.search(x, spark.createDataFrame(asked, "query_id long, text string"), 5)
+    got = {q: [(r.chunk_id, round(r.score, 6)) for r in sorted(hits, key=lambda r: r.rank)] for q, hits in _by_query(found).items()}
+    assert got == {q: hits for q, hits in want.items() if hits}
+    assert {(r.term, r.df) for r in x.term_stats.collect()} == set(df.items())
