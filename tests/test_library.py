@@ -281,3 +281,13 @@ def test_search_reads_bags_once_and_shuffles_only_the_best(spark, monkeypatch):
     got = {q: [(r.chunk_id, round(r.score, 6)) for r in sorted(hits, key=lambda r: r.rank)] for q, hits in _by_query(found).items()}
     assert got == {q: hits for q, hits in want.items() if hits}
     assert {(r.term, r.df) for r in x.term_stats.collect()} == set(df.items())
+
+
+def test_synchronous_labels_vote_for_themselves(spark):
+    """Without the vote of their own, the two ends of an edge would swap labels for ever."""
+    from tesserae.operators import graph
+
+    edges = spark.createDataFrame([(1, 2, 2.0, "link"), (3, 4, 1.0, "link"), (4, 5, 3.0, "link")], graph.EDGES)
+    nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "doc_id long")
+    label = {r.doc_id: r.label for r in graph.synchronous_labels(nodes, edges).collect()}
+    assert label[1] == label[2] == 1 and label[4] == label[5] and label[6] == 6
