@@ -291,3 +291,18 @@ def test_synchronous_labels_vote_for_themselves(spark):
     nodes = spark.createDataFrame([(k,) for k in range(1, 7)], "doc_id long")
     label = {r.doc_id: r.label for r in graph.synchronous_labels(nodes, edges).collect()}
     assert label[1] == label[2] == 1 and label[4] == label[5] and label[6] == 6
+
+
+def test_set_edges_equal_nearest_of_all_pairs(spark, monkeypatch):
+    """Several files, hot and rare terms, equal sets: the edges of all pairs' nearest, none of which is written."""
+    from tesserae.operators import best, graph
+
+    rng = np.random.default_rng(9)
+    bags = {k: {int(x) for x in np.minimum(rng.geometric(0.04, rng.integers(1, 25)), 400)} for k in range(200)}
+    bags |= {k: set(bags[3]) for k in range(200, 230)}
+    terms = spark.createDataFrame([(k, f"t{x}") for k, b in bags.items() for x in b], "doc_id long, term string")
+    monkeypatch.setattr(best, "BLOCK_BYTES", 8000)
+    monkeypatch.setattr(graph, "HOT_TERMS", 10)
+    monkeypatch.setattr(graph, "PRODUCTS", 50)
+    rows = lambda df: sorted((r.a, r.b, round(r.weight, 9)) for r in df.collect())
+    assert rows(graph.similarity_edges(terms)) == rows(graph.nearest_edges(graph.similar_pairs(terms)))
