@@ -190,11 +190,12 @@ def fold_duplicates(hits: DataFrame, passages: DataFrame, threshold: float = 0.9
 def autocut(hits: DataFrame, min_keep: int = 3, factor: float = 2.0) -> DataFrame:
     """Cuts before the first fall of score, after min_keep hits, of at least `factor` times the mean fall of the list.
 
-    Lists of fewer than 3 hits, of no more than min_keep, or without any fall stay whole.
+    Lists of fewer than 3 hits, of no more than min_keep, or without any fall stay whole. Scores that differ by 1e-9 at most
+    are equal: sums of the same parts in another order don't make a fall.
     """
     order = per_query().orderBy("rank")
     gaps = hits.withColumn("gap", F.lag("score").over(order) - F.col("score")).withColumn("n", F.count("*").over(per_query()))
-    mean = F.avg(F.when(F.col("gap") > 0, F.col("gap"))).over(per_query())
+    mean = F.avg(F.when(F.col("gap") > 1e-9, F.col("gap"))).over(per_query())
     over = (F.col("rank") > min_keep) & (F.col("n") >= 3) & (F.col("gap") >= factor * F.col("mean"))
     cut = F.min(F.when(over, F.col("rank"))).over(per_query())
     return gaps.withColumn("mean", mean).withColumn("cut", cut).filter(F.col("cut").isNull() | (F.col("rank") < F.col("cut"))).select("query_id", "chunk_id", "score", "rank")

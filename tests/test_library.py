@@ -306,3 +306,11 @@ def test_set_edges_equal_nearest_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(graph, "PRODUCTS", 50)
     rows = lambda df: sorted((r.a, r.b, round(r.weight, 9)) for r in df.collect())
     assert rows(graph.similarity_edges(terms)) == rows(graph.nearest_edges(graph.similar_pairs(terms)))
+
+
+def test_autocut_takes_no_rounding_for_a_fall(spark):
+    from tesserae.operators import rerank
+
+    scores = [10.0, 9.0, 8.0, 8.0 - 2e-15, 8.0 - 4e-15, 6.5, 5.5]  # falls 1, 1, 1.5, 1: none is twice their mean
+    hits = spark.createDataFrame([(1, k, s, k) for k, s in enumerate(scores, 1)], rerank.HITS)
+    assert rerank.autocut(hits).count() == 7
